@@ -106,9 +106,9 @@ def split_by_rule(ruled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ruled.filter(col("rule").isNull()).drop("rule"), rejections(ruled.filter(col("rule").isNotNull()))
 
 
-def rejections(ruled: DataFrame, stage: str = "filter") -> DataFrame:
+def rejections(ruled: DataFrame, stage: str = "filter", *keep: str) -> DataFrame:
     return ruled.select(
-        "url", "title", "source_api", "source_domain", F.lit(stage).alias("rejection_stage"),
+        *keep, "url", "title", "source_api", "source_domain", F.lit(stage).alias("rejection_stage"),
         col("rule").alias("rejection_rule"),
         S.context_len(col("description"), col("content")).alias("context_len"),
     )

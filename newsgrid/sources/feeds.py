@@ -14,24 +14,29 @@ FEED_ITEMS = 30
 FEED_TOTAL = 60
 FEED_HOURS = 30
 
-_TEXT = "struct<_VALUE:string,_href:string>"
-_ITEM = (
-    f"title:{_TEXT},link:array<{_TEXT}>,pubDate:string,published:string,updated:string,description:string,"
-    "summary:string,content:string,`content:encoded`:string,`dc:description`:string"
+_TEXT = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_href", T.StringType())])
+_BODIES = ("description", "summary", "content", "content:encoded", "dc:description")
+_DATES = ("pubDate", "published", "updated")
+_ITEM = T.StructType(
+    [T.StructField("title", _TEXT), T.StructField("link", T.ArrayType(_TEXT))]
+    + [T.StructField(n, T.StringType()) for n in (*_DATES, *_BODIES)]
 )
-_FEED = f"struct<channel:struct<item:array<struct<{_ITEM}>>>,entry:array<struct<{_ITEM}>>>"
+_FEED = T.StructType([
+    T.StructField("channel", T.StructType([T.StructField("item", T.ArrayType(_ITEM))])),
+    T.StructField("entry", T.ArrayType(_ITEM)),
+])
 
 
 def feed_items(feeds: DataFrame, as_of: Column) -> DataFrame:
     """(feed_seq, item_seq, title, url, body, published_at) of at most 30 items per feed.
 
     ``feeds`` is (feed_seq, xml); the document is an RSS channel or an Atom feed."""
-    parsed = feeds.select("feed_seq", F.from_xml("xml", F.lit(_FEED.removeprefix("struct<")[:-1])).alias("x"))
+    parsed = feeds.select("feed_seq", F.from_xml("xml", _FEED).alias("x"))
     items = F.slice(F.coalesce(col("x.channel.item"), col("x.entry")), 1, FEED_ITEMS)
     rows = parsed.select("feed_seq", F.posexplode(items).alias("item_seq", "i"))
     link = F.get(col("i.link"), F.lit(0))
-    body = F.coalesce(*[col(f"i.{n}") for n in ("description", "summary", "content", "`content:encoded`", "`dc:description`")], F.lit(""))
-    dates = [S.parse_feed_date(col(f"i.{n}")) for n in ("pubDate", "published", "updated")]
+    body = F.coalesce(*[col("i")[n] for n in _BODIES], F.lit(""))
+    dates = [S.parse_feed_date(col("i")[n]) for n in _DATES]
     return rows.select(
         "feed_seq", col("item_seq").cast("long").alias("item_seq"), F.coalesce("i.title._VALUE", F.lit("")).alias("title"),
         F.coalesce(S.blank_to_null(S.trim_ws(link["_VALUE"])), link["_href"], F.lit("")).alias("url"),
