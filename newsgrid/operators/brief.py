@@ -82,7 +82,7 @@ def select_brief(scored: DataFrame, slots: int = config.BRIEF_SLOTS, per_categor
         return out
 
     reduced = reduce_candidates(scored, slots)
-    return reduced.groupBy(F.lit(1)).applyInPandas(choose, "pos long, id long, story_id long, score double")
+    return reduced.withColumn("brief", F.lit(0)).groupBy("brief").applyInPandas(choose, "pos long, id long, story_id long, score double")
 
 
 def brief_row(selection: DataFrame, brief_date: Column) -> DataFrame:

@@ -575,7 +575,7 @@ def _(v: Views):
 @query("top_09_cards", f"""{with_views('briefs')},
 b AS (SELECT brief_date, unnest(article_ids) AS id, generate_subscripts(article_ids, 1) - 1 AS pos FROM briefs)
 SELECT strftime(brief_date, '%Y-%m-%d') AS brief_date, pos::BIGINT AS pos, CASE pos WHEN 0 THEN 'featured' WHEN 1 THEN 'secondary' ELSE 'tertiary' END AS role,
- array_to_string(string_split({C.bullets('a.summary')}, '|')[1:2], '|') AS bullets FROM b LEFT JOIN articles a ON a.id = b.id""")
+ array_to_string(({C.bullet_list('a.summary')})[1:2], '|') AS bullets FROM b LEFT JOIN articles a ON a.id = b.id""")
 def _(v: Views):
     rows = feed.brief_articles(v.briefs, v.articles, as_of())
     return rows.select("brief_date", "pos", feed.card_role().alias("role"), F.slice("bullets", 1, 2).alias("bullets"))

@@ -409,3 +409,18 @@ def _(v: Views):
     old = v.articles.agg(F.max("story_id").alias("id"))
     rows, _assigned = tables.new_stories(clusters, members, old, as_of())
     return rows.select("id", "seed_id", "article_count", F.get("centroid", F.lit(4)).alias("centroid_5"))
+
+
+# ---- the unified batch, for the model queries ----------------------------------------------
+
+def unified_articles(v: Views):
+    return landed.concat_sources(_unified(v))
+
+
+_COMMON = "url, title, description, content, source_domain, published_at, api_category, api_iptc_category, api_sentiment, api_country, api_keywords, api_source_priority, api_relevance_score"
+_CHECK_FIELDS = "WITH u AS (" + " UNION ALL ".join(
+    f"SELECT {rank} AS source_rank, seq, {_COMMON}, {entities} AS entities FROM ({sql}) s{rank}"
+    for rank, (sql, entities) in enumerate([
+        (CHECK_WORLDNEWS, "''"), (CHECK_WEBZIO, "replace(entities, ':org:0', ' (org)')"), (CHECK_THENEWSAPI, "''"), (CHECK_NEWSDATA, "''")])
+) + """), fields AS (SELECT *, row_number() OVER (ORDER BY source_rank, seq) AS n, replace(api_keywords, '|', ', ') AS keywords,
+ (coalesce(length(description), 0) + coalesce(length(content), 0)) AS ctx FROM u)"""

@@ -74,10 +74,14 @@ def cos(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}, {b})"
 
 
+def bullet_list(x: str) -> str:
+    lines = f"list_filter(list_transform(string_split(coalesce({x}, ''), chr(10)), lambda l: {trim('l')}), lambda l: l <> '')"
+    return rf"list_filter(list_transform({lines}, lambda l: regexp_replace(l, '^[•\-*]\s*', '')), lambda l: l <> '')"
+
+
 def bullets(x: str) -> str:
     """Bullet list joined by a bar."""
-    lines = f"list_filter(list_transform(string_split(coalesce({x}, ''), chr(10)), lambda l: {trim('l')}), lambda l: l <> '')"
-    return rf"array_to_string(list_filter(list_transform({lines}, lambda l: regexp_replace(l, '^[•\-*]\s*', '')), lambda l: l <> ''), '|')"
+    return f"array_to_string({bullet_list(x)}, '|')"
 
 
 def time_ago(x: str, now: str = AS_OF) -> str:
