@@ -61,33 +61,45 @@ def domain_title_hash(domain: Column, title: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lower(domain), F.substring(normalize_title(title), 1, 50)), 256)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trigrams(title: Column) -> Column:
     """Distinct character trigrams of the lower-cased text; empty below three characters."""
-    low = F.lower(title)
-    n = F.length(low)
-    grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(low, i, F.lit(3)))
-    return F.when(n >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(low: Column) -> Column:
+        n = F.length(low)
+        parts = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(low, i, F.lit(3)))
+        return F.when(n >= 3, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.lower(title), grams)
 
 
 def packed_trigrams(title: Column) -> Column:
     """The same trigrams as longs: three code points of 21 bits each, so equality is exact
     and comparisons stay on primitive values."""
-    low = F.lower(title)
-    n = F.length(low)
-    points = F.transform(F.split(low, ""), lambda ch: F.ascii(ch).cast("long"))
 
-    def pack(i: Column) -> Column:
+    def pack(points: Column, i: Column) -> Column:
         a, b, c = (F.element_at(points, i + k) for k in range(3))
         return F.shiftleft(a, 42).bitwiseOR(F.shiftleft(b, 21)).bitwiseOR(c)
 
-    grams = F.transform(F.sequence(F.lit(1), n - 2), pack)
-    return F.when(n >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+    def grams(points: Column) -> Column:
+        n = F.size(points)
+        parts = F.transform(F.sequence(F.lit(1), n - 2), lambda i: pack(points, i))
+        return F.when(n >= 3, F.array_distinct(parts)).otherwise(F.array().cast("array<bigint>"))
+
+    letters = F.filter(F.split(F.lower(title), ""), lambda ch: ch != "")
+    return let(F.transform(letters, lambda ch: F.ascii(ch).cast("long")), grams)
 
 
 def set_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct values; null when both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    return F.try_divide(common.cast("double"), (F.size(a) + F.size(b) - common).cast("double"))
+    return let(
+        F.size(F.array_intersect(a, b)),
+        lambda common: F.try_divide(common.cast("double"), (F.size(a) + F.size(b) - common).cast("double")),
+    )
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

@@ -14,6 +14,7 @@ col = F.col
 FRONT = 4
 SALTS = 32
 SPLIT_ROWS = 2000
+SHARED_TOKENS = 4
 
 
 # ---- exact layers -----------------------------------------------------------------------
@@ -42,11 +43,11 @@ def mark_batch_url(df: DataFrame, row_id: str = "batch_seq") -> DataFrame:
 
 # ---- fuzzy titles -----------------------------------------------------------------------
 
-def prefix_tokens(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rare-first prefixes of trigram sets: (rid, token, n, pos).
+def prefix_tokens(rows: DataFrame, threshold: float, shared: int = SHARED_TOKENS) -> DataFrame:
+    """Rare-first prefixes of trigram sets: (rid, token, n).
 
-    Two sets with Jaccard above ``threshold`` share a token among the first
-    n - ceil(threshold * n) + 1 tokens of each, in any one global order. Rare tokens first
+    Two sets with Jaccard above ``threshold`` share at least ``shared`` tokens among the first
+    n - ceil(threshold * n) + shared tokens of each, in any one global order. Rare tokens first
     keeps the groups that share a token small."""
     tokens = rows.select("rid", F.explode("grams").alias("token"))
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
@@ -55,29 +56,35 @@ def prefix_tokens(rows: DataFrame, threshold: float) -> DataFrame:
         .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
     )
     n = F.size("t")
-    length = (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    return ordered.select(
-        "rid", n.alias("n"), F.posexplode(F.slice(col("t.token"), F.lit(1), length)).alias("pos", "token")
-    )
+    length = F.least(n, (n - _at_least(n, threshold) + shared).cast("int"))
+    return ordered.select("rid", n.alias("n"), F.explode(F.slice(col("t.token"), F.lit(1), length)).alias("token"))
+
 
+def _at_least(n: Column, threshold: float) -> Column:
+    """Smallest overlap that a set of size n can have with a similar one."""
+    return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
 
-def _pairs(members: DataFrame, few: DataFrame, sizes: DataFrame, threshold: float, few_is_lower: bool) -> DataFrame:
-    """Candidate pairs (lo, hi) of rows that share a token: ``members`` against the rows of
-    ``few`` on the given side. Groups larger than ``SPLIT_ROWS`` are split over salts. Size
-    and position bounds drop hopeless pairs before they are shuffled."""
+
+def _pairs(members: DataFrame, few: DataFrame, sizes: DataFrame, threshold: float, few_is_lower: bool,
+           shared: int = SHARED_TOKENS) -> DataFrame:
+    """Candidate pairs (lo, hi) of rows with enough common prefix tokens: ``members`` against
+    the rows of ``few`` on the given side. Groups larger than ``SPLIT_ROWS`` are split over
+    salts. Both sides must carry their whole prefixes, unless ``shared`` is lowered."""
     parts = F.ceil(col("size") / SPLIT_ROWS)
     left = members.join(sizes, "token").withColumn("salt", F.pmod(F.xxhash64("rid"), parts))
     right = (
         few.join(sizes, "token").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .select("token", "salt", col("rid").alias("rid2"), col("n").alias("n2"), col("pos").alias("pos2"))
+        .select("token", "salt", col("rid").alias("rid2"), col("n").alias("n2"))
     )
     order = (col("rid2") < col("rid")) if few_is_lower else (col("rid") < col("rid2"))
-    need = (col("n") + col("n2")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
-    reachable = F.least(col("n") - col("pos"), col("n2") - col("pos2")) >= need
+    larger = F.greatest("n", "n2")
     lo, hi = ("rid2", "rid") if few_is_lower else ("rid", "rid2")
     return (
-        left.join(right, ["token", "salt"]).filter(order & reachable)
-        .select(col(lo).alias("lo"), col(hi).alias("hi")).distinct()
+        left.join(right, ["token", "salt"])
+        .filter(order & (F.least("n", "n2") >= _at_least(larger, threshold)))
+        .groupBy(col(lo).alias("lo"), col(hi).alias("hi"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max(_at_least(larger, threshold)).alias("need"))
+        .filter(col("c") >= F.least(F.lit(shared), "need")).select("lo", "hi")
     )
 
 
@@ -127,15 +134,16 @@ def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "title",
-                    threshold: float = config.TITLE_DUP_SIMILARITY, front: int = FRONT) -> DataFrame:
+                    threshold: float = config.TITLE_DUP_SIMILARITY, front: int = FRONT,
+                    split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Ids that survive the rule "an earlier survivor with trigram similarity above the
     threshold removes the later row". Exact for any size and skew, without all pairs:
 
     1. Titles equal apart from case collapse to their first row: whatever decides the first
        one drops the others.
-    2. Every row is compared with the first few rows of its token groups. A row similar to
-       one of them is shadowed; the others are leaders. A huge group of near copies leaves
-       a handful of leaders.
+    2. In token groups of more than ``split_rows`` rows every row is compared with the first few rows.
+       A row similar to one of them is shadowed; all others are leaders. A huge group of near
+       copies leaves a handful of leaders.
     3. Leaders alone are compared with all lower rows of their token groups, so they know
        all that can remove them, and :func:`settle` decides them.
     4. Newly kept leaders are compared with the rows still open. Rows that stay open (their
@@ -149,18 +157,23 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
     kept = short
     while True:
         sizes = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(col("size") > 1))
-        shadows = cut(_verify(_pairs(tokens, _front(tokens, front), sizes, threshold, True), rows, threshold))
-        shadowed = shadows.select(col("hi").alias("rid")).distinct()
-        leaders = tokens.join(shadowed, "rid", "left_anti")
-        known = cut(_verify(_pairs(tokens, leaders, sizes, threshold, False), rows, threshold))
-        nodes = rows.select("rid").join(shadowed.withColumn("complete", F.lit(False)), "rid", "left").select(
-            "rid", F.coalesce("complete", F.lit(True)).alias("complete")
-        )
-        state = settle(nodes, known.unionByName(shadows))
+        hot = sizes.filter(col("size") > split_rows)
+        shadows = None
+        if not hot.isEmpty():
+            crowd = tokens.join(hot.select("token"), "token", "left_semi")
+            shadows = cut(_verify(_pairs(crowd, _front(crowd, front), hot, threshold, True, 1), rows, threshold))
+        nodes, leaders = rows.select("rid", F.lit(True).alias("complete")), tokens
+        if shadows is not None:
+            shadowed = shadows.select(col("hi").alias("rid")).distinct()
+            leaders = tokens.join(shadowed, "rid", "left_anti")
+            nodes = rows.select("rid").join(shadowed.withColumn("complete", F.lit(False)), "rid", "left").select(
+                "rid", F.coalesce("complete", F.lit(True)).alias("complete"))
+        known = _verify(_pairs(tokens, leaders, sizes, threshold, False), rows, threshold)
+        state = settle(nodes, cut(known if shadows is None else known.unionByName(shadows)))
         done = state.filter(col("state") == "kept").select("rid")
         kept = kept.unionByName(done)
         open_rows = state.filter(col("state") == "open").select("rid")
-        if open_rows.isEmpty():
+        if shadows is None or open_rows.isEmpty():
             return kept.select(col("rid").alias(row_id))
         open_tokens = cut(tokens.join(open_rows, "rid", "left_semi"))
         hits = _verify(_pairs(open_tokens, tokens.join(done, "rid", "left_semi"), sizes, threshold, True), rows, threshold)
@@ -172,7 +185,7 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
 # ---- the chain --------------------------------------------------------------------------
 
 def deduplicate(batch: DataFrame, stored: DataFrame, as_of: Column, row_id: str = "batch_seq",
-                front: int = FRONT) -> DataFrame:
+                split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Adds ``rule`` (null for unique rows). Each layer sees only survivors of the earlier
     ones: source flag, batch url, exact match with stored rows, fuzzy titles."""
     light = cut(batch.select(
@@ -184,7 +197,7 @@ def deduplicate(batch: DataFrame, stored: DataFrame, as_of: Column, row_id: str
     live = cut(marked.filter("first_of_url").drop("first_of_url"))
     exact = cut(stored_matches(live, stored, as_of, row_id))
     live = live.join(exact, row_id, "left_anti")
-    alive = fuzzy_survivors(live, row_id, front=front)
+    alive = fuzzy_survivors(live, row_id, split_rows=split_rows)
     rules = (
         light.filter("flagged").select(row_id, F.lit("dedup_newsdata_flag").alias("rule"))
         .unionByName(marked.filter(~col("first_of_url")).select(row_id, F.lit("dedup_batch_url").alias("rule")))

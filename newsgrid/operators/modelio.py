@@ -80,7 +80,7 @@ def parse_classification(batches: DataFrame) -> DataFrame:
     results = F.from_json(text, schemas.CLASSIFICATION)
     readable = F.try_parse_json(text).isNotNull()
     failure = F.when(~F.coalesce(readable, F.lit(False)), "llm_parse_error").when(
-        results.isNull() | (F.size(results) != col("n")), "llm_count_mismatch")
+        ~F.coalesce(F.json_array_length(text) == col("n"), F.lit(False)), "llm_count_mismatch")
     rows = batches.select("batch_id", failure.alias("failure"), results.alias("results"),
                           F.explode(F.sequence(F.lit(0), (col("n") - 1).cast("int"))).alias("pos"))
     r = F.when(col("failure").isNull(), F.get("results", col("pos")))

@@ -11,8 +11,8 @@ RANGE_WIDTH = 100_000
 
 def dense_number(df: DataFrame, id_col: str, out: str, major: list[str] | None = None,
                  width: int = RANGE_WIDTH) -> DataFrame:
-    """Number rows 1..n in the order (major..., id). ``id_col`` is a unique long and the
-    ``major`` columns are not null.
+    """Number rows 1..n in the order (major..., id). ``id_col`` is a unique long; the
+    ``major`` columns are not null and have few values.
 
     A global ``row_number`` would sort everything in one task. Here ids are cut into fixed
     ranges: only the small table of range counts is summed in one place, the rows

@@ -23,7 +23,8 @@ from ..session import cut, drop_cut
 from . import numbering
 
 col = F.col
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 8000
+PRODUCT_ROWS = 1000
 CHUNK_ROWS = 2000
 STATE_PART = 500
 
@@ -38,6 +39,14 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _reaches(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold, computed in slices to keep the product small."""
+    out = np.empty((len(a), len(b)), bool)
+    for i in range(0, len(a), PRODUCT_ROWS):
+        np.greater_equal(a[i:i + PRODUCT_ROWS] @ b.T, threshold, out=out[i:i + PRODUCT_ROWS])
+    return out
+
+
 def _forest(adj: np.ndarray) -> Iterator[tuple[list[int], list[int]]]:
     """Components of a bipartite boolean matrix as (row indexes, column indexes)."""
     rows_left = np.ones(adj.shape[0], bool)
@@ -84,7 +93,7 @@ def linked_components(rows: DataFrame, threshold: float, block_rows: int = BLOCK
         left, right = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
         out: list[tuple[str, str]] = []
         if len(left) and len(right):
-            adj = _unit(left["embedding"]) @ _unit(right["embedding"]).T >= threshold
+            adj = _reaches(_unit(left["embedding"]), _unit(right["embedding"]), threshold)
             if skip_kind is not None:
                 adj &= ~np.outer((left["kind"] == skip_kind).to_numpy(), (right["kind"] == skip_kind).to_numpy())
             ln, rn = left["node"].to_numpy(), right["node"].to_numpy()
@@ -182,7 +191,7 @@ def _window_scores(articles: pd.DataFrame, stories: pd.DataFrame) -> np.ndarray:
 
 
 def match_snapshot(articles: DataFrame, windows: DataFrame, threshold: float = config.STORY_MATCH_SCORE,
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = CHUNK_ROWS) -> DataFrame:
     """(id, story_id, score): best story of every article against the story windows as they
     stand, at or above the threshold; ties go to the lower story id.
 

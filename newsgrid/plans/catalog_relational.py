@@ -46,13 +46,11 @@ def _(v: Views):
 
 
 @query("joi_02_followed_stories", f"""{with_views('follows')}
-SELECT row_number() OVER (ORDER BY s.last_updated_at DESC, f.story_id) AS pos, f.story_id, s.title AS story_title, s.article_count, s.llm_category, {C.ts('s.last_updated_at')} AS last_updated_at,
+SELECT f.story_id, s.title AS story_title, s.article_count, s.llm_category, {C.ts('s.last_updated_at')} AS last_updated_at,
  {C.ts('f.last_seen_at')} AS last_seen_at FROM follows f JOIN stories s ON s.id = f.story_id WHERE f.user_id IS NULL""")
 def _(v: Views):
-    rows = timeline.followed_stories(v.follows, v.stories)
-    newest = (F.unix_micros(F.lit("2100-01-01").cast("timestamp")) - F.unix_micros("last_updated_at")).alias("age")
-    numbered = numbering.dense_number(rows.withColumn("age", newest), "story_id", "pos", ["age"])
-    return numbered.select("pos", "story_id", "story_title", "article_count", "llm_category", "last_updated_at", "last_seen_at")
+    rows = timeline.followed_stories(v.follows, v.stories).orderBy(col("last_updated_at").desc(), "story_id")
+    return rows.select("story_id", "story_title", "article_count", "llm_category", "last_updated_at", "last_seen_at")
 
 
 @query("joi_03_is_followed", f"""{with_views('follows')}
@@ -596,8 +594,10 @@ b AS (SELECT id, 1 AS part, row_number() OVER (ORDER BY id DESC) - 1 AS pos FROM
 u AS (SELECT id, arg_min(part, part * 1000000000 + pos) AS part, arg_min(pos, part * 1000000000 + pos) AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b) q GROUP BY id)
 SELECT id, part::BIGINT AS part, pos FROM u""")
 def _(v: Views):
-    newest = (F.lit(4102444800) - F.unix_timestamp("published_at")).alias("age")
-    first = numbering.dense_number(v.articles.filter("llm_tier = 'A'").select("id", newest), "id", "no", ["age"]).select("id", (col("no") - 1).alias("pos"))
+    # one unique number that sorts by age, then id; ranges of an hour
+    age = (F.lit(4102444800) - F.unix_timestamp("published_at")) * 10_000_000 + col("id")
+    first = numbering.dense_number(v.articles.filter("llm_tier = 'A'").select("id", age.alias("age")), "age", "no", width=36_000_000_000)
+    first = first.select("id", (col("no") - 1).alias("pos"))
     back = v.articles.filter("id % 2 = 0").select("id", (-col("id")).alias("neg"))
     second = numbering.dense_number(back, "neg", "no").select("id", (col("no") - 1).alias("pos"))
     return brief.ordered_union(first, second)

@@ -185,9 +185,13 @@ def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
             filters.low_relevance(col("r.relevance_score")) if name == "thenewsapi"
             else filters.low_authority(col("r.source_priority")) if name == "newsdata" else F.lit(False)
         )
-        raw = r.agg(F.count(F.lit(1)).alias("raw_count"), F.count_if(gate).alias("rejected_count"))
+        source = F.lit(name).alias("source_api")
+        raw = r.groupBy(source).agg(F.count(F.lit(1)).alias("raw_count"), F.count_if(gate).alias("rejected_count"))
         marked = first_per_url(NORMALISERS[name](frame, as_of))
-        unique = marked.agg(F.count_if("first_of_url").alias("normalized_count"), F.count_if(~col("first_of_url")).alias("duplicate_urls"))
-        row = raw.join(unique).select(F.lit(name).alias("source_api"), "raw_count", "normalized_count", "duplicate_urls", "rejected_count")
+        unique = marked.groupBy("source_api").agg(
+            F.count_if("first_of_url").alias("normalized_count"), F.count_if(~col("first_of_url")).alias("duplicate_urls"))
+        zero = {n: F.coalesce(n, F.lit(0)) for n in ("normalized_count", "duplicate_urls")}
+        row = raw.join(unique, "source_api", "left").withColumns(zero).select(
+            "source_api", "raw_count", "normalized_count", "duplicate_urls", "rejected_count")
         out = row if out is None else out.unionByName(row)
     return out

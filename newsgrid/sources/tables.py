@@ -57,8 +57,12 @@ def new_articles(accepted: DataFrame, stored: DataFrame, seq: str = "batch_seq")
     first = numbering.mark_first(accepted, ["url"], [], seq, "_first").filter("_first").drop("_first")
     fresh = first.join(stored.select("url"), "url", "left_anti")
     numbered = numbering.dense_number(fresh, seq, "_no")
-    start = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_start"))
-    return numbered.join(F.broadcast(start)).withColumn("id", col("_start") + col("_no")).drop("_start", "_no")
+    return numbered.withColumn("id", last_id(stored) + col("_no")).drop("_no")
+
+
+def last_id(table: DataFrame) -> Column:
+    """Highest id of a table as a scalar subquery; zero for an empty table."""
+    return table.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
 
 
 def tier_rejections(classified: DataFrame) -> DataFrame:
@@ -92,9 +96,8 @@ def new_stories(clusters: DataFrame, articles: DataFrame, stories: DataFrame, as
     members = clusters.join(articles.select("id", "embedding"), "id")
     agg = group_centroids(members.withColumnRenamed("seed_id", "key"), "key").withColumnRenamed("key", "seed_id")
     numbered = numbering.dense_number(agg, "seed_id", "_no")
-    start = stories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_start"))
-    rows = numbered.join(F.broadcast(start)).select(
-        (col("_start") + col("_no")).alias("id"), "seed_id", "centroid", F.lit("active").alias("status"),
+    rows = numbered.select(
+        (last_id(stories) + col("_no")).alias("id"), "seed_id", "centroid", F.lit("active").alias("status"),
         col("n").alias("article_count"), as_of.alias("first_seen_at"), as_of.alias("last_updated_at"))
     assigned = clusters.join(rows.select("seed_id", col("id").alias("story_id")), "seed_id").select("id", "story_id")
     return rows, assigned
