@@ -35,40 +35,32 @@ def majority(articles: DataFrame, value: str, where: Column | None = None) -> Da
 def story_keywords(articles: DataFrame, limit: int = 20) -> DataFrame:
     """(story_id, keyword_set). Up to two articles: the keywords of the most important one.
     Three to five: the union in order of importance. From six on: keywords that occur at
-    least twice, most frequent first. Lists are only collected for stories of at most five
-    articles; larger stories are counted."""
-    rows = articles.filter(col("story_id").isNotNull()).select(
-        "story_id", "id", "api_keywords",
-        F.struct(
-            col("importance_score").isNull().alias("missing"),
-            (-F.coalesce("importance_score", F.lit(0.0))).alias("low"), "id",
-        ).alias("ord"),
-        (-F.coalesce("importance_score", F.lit(0.0))).alias("low"),
-    )
-    sizes = rows.groupBy("story_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(sizes, "story_id")
+    least twice, most frequent first.
+
+    The six most important articles per story tell the size class and serve the small
+    stories; lists never hold more. Larger stories are counted per (story, keyword)."""
     none = F.array().cast("array<string>")
-    kws = F.coalesce("api_keywords", none)
-
-    one = rows.filter(col("n") <= 2).groupBy("story_id").agg(
-        F.min(F.struct("low", "ord", kws.alias("k"))).alias("m")
-    ).select("story_id", F.slice("m.k", 1, limit).alias("keyword_set"))
-    few = rows.filter((col("n") > 2) & (col("n") <= 5)).groupBy("story_id").agg(
-        F.sort_array(F.collect_list(F.struct("ord", kws.alias("k")))).alias("l")
-    ).select("story_id", F.slice(F.array_distinct(F.flatten("l.k")), 1, limit).alias("keyword_set"))
+    low = -F.coalesce("importance_score", F.lit(0.0))
+    rows = articles.filter(col("story_id").isNotNull()).select(
+        "story_id", "id", F.coalesce("api_keywords", none).alias("kws"), low.alias("low"),
+        col("importance_score").isNull().alias("missing"))
+    first = numbering.top_per_key(rows, ["story_id"], [col("missing"), col("low"), col("id")], 6)
+    lists = first.groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("rank", "low", "kws"))).alias("l"))
+    best = F.array_min(F.transform("l", lambda x: F.struct(x["low"], x["rank"], x["kws"])))
+    n = F.size("l")
+    small = F.when(n <= 2, best["kws"]).otherwise(F.array_distinct(F.flatten("l.kws")))
+    lists = lists.select("story_id", (n > 5).alias("large"), F.when(n <= 5, F.slice(small, 1, limit)).alias("small"))
+
     counts = (
-        rows.filter(col("n") > 5).select("story_id", "ord", F.posexplode("api_keywords").alias("pos", "kw"))
+        rows.select("story_id", F.struct("missing", "low", "id").alias("ord"), F.posexplode("kws").alias("pos", "kw"))
         .groupBy("story_id", "kw").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "pos")).alias("first"))
         .filter(col("c") >= 2)
     )
     top = numbering.top_per_key(counts, ["story_id"], [col("c").desc(), col("first")], limit)
     many = top.groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("rank", "kw"))).alias("l")).select(
-        "story_id", col("l.kw").alias("keyword_set")
-    )
-    many = sizes.filter(col("n") > 5).select("story_id").join(many, "story_id", "left").select(
-        "story_id", F.coalesce("keyword_set", none).alias("keyword_set")
-    )
-    return one.unionByName(few).unionByName(many)
+        "story_id", col("l.kw").alias("frequent"))
+    return lists.join(many, "story_id", "left").select(
+        "story_id", F.when(col("large"), F.coalesce("frequent", none)).otherwise(col("small")).alias("keyword_set"))
 
 
 def group_centroids(articles: DataFrame, key: str = "story_id") -> DataFrame:

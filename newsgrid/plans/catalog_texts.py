@@ -22,7 +22,22 @@ def _(v: Views):
     return textjobs.page_texts(v.pages)
 
 
-@query("txt_02_strip_bylines")
+_BYLINED = """SELECT doc_id, 'Jane Reporter ' || (doc_id % 5) AS nm, 'Jane Reporter ' || (doc_id % 5) || chr(10) || chr(10) || 'By Jane Reporter ' || (doc_id % 5) || ', News Desk' || chr(10) || chr(10)
+ || CASE WHEN doc_id % 3 = 0 THEN 'Published 3 hours ago' || chr(10) || chr(10) ELSE '' END || text AS t FROM documents"""
+
+
+@query("txt_02_strip_bylines", f"""
+WITH RECURSIVE src AS ({_BYLINED}), b AS (SELECT doc_id, lower(nm) AS nm, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k, b FROM (
+ SELECT doc_id, nm, unnest(string_split(t, chr(10) || chr(10))) AS b, unnest(generate_series(1, len(string_split(t, chr(10) || chr(10))))) AS p FROM src) q WHERE {C.trim('b')} <> ''),
+f AS (SELECT *, {C.trim('b')} AS x, lower({C.trim('b')}) AS low FROM b),
+g AS (SELECT *, CASE WHEN contains(low, nm) THEN length(nm)::DOUBLE / length(x) > 0.5 OR length(x) < length(nm) + 40 ELSE length(x) < length(nm) AND contains(nm, low) END AS by_name,
+ length(x) < 80 AND NOT ends_with(x, '.') AND regexp_matches(x, {C.q('(?i)' + rules.BYLINE_META)}) AS meta FROM f),
+walk(doc_id, k, n, keep) AS (SELECT DISTINCT doc_id, 0::BIGINT, 0, []::BIGINT[] FROM src UNION ALL
+ SELECT g.doc_id, g.k, CASE WHEN d THEN n + 1 ELSE n END, CASE WHEN d THEN keep ELSE list_append(keep, g.k) END FROM (
+  SELECT g.doc_id, g.k, w.n, w.keep, w.n < 3 AND (g.by_name OR (w.n > 0 AND g.meta)) AS d FROM walk w JOIN g ON g.doc_id = w.doc_id AND g.k = w.k + 1) g),
+kept AS (SELECT doc_id, unnest(keep) AS k FROM (SELECT doc_id, arg_max(keep, k) AS keep FROM walk GROUP BY doc_id) z),
+res AS (SELECT src.doc_id, any_value(src.t) AS t, coalesce(string_agg(b.b, chr(10) || chr(10) ORDER BY b.k), '') AS out FROM src LEFT JOIN kept USING (doc_id) LEFT JOIN b USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, CASE WHEN length(out) < length(t) * 0.4 THEN t ELSE out END AS text FROM res""")
 def _(v: Views):
     """Documents with a byline, its repetition and a time line in front."""
     name = F.concat(F.lit("Jane Reporter "), (col("doc_id") % 5).cast("string"))
@@ -165,7 +180,13 @@ def first_words(texts: list[str]) -> list[str]:
     return ["• " + " ".join((t or "").split()[:5]) for t in texts]
 
 
-@query("mod_10_two_level_summary")
+_FIVE = "'• ' || array_to_string(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')[1:5], ' ')"
+
+
+@query("mod_10_two_level_summary", f"""{ART},
+one AS (SELECT id, id // 3 AS story_id, {_FIVE.format(x='title')} AS s FROM articles), st AS (SELECT story_id, count(*) AS n, string_agg(s, chr(10) || chr(10) ORDER BY id) AS t FROM one GROUP BY 1),
+two AS (SELECT story_id, CASE WHEN n = 1 THEN t ELSE {_FIVE.format(x='t')} END AS summary FROM st)
+SELECT story_id, summary, substr(regexp_replace(string_split(summary, chr(10))[1], '^[•\\-*]\\s*', ''), 1, 500) AS title FROM two""")
 def _(v: Views):
     rows = v.articles.select("id", F.floor(col("id") / 3).alias("story_id"), "title").withColumnRenamed("title", "text")
     return modelio.two_level_summary(rows, first_words)

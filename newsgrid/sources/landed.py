@@ -178,20 +178,20 @@ def tolerant(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], s
 
 def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """Per source: raw records, normalised rows, duplicate urls, rejected by score or priority."""
-    out = None
+    parts = []
     for name, frame in pages.items():
         r = records(frame, name)
         gate = (
             filters.low_relevance(col("r.relevance_score")) if name == "thenewsapi"
             else filters.low_authority(col("r.source_priority")) if name == "newsdata" else F.lit(False)
         )
-        source = F.lit(name).alias("source_api")
-        raw = r.groupBy(source).agg(F.count(F.lit(1)).alias("raw_count"), F.count_if(gate).alias("rejected_count"))
-        marked = first_per_url(NORMALISERS[name](frame, as_of))
-        unique = marked.groupBy("source_api").agg(
-            F.count_if("first_of_url").alias("normalized_count"), F.count_if(~col("first_of_url")).alias("duplicate_urls"))
-        zero = {n: F.coalesce(n, F.lit(0)) for n in ("normalized_count", "duplicate_urls")}
-        row = raw.join(unique, "source_api", "left").withColumns(zero).select(
-            "source_api", "raw_count", "normalized_count", "duplicate_urls", "rejected_count")
-        out = row if out is None else out.unionByName(row)
-    return out
+        parts.append(r.select(F.lit(name).alias("source_api"), F.lit(True).alias("raw"), gate.alias("flag")))
+        unique = first_per_url(NORMALISERS[name](frame, as_of))
+        parts.append(unique.select("source_api", F.lit(False).alias("raw"), col("first_of_url").alias("flag")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    raw, flag = col("raw"), col("flag")
+    return every.groupBy("source_api").agg(
+        F.count_if(raw).alias("raw_count"), F.count_if(~raw & flag).alias("normalized_count"),
+        F.count_if(~raw & ~flag).alias("duplicate_urls"), F.count_if(raw & flag).alias("rejected_count"))
