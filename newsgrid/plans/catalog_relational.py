@@ -8,7 +8,7 @@ from ..functions import vectors as V
 from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, textjobs, timeline
 from ..sources import feeds, landed, tables
 from . import check_sql as C
-from .catalog_scans import PAGES, _SOURCES, _backfill, _BACKFILL, _ALL_SOURCES
+from .catalog_scans import PAGES, _SOURCES, _backfill, _BACKFILL, _ALL_SOURCES, _WHOLE_SOURCES, source_pages
 from .registry import query
 from .views import Views, as_of, union_all, with_views
 
@@ -279,11 +279,11 @@ def _(v: Views):
 
 @query("agg_09_weighted_centroid", f"""{with_views('incoming', 'stored', 'vectors')},
 o AS (SELECT a.story_id, u.i, avg(v.embedding[u.i]) AS m, count(*) AS n FROM stored a JOIN vectors v ON v.id = a.id, (SELECT unnest(range(1, 65)) AS i) u WHERE a.story_id IS NOT NULL GROUP BY 1, 2),
-w AS (SELECT a.story_id, u.i, sum(v.embedding[u.i]) AS s, count(*) AS k FROM incoming a JOIN vectors v ON v.id = a.id, (SELECT unnest(range(1, 65)) AS i) u WHERE a.story_id % 2 = 0 GROUP BY 1, 2)
+w AS (SELECT a.story_id, u.i, sum(v.embedding[u.i]) AS s, count(*) AS k FROM incoming a JOIN vectors v ON v.id = a.id, (SELECT unnest(range(1, 65)) AS i) u WHERE a.story_id IS NOT NULL GROUP BY 1, 2)
 SELECT o.story_id AS id, o.i - 1 AS pos, {C.r('CASE WHEN w.s IS NULL THEN o.m ELSE (o.m * o.n + w.s) / (o.n + w.k) END')} AS value, o.n + coalesce(w.k, 0) AS article_count FROM o LEFT JOIN w USING (story_id, i)""")
 def _(v: Views):
     old = stories.group_centroids(v.embedded("stored")).select(col("story_id").alias("id"), "centroid", col("n").alias("article_count"))
-    added = v.embedded("incoming").filter("story_id % 2 = 0")
+    added = v.embedded("incoming").filter("story_id IS NOT NULL")
     return stories.merge_centroids(old, added).select("id", F.posexplode("centroid").alias("pos", "value"), "article_count")
 
 
@@ -336,10 +336,13 @@ def _(v: Views):
     return stories.score_stories(v.stories, v.articles, as_of()).select("id", "importance_score", "representative_article_id")
 
 
-@query("agg_13_article_counts", f"""{with_views('stories', 'vectors')}
-SELECT s.id, coalesce(n.n, s.article_count) AS article_count FROM stories s LEFT JOIN (SELECT a.story_id, count(*) AS n FROM articles a JOIN vectors v ON v.id = a.id WHERE a.story_id IS NOT NULL AND a.id % 3 <> 0 GROUP BY 1) n ON n.story_id = s.id""")
+@query("agg_13_article_counts", f"""{with_views('stories', 'vectors')}, gone AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY story_id, source_name ORDER BY coalesce(importance_score, 0) DESC, id) > 1 AS a,
+ row_number() OVER (PARTITION BY story_id, {C.url_hash('url')} ORDER BY coalesce(importance_score, 0) DESC, id) > 1 AS b FROM articles WHERE story_id IS NOT NULL) q WHERE a OR b)
+SELECT s.id, coalesce(n.n, s.article_count) AS article_count FROM stories s LEFT JOIN (
+ SELECT a.story_id, count(*) AS n FROM articles a JOIN vectors v ON v.id = a.id WHERE a.story_id IS NOT NULL AND a.id NOT IN (SELECT id FROM gone) GROUP BY 1) n ON n.story_id = s.id""")
 def _(v: Views):
-    left = v.embedded().filter(col("id") % 3 != 0)
+    gone = dedup.evictions(v.articles.withColumn("normalized_url_hash", S.url_hash(col("url"))))
+    left = v.embedded().join(gone.select("id"), "id", "left_anti")
     return stories.recounted(v.stories, left).select("id", "article_count")
 
 
@@ -388,9 +391,9 @@ def _(v: Views):
         F.count_if(timeline.is_new(col("last_seen_at"), col("published_at"))).alias("new_since_last_seen"))
 
 
-@query("agg_16_fetch_stats", f"""WITH u AS (SELECT source_api, seq, normalized_url_hash, row_number() OVER (PARTITION BY source_api, normalized_url_hash ORDER BY seq) AS rn FROM ({_ALL_SOURCES}) z),
-raw AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'worldnews' WHEN 1 THEN 'newsdata' WHEN 2 THEN 'webzio' ELSE 'thenewsapi' END AS source_api, count(*) AS raw_count,
- count(*) FILTER (WHERE (doc_id % 4 = 1 AND (doc_id * 7919) % 15000 > 10000) OR (doc_id % 4 = 3 AND doc_id % 5 <> 0 AND (doc_id % 50) + 0.5 < 25)) AS rejected_count FROM documents GROUP BY 1)
+@query("agg_16_fetch_stats", f"""WITH u AS (SELECT source_api, seq, normalized_url_hash, row_number() OVER (PARTITION BY source_api, normalized_url_hash ORDER BY seq) AS rn FROM ({_WHOLE_SOURCES}) z),
+raw AS (SELECT s.source_api, count(*) AS raw_count, count(*) FILTER (WHERE (s.source_api = 'newsdata' AND (doc_id * 7919) % 15000 > 10000)
+ OR (s.source_api = 'thenewsapi' AND doc_id % 5 <> 0 AND (doc_id % 50) + 0.5 < 25)) AS rejected_count FROM documents, (SELECT unnest(['worldnews', 'webzio', 'thenewsapi', 'newsdata']) AS source_api) s GROUP BY 1)
 SELECT raw.source_api, raw_count, count(*) FILTER (WHERE rn = 1) AS normalized_count, count(*) FILTER (WHERE rn > 1) AS duplicate_urls, rejected_count FROM raw LEFT JOIN u ON u.source_api = raw.source_api GROUP BY ALL""")
 def _(v: Views):
     return landed.fetch_stats({name: pages(v) for name, pages in PAGES.items()}, as_of())
@@ -468,7 +471,7 @@ def _(v: Views):
 
 @query("win_09_source_url", f"""WITH u AS ({_ALL_SOURCES}) SELECT source_api, seq, row_number() OVER (PARTITION BY source_api, normalized_url_hash ORDER BY seq) = 1 AS first_of_url FROM u""")
 def _(v: Views):
-    every = union_all([landed.NORMALISERS[n](p(v), as_of()) for n, p in PAGES.items()])
+    every = union_all([landed.NORMALISERS[n](p, as_of()) for n, p in source_pages(v).items()])
     return landed.first_per_url(every).select("source_api", "seq", "first_of_url")
 
 
@@ -538,11 +541,11 @@ def _(v: Views):
     return brief.select_brief(_scored(v))
 
 
-# A pinned article for every other story: its oldest candidate.
-@query("top_05_story_timeline", f"""{with_views('articles', 'vectors', recursive=True)}, pins AS (SELECT story_id, max(id) AS pin FROM articles WHERE story_id % 2 = 0 AND published_at >= {C.AS_OF} - INTERVAL 4 DAY GROUP BY 1),
+# The oldest recent article of every story is pinned.
+@query("top_05_story_timeline", f"""{with_views('articles', 'vectors', recursive=True)}, pins AS (SELECT story_id, max(id) AS pin FROM articles WHERE story_id IS NOT NULL AND published_at >= {C.AS_OF} - INTERVAL 4 DAY GROUP BY 1),
 {_line_check('coalesce((SELECT pin FROM pins WHERE pins.story_id = c.story_id), -1)')} SELECT story_id, id, pos FROM line""")
 def _(v: Views):
-    pins = v.articles.filter((col("story_id") % 2 == 0) & filters.since(col("published_at"), as_of(), "4 DAYS")).groupBy("story_id").agg(F.max("id").alias("pinned_id"))
+    pins = v.articles.filter(col("story_id").isNotNull() & filters.since(col("published_at"), as_of(), "4 DAYS")).groupBy("story_id").agg(F.max("id").alias("pinned_id"))
     return timeline.select_timeline(timeline.daily_candidates(v.embedded(), as_of()), pins)
 
 
@@ -566,7 +569,7 @@ def _(v: Views):
 
 @query("top_08_run_cap", f"WITH u AS ({_ALL_SOURCES}) SELECT source_api, seq FROM u ORDER BY source_rank, seq LIMIT 150")
 def _(v: Views):
-    every = landed.concat_sources({n: landed.NORMALISERS[n](p(v), as_of()) for n, p in PAGES.items()})
+    every = landed.concat_sources({n: landed.NORMALISERS[n](p, as_of()) for n, p in source_pages(v).items()})
     return every.orderBy("batch_seq").limit(150).select("source_api", "seq")
 
 
@@ -590,7 +593,7 @@ def _(v: Views):
 
 @query("set_01_ordered_union", f"""{ART},
 a AS (SELECT id, 0 AS part, row_number() OVER (ORDER BY published_at DESC, id) - 1 AS pos FROM articles WHERE llm_tier = 'A'),
-b AS (SELECT id, 1 AS part, row_number() OVER (ORDER BY id DESC) - 1 AS pos FROM articles WHERE id % 2 = 0),
+b AS (SELECT id, 1 AS part, row_number() OVER (ORDER BY id DESC) - 1 AS pos FROM articles WHERE llm_category = 'policy'),
 u AS (SELECT id, arg_min(part, part * 1000000000 + pos) AS part, arg_min(pos, part * 1000000000 + pos) AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b) q GROUP BY id)
 SELECT id, part::BIGINT AS part, pos FROM u""")
 def _(v: Views):
@@ -598,7 +601,7 @@ def _(v: Views):
     age = (F.lit(4102444800) - F.unix_timestamp("published_at")) * 10_000_000 + col("id")
     first = numbering.dense_number(v.articles.filter("llm_tier = 'A'").select("id", age.alias("age")), "age", "no", width=36_000_000_000)
     first = first.select("id", (col("no") - 1).alias("pos"))
-    back = v.articles.filter("id % 2 = 0").select("id", (-col("id")).alias("neg"))
+    back = v.articles.filter("llm_category = 'policy'").select("id", (-col("id")).alias("neg"))
     second = numbering.dense_number(back, "neg", "no").select("id", (col("no") - 1).alias("pos"))
     return brief.ordered_union(first, second)
 
@@ -609,14 +612,14 @@ def _(v: Views):
     return v.incoming.select("id").join(matched, "id", "left_anti")
 
 
-@query("set_03_affected_stories", f"""{ART} SELECT story_id FROM articles WHERE id % 3 = 0 AND story_id IS NOT NULL UNION SELECT 1000000 + id // 50 FROM articles WHERE id % 3 = 1""")
+@query("set_03_affected_stories", f"""{ART} SELECT story_id FROM articles WHERE llm_tier = 'A' AND story_id IS NOT NULL UNION SELECT 1000000 + id // 50 FROM articles WHERE llm_tier = 'B'""")
 def _(v: Views):
-    matched = v.articles.filter("id % 3 = 0 AND story_id IS NOT NULL").select("story_id")
-    new = v.articles.filter("id % 3 = 1").select((1000000 + F.floor(col("id") / 50)).alias("story_id"))
+    matched = v.articles.filter("llm_tier = 'A' AND story_id IS NOT NULL").select("story_id")
+    new = v.articles.filter("llm_tier = 'B'").select((1000000 + F.floor(col("id") / 50)).alias("story_id"))
     return matched.unionByName(new).distinct()
 
 
-_CHAIN = f"""inc AS (SELECT *, {C.hashes()} FROM incoming), sto_recent AS (SELECT {C.hashes()} FROM stored WHERE published_at > {C.AS_OF} - INTERVAL 7 DAY AND id % 30 = 0),
+_CHAIN = f"""inc AS (SELECT *, {C.hashes()} FROM incoming), sto_recent AS (SELECT {C.hashes()} FROM stored WHERE published_at > {C.AS_OF} - INTERVAL 7 DAY),
 l5 AS (SELECT * FROM inc WHERE NOT api_duplicate_flag), l6 AS (SELECT *, row_number() OVER (PARTITION BY normalized_url_hash ORDER BY id) AS rn FROM l5),
 inc_live AS (SELECT * FROM l6 WHERE rn = 1), exact AS (SELECT id FROM inc_live WHERE {_EXACT}), rest AS (SELECT id, title FROM inc_live WHERE id NOT IN (SELECT id FROM exact))"""
 
@@ -626,7 +629,7 @@ SELECT id, CASE WHEN api_duplicate_flag THEN 'dedup_newsdata_flag' WHEN id IN (S
  WHEN id NOT IN (SELECT id FROM alive) THEN 'dedup_fuzzy' END AS rule FROM inc""")
 def _(v: Views):
     batch = dedup.article_hashes(v.incoming).withColumn("batch_seq", col("id"))
-    stored = dedup.article_hashes(v.stored.filter("id % 30 = 0"))
+    stored = dedup.article_hashes(v.stored)
     return dedup.deduplicate(batch, stored, as_of()).select("id", "rule")
 
 

@@ -29,13 +29,13 @@ def _text(c) -> F.Column:
     return c.cast("string")
 
 
-def worldnews_pages(v: Views):
+def worldnews_pages(v: Views, rows=None):
     i = col("doc_id")
     body = F.when(i % 12 == 4, F.concat(F.lit("Subscribe now"), F.lit("\n"), F.lit("ok"))).when(i % 12 == 8, F.lit(None)).otherwise(
         F.concat(F.lit("Also read this\n"), "text", F.lit("\n © 2024\n\n\n\ntail line")))
     when = F.date_format(as_of() - F.make_dt_interval(mins=(i * 7 % 43200).cast("int")), "yyyy-MM-dd HH:mm:ss")
     return _pages(
-        v.documents.filter(i % 4 == 0), "news",
+        v.documents if rows is None else rows, "news",
         _text(i).alias("id"), F.when(i % 40 == 0, F.lit("")).otherwise(F.concat(F.lit("https://www.Site"), _text(i % 7), F.lit(".example.com/news/"), _text(F.floor(i / 8) * 8), F.lit("/?x=1"))).alias("url"),
         F.substring("text", 1, 80).alias("title"), body.alias("text"), F.when(i % 8 == 0, F.substring("text", 1, 120)).alias("summary"),
         F.when(i % 8 == 0, when).alias("publishDate"), F.when(i % 16 == 4, when).when(i % 16 == 12, F.lit("bad date")).alias("publish_date"),
@@ -44,11 +44,11 @@ def worldnews_pages(v: Views):
         F.when(i % 5 != 0, col("lang")).alias("language"))
 
 
-def thenewsapi_pages(v: Views):
+def thenewsapi_pages(v: Views, rows=None):
     i = col("doc_id")
     when = F.date_format(as_of() - F.make_dt_interval(mins=(i * 7 % 43200).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'.000000Z'")
     return _pages(
-        v.documents.filter(i % 4 == 3), "data",
+        v.documents if rows is None else rows, "data",
         F.concat(F.lit("u-"), _text(i)).alias("uuid"), F.concat(F.lit("https://www.news"), _text(i % 5), F.lit(".example.com/a/"), _text(i)).alias("url"),
         F.substring("text", 1, 80).alias("title"), F.when(i % 12 == 3, F.lit("   ")).otherwise(F.concat(F.lit("  "), F.substring("text", 1, 120), F.lit(" "))).alias("description"),
         F.lit("snippet").alias("snippet"), F.when(i % 8 == 3, F.lit("")).otherwise(F.concat(F.lit("feed"), _text(i % 3), F.lit(".example.com"))).alias("source"),
@@ -57,12 +57,12 @@ def thenewsapi_pages(v: Views):
         F.lit("US").alias("locale"), col("lang").alias("language"))
 
 
-def newsdata_pages(v: Views):
+def newsdata_pages(v: Views, rows=None):
     i = col("doc_id")
     when = F.date_format(as_of() - F.make_dt_interval(mins=(i * 7 % 2400).cast("int")), "yyyy-MM-dd HH:mm:ss")
     text = F.when(i % 20 == 1, F.lit("ONLY AVAILABLE IN PAID PLANS")).when(i % 20 == 5, F.substring("text", 1, 150)).otherwise(F.substring("text", 1, 900))
     return _pages(
-        v.documents.filter(i % 4 == 1), "results",
+        v.documents if rows is None else rows, "results",
         F.concat(F.lit("n"), _text(i)).alias("article_id"), F.concat(F.lit("https://www.daily"), _text(i % 6), F.lit(".example.com/x/"), _text(i), F.lit("#top")).alias("link"),
         F.substring("text", 1, 80).alias("title"), text.alias("description"), when.alias("pubDate"), F.when(i % 8 == 1, F.lit("UTC")).alias("pubDateTZ"),
         F.when(i % 3 == 0, F.lit("https://www.origin.example.com")).when(i % 3 == 1, F.lit("not a url")).alias("source_url"),
@@ -71,7 +71,7 @@ def newsdata_pages(v: Views):
         F.array(F.lit("usn:1"), F.concat(F.lit("kw"), _text(i % 10)), F.lit("")).alias("keywords"), (i % 29 == 0).alias("duplicate"), col("lang").alias("language"))
 
 
-def webzio_pages(v: Views):
+def webzio_pages(v: Views, rows=None):
     i = col("doc_id")
     when = F.date_format(as_of() - F.make_dt_interval(mins=(i * 7 % 43200).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'.000+00:00'")
     thread = F.struct(
@@ -79,7 +79,7 @@ def webzio_pages(v: Views):
         F.lit("IN").alias("country"), (i % 1000).alias("domain_rank"), ((i % 10) / 10.0).alias("performance_score"),
         F.struct(F.struct(i.alias("likes")).alias("facebook")).alias("social"))
     return _pages(
-        v.documents.filter(i % 4 == 2), "posts",
+        v.documents if rows is None else rows, "posts",
         F.when(i % 12 != 2, F.concat(F.lit("https://www.post.example.com/p/"), _text(i))).alias("url"), F.substring("text", 1, 80).alias("title"),
         F.when(i % 20 == 2, F.lit("")).otherwise(F.substring("text", 1, 200)).alias("text"), when.alias("published"), F.lit("Desk").alias("author"),
         F.when(i % 3 == 0, F.lit("positive")).when(i % 3 == 1, F.lit("Negative")).alias("sentiment"), F.array(F.lit("Politics"), F.lit("Economy")).alias("categories"),
@@ -100,18 +100,18 @@ _SEQ = "(doc_id // 100) * 1000000 + row_number() OVER (PARTITION BY doc_id // 10
 _T43200 = f"{C.AS_OF} - (doc_id * 7 % 43200) * INTERVAL '1' MINUTE"
 
 CHECK_WORLDNEWS = f"""
-SELECT *, {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, doc_id::VARCHAR AS external_id, 'worldnews' AS source_api,
+SELECT * REPLACE (CASE WHEN length(content) >= 20 THEN content END AS content), {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, doc_id::VARCHAR AS external_id, 'worldnews' AS source_api,
  CASE WHEN doc_id % 40 = 0 THEN '' ELSE 'https://www.Site' || (doc_id % 7) || '.example.com/news/' || (doc_id // 8 * 8) || '/?x=1' END AS url,
  substr(text, 1, 80) AS title, CASE WHEN doc_id % 8 = 0 THEN substr(text, 1, 120) END AS description,
  CASE WHEN doc_id % 12 IN (4, 8) THEN NULL ELSE {C.boilerplate("'Also read this' || chr(10) || text || chr(10) || ' © 2024' || chr(10) || chr(10) || chr(10) || chr(10) || 'tail line'")} END AS content,
  CASE WHEN doc_id % 3 = 0 THEN 'Author ' || doc_id END AS author, 'site' || (doc_id % 7) || '.example.com' AS source_name,
  'site' || (doc_id % 7) || '.example.com' AS source_domain,
- {C.ts(f"CASE WHEN doc_id % 16 = 12 THEN {C.AS_OF} ELSE {_T43200} END")} AS published_at,
+ {C.ts(f"CASE WHEN doc_id % 8 = 0 OR doc_id % 16 = 4 THEN {_T43200} ELSE {C.AS_OF} END")} AS published_at,
  'politics' AS api_category, NULL::VARCHAR AS api_iptc_category, (doc_id % 21 - 10) / 10.0::DOUBLE AS api_sentiment,
  CASE WHEN doc_id % 5 <> 0 THEN lang ELSE 'en' END AS api_language, CASE WHEN doc_id % 16 = 0 THEN 'in' ELSE 'us' END AS api_country,
  '' AS api_keywords, NULL::BIGINT AS api_source_priority, NULL::DOUBLE AS api_relevance_score, NULL::BIGINT AS api_domain_rank,
  NULL::DOUBLE AS api_performance, NULL::BOOLEAN AS api_duplicate_flag
- FROM documents WHERE doc_id % 4 = 0) q WHERE url <> ''"""
+ FROM documents /*part*/) q WHERE url <> ''"""
 
 CHECK_THENEWSAPI = f"""
 SELECT *, {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, 'u-' || doc_id AS external_id, 'thenewsapi' AS source_api,
@@ -123,7 +123,7 @@ SELECT *, {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, 'u-' |
  CASE WHEN doc_id % 16 <> 15 THEN 'general, business' END AS api_iptc_category, NULL::DOUBLE AS api_sentiment, lang AS api_language, 'us' AS api_country,
  'k1|key ' || (doc_id % 9) AS api_keywords, NULL::BIGINT AS api_source_priority,
  CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 50) + 0.5::DOUBLE END AS api_relevance_score, NULL::BIGINT AS api_domain_rank, NULL::DOUBLE AS api_performance,
- NULL::BOOLEAN AS api_duplicate_flag FROM documents WHERE doc_id % 4 = 3) q WHERE NOT coalesce(api_relevance_score < 25, false)"""
+ NULL::BOOLEAN AS api_duplicate_flag FROM documents /*part*/) q WHERE NOT coalesce(api_relevance_score < 25, false)"""
 
 CHECK_NEWSDATA = f"""
 SELECT * EXCLUDE (t), {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, 'n' || doc_id AS external_id, 'newsdata' AS source_api,
@@ -134,7 +134,7 @@ SELECT * EXCLUDE (t), {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_
  {C.AS_OF} - (doc_id * 7 % 2400) * INTERVAL '1' MINUTE AS t, {C.ts(f"{C.AS_OF} - (doc_id * 7 % 2400) * INTERVAL '1' MINUTE")} AS published_at,
  'top, world' AS api_category, NULL::VARCHAR AS api_iptc_category, NULL::DOUBLE AS api_sentiment, lang AS api_language, 'india,us' AS api_country,
  'kw' || (doc_id % 10) AS api_keywords, (doc_id * 7919) % 15000 AS api_source_priority, NULL::DOUBLE AS api_relevance_score, NULL::BIGINT AS api_domain_rank,
- NULL::DOUBLE AS api_performance, doc_id % 29 = 0 AS api_duplicate_flag FROM documents WHERE doc_id % 4 = 1) q
+ NULL::DOUBLE AS api_performance, doc_id % 29 = 0 AS api_duplicate_flag FROM documents /*part*/) q
 WHERE api_source_priority <= 10000 AND t >= {C.AS_OF} - INTERVAL 30 HOUR AND NOT coalesce(content <> '' AND length(content) < 200, false)"""
 
 CHECK_WEBZIO = f"""
@@ -147,7 +147,7 @@ SELECT *, {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, NULL::
  CASE doc_id % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN -0.5::DOUBLE END AS api_sentiment, 'english' AS api_language, 'IN' AS api_country, 'Politics|Economy' AS api_keywords,
  NULL::BIGINT AS api_source_priority, NULL::DOUBLE AS api_relevance_score, doc_id % 1000 AS api_domain_rank, (doc_id % 10) / 10.0::DOUBLE AS api_performance,
  NULL::BOOLEAN AS api_duplicate_flag, 'Entity ' || (doc_id % 6) || ':org:0' AS entities, '{{"facebook":{{"likes":' || doc_id || '}}}}' AS api_social
- FROM documents WHERE doc_id % 4 = 2) q"""
+ FROM documents /*part*/) q"""
 
 
 @query("src_01_worldnews", CHECK_WORLDNEWS)
@@ -251,13 +251,31 @@ def _(v: Views):
     return feeds.day_ranges(feeds.domain_batches(sources), as_of(), F.lit(14)).select("batch_id", "domains", "day")
 
 
+def source_pages(v: Views) -> dict:
+    """Page tables that share the documents out between the sources, as the article view does."""
+    rows = v.articles.select(col("id").alias("doc_id"), col("body").alias("text"), col("api_language").alias("lang"), "source_api")
+    return {name: pages(v, rows.filter(col("source_api") == name)) for name, pages in PAGES.items()}
+
+
 def _unified(v: Views):
-    return {name: landed.NORMALISERS[name](pages(v), as_of()) for name, pages in PAGES.items()}
+    return {name: landed.NORMALISERS[name](pages, as_of()) for name, pages in source_pages(v).items()}
+
+
+def _part(sql: str, rest: int) -> str:
+    """The checking SQL of a source over its share of the documents."""
+    return sql.replace("/*part*/", f"WHERE doc_id % 4 = {rest}")
+
+
+_SHARES = [_part(CHECK_WORLDNEWS, 0), _part(CHECK_WEBZIO, 2), _part(CHECK_THENEWSAPI, 3), _part(CHECK_NEWSDATA, 1)]
+
+
+def _all_sources(parts: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {rank} AS source_rank, seq, source_api, url, title, normalized_url_hash FROM ({sql}) s{rank}" for rank, sql in enumerate(parts))
 
 
-_ALL_SOURCES = " UNION ALL ".join(
-    f"SELECT {rank} AS source_rank, seq, source_api, url, title, normalized_url_hash FROM ({sql}) s{rank}"
-    for rank, sql in enumerate([CHECK_WORLDNEWS, CHECK_WEBZIO, CHECK_THENEWSAPI, CHECK_NEWSDATA]))
+_ALL_SOURCES = _all_sources(_SHARES)
+_WHOLE_SOURCES = _all_sources([CHECK_WORLDNEWS, CHECK_WEBZIO, CHECK_THENEWSAPI, CHECK_NEWSDATA])
 
 
 @query("src_10_source_concat", f"WITH u AS ({_ALL_SOURCES}) SELECT row_number() OVER (ORDER BY source_rank, seq) AS batch_seq, source_rank::BIGINT AS source_rank, seq, url FROM u")
@@ -333,26 +351,27 @@ def _(v: Views):
 
 
 @query("snk_06_simplification_cache", f"""{with_views('simplifications')}
-SELECT a.id AS article_id, coalesce(c.text, CASE WHEN a.id % 10 <> 0 THEN 'made ' || a.id END) AS text, c.text IS NOT NULL AS from_cache
+SELECT a.id AS article_id, coalesce(c.text, CASE WHEN a.llm_category <> 'none' THEN 'made ' || a.id END) AS text, c.text IS NOT NULL AS from_cache
 FROM articles a LEFT JOIN simplifications c ON c.article_id = a.id AND c.level = 'simple'""")
 def _(v: Views):
     wanted = v.articles.select(col("id").alias("article_id"), F.lit("simple").alias("level"))
-    produced = wanted.filter(col("article_id") % 10 != 0).withColumn("text", F.concat(F.lit("made "), _text(col("article_id"))))
+    made = v.articles.filter("llm_category <> 'none'")
+    produced = made.select(col("id").alias("article_id"), F.lit("simple").alias("level"), F.concat(F.lit("made "), _text(col("id"))).alias("text"))
     return tables.fill_cache(v.simplifications, wanted, produced)[0].drop("level")
 
 
 @query("snk_07_embedding_update", f"""{with_views('articles', 'vectors')}
-SELECT a.id, {C.r('CASE WHEN a.id % 3 = 0 THEN v.embedding[2] ELSE v.embedding[1] END')} AS first_value FROM articles a LEFT JOIN vectors v ON v.id = a.id""")
+SELECT a.id, {C.r("CASE WHEN a.llm_tier = 'A' THEN v.embedding[2] ELSE v.embedding[1] END")} AS first_value FROM articles a LEFT JOIN vectors v ON v.id = a.id""")
 def _(v: Views):
-    updates = v.vectors.filter(col("id") % 3 == 0).select("id", F.reverse(F.slice("embedding", 1, 2)).alias("embedding"))
+    updates = v.embedded().filter("llm_tier = 'A' AND embedding IS NOT NULL").select("id", F.reverse(F.slice("embedding", 1, 2)).alias("embedding"))
     done = tables.update_columns(v.embedded(), updates, "id", ["embedding"])
     return done.select("id", F.get("embedding", F.lit(0)).alias("first_value"))
 
 
 @query("snk_08_enrichment_update", f"""{ART}
-SELECT id, CASE WHEN id % 4 = 0 THEN 'new ' || id ELSE full_text END AS full_text, CASE WHEN id % 4 = 0 THEN 'full' ELSE scrape_status END AS scrape_status FROM articles""")
+SELECT id, CASE WHEN scrape_status = 'failed' THEN 'new ' || id ELSE full_text END AS full_text, CASE WHEN scrape_status = 'failed' THEN 'full' ELSE scrape_status END AS scrape_status FROM articles""")
 def _(v: Views):
-    updates = v.articles.filter(col("id") % 4 == 0).select("id", F.concat(F.lit("new "), _text(col("id"))).alias("full_text"), F.lit("full").alias("scrape_status"))
+    updates = v.articles.filter("scrape_status = 'failed'").select("id", F.concat(F.lit("new "), _text(col("id"))).alias("full_text"), F.lit("full").alias("scrape_status"))
     return tables.update_columns(v.articles, updates, "id", ["full_text", "scrape_status"]).select("id", "full_text", "scrape_status")
 
 
@@ -421,6 +440,6 @@ _COMMON = "url, title, description, content, source_domain, published_at, api_ca
 _CHECK_FIELDS = "WITH u AS (" + " UNION ALL ".join(
     f"SELECT {rank} AS source_rank, seq, {_COMMON}, {entities} AS entities FROM ({sql}) s{rank}"
     for rank, (sql, entities) in enumerate([
-        (CHECK_WORLDNEWS, "''"), (CHECK_WEBZIO, "replace(entities, ':org:0', ' (org)')"), (CHECK_THENEWSAPI, "''"), (CHECK_NEWSDATA, "''")])
+        (_SHARES[0], "''"), (_SHARES[1], "replace(entities, ':org:0', ' (org)')"), (_SHARES[2], "''"), (_SHARES[3], "''")])
 ) + """), fields AS (SELECT *, row_number() OVER (ORDER BY source_rank, seq) AS n, replace(api_keywords, '|', ', ') AS keywords,
  (coalesce(length(description), 0) + coalesce(length(content), 0)) AS ctx FROM u)"""

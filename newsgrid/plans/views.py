@@ -173,8 +173,8 @@ SHARED = {
     "messages": _MESSAGES,
     "keywords": "SELECT id, CASE WHEN id % 7 <> 0 THEN {KEYWORDS} END AS api_keywords FROM {articles}",
     "responses": _RESPONSES,
-    "incoming": "SELECT * FROM {articles} WHERE id % 3 <> 0",
-    "stored": "SELECT * FROM {articles} WHERE id % 3 = 0",
+    "incoming": "SELECT * FROM {articles} WHERE published_at >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL '1' DAY",
+    "stored": "SELECT * FROM {articles} WHERE published_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL '1' DAY",
     "briefs": """
 SELECT CAST(published_at AS DATE) AS brief_date, {ID_LIST} AS article_ids, CAST(NULL AS BIGINT) AS user_id
 FROM (SELECT id, published_at, row_number() OVER (PARTITION BY CAST(published_at AS DATE) ORDER BY id * 37 % 101, id) AS rn FROM {articles}) q

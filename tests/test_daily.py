@@ -30,7 +30,7 @@ MODELS = daily.Models(classify, embed, lambda ts: ["• " + t[:20] for t in ts])
 @pytest.fixture(scope="module")
 def runs(spark, views, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("state"))
-    pages = {n: p(views) for n, p in catalog_scans.PAGES.items()}
+    pages = catalog_scans.source_pages(views)
     first = daily.run_day(spark, pages, root, F.lit("2024-01-15").cast("timestamp"), MODELS)
     later = {n: p.filter("page_id % 2 = 0") for n, p in pages.items()}
     second = daily.run_day(spark, later, root, F.lit("2024-01-15 12:00:00").cast("timestamp"), MODELS)
