@@ -308,7 +308,7 @@ def _(v: Views):
 
 @query("snk_01_insert_articles", f"""{with_views('incoming', 'stored')},
 f AS (SELECT regexp_replace(url, '[?].*', '') AS url, min(id) AS seq FROM incoming GROUP BY 1), s AS (SELECT regexp_replace(url, '[?].*', '') AS url, id FROM stored)
-SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY seq) AS id, seq AS batch_seq, url FROM f WHERE url NOT IN (SELECT url FROM s)""")
+SELECT (SELECT coalesce(max(id), 0) FROM s) + row_number() OVER (ORDER BY seq) AS id, seq AS batch_seq, url FROM f WHERE url NOT IN (SELECT url FROM s)""")
 def _(v: Views):
     short = F.regexp_replace("url", "[?].*", "")
     accepted = v.incoming.select(col("id").alias("batch_seq"), short.alias("url"))
