@@ -230,9 +230,6 @@ def _(v: Views):
     return v.articles.select("id", S.strip_boilerplate(F.expr(NOISY)).alias("text"))
 
 
-WORDS = "regexp_replace(substr(title, 1, 60), ' ', ' , ')"
-
-
 @query("sca_13_split_keywords", f"""{ART}
 SELECT id, array_to_string(list_filter(list_transform(string_split(t, ','), lambda k: {C.trim('k')}), lambda k: k <> ''), '|') AS keywords
 FROM (SELECT id, CASE WHEN id % 9 = 0 THEN '' ELSE regexp_replace(substr(title, 1, 60), ' ', ' , ', 'g') || ',, ' END AS t FROM articles) q""")
