@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, linededup, mixing, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,47 @@ def query(name: str, check: str | None = None):
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex(found.fp).alias("fingerprint"), "component_id")
+
+
+@query("op4_line_dedup", """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (SELECT doc_id, lines, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM split),
+held AS (SELECT DISTINCT doc_id, unnest(keys) AS key FROM keyed),
+many AS (SELECT key, max(doc_id) AS keeper FROM held WHERE length(key) >= 40 GROUP BY key HAVING count(*) >= 5),
+gone AS (SELECT held.doc_id, list(held.key) AS gone FROM held JOIN many ON held.key = many.key WHERE held.doc_id <> keeper GROUP BY held.doc_id),
+kept AS (SELECT keyed.doc_id, len(lines) AS n_lines,
+  list_filter(lines, lambda x, i: NOT list_contains(coalesce(gone, []), keys[i])) AS kept
+  FROM keyed LEFT JOIN gone ON keyed.doc_id = gone.doc_id)
+SELECT doc_id, n_lines, n_lines - len(kept) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM kept
+""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_decontaminate", r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT item_id, len(w[i:i + 12]) AS n, array_to_string(w[i:i + 12], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+met AS (SELECT doc_id, i, item_id, n FROM (SELECT doc_id, i, n AS m, array_to_string(w[i:i + n - 1], ' ') AS said FROM starts JOIN sizes ON i + n - 1 <= len(w))
+  JOIN windows ON said = phrase AND m = n),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
+SELECT words.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hits ON words.doc_id = hits.doc_id LEFT JOIN named ON words.doc_id = named.doc_id
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.report(decontaminate.search(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_mix_sources")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))

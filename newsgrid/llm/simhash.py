@@ -376,9 +376,7 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, code: tuple[tuple[int
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id. Rows that repeat a
-    doc_id are one document and stay or go together; rows without a doc_id stay if their whole group has none."""
+    doc_id are one document and stay or go together; rows without a doc_id cannot be named and stay."""
     found = near_copies(docs, **options)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    lost = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNotNull()).select("fp").distinct()
-    del lost
     return docs.join(cut(gone), "doc_id", "left_anti")
