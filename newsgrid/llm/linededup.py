@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NO_ID, cut, drop_cut, slices, text_list
 
@@ -26,6 +27,8 @@ MIN_DOCS = 5
 BITS_PER_DOC = 256
 MAX_BITS = 1 << 28
 PROBES = 3
+#: Shared keys that are sent to every task, at most (24 bytes each).
+BROADCAST_KEYS = 2_000_000
 #: Bits of a filter that travel in one row.
 BLOCK_BITS = 1 << 19
 
@@ -132,78 +135,120 @@ def suspects(docs: DataFrame, twice: np.ndarray, bits: int, min_chars: int = MIN
     return docs.select("doc_id", "text").mapInArrow(probe, "doc_id long, key binary")
 
 
-def drops(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, keys): for each document, the keys that lose their lines there. ``found`` has (doc_id, key);
-    a key held by ``min_docs`` documents keeps its lines only in the largest doc_id."""
-    counted = found.distinct()
-    many = (
-        counted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+def shared_keys(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(key, keeper): keys that ``min_docs`` documents hold, and the largest doc_id of them. ``found`` has (doc_id, key)."""
+    return (
+        found.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_docs).select("key", "keeper")
     )
+
+
+def drops(found: DataFrame, many: DataFrame) -> DataFrame:
+    """(doc_id, keys): for each document, the keys that lose their lines there."""
     return (
-        counted.join(many, "key").filter(F.col("doc_id") != F.col("keeper"))
+        found.distinct().join(many, "key").filter(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     )
 
 
-def with_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> DataFrame:
-    """``docs`` with a column ``_keys``: digests of the keys that lose their lines in the row, null if none.
-    A row without doc_id counts as one document below all others."""
-    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    narrow = docs.select(F.col("_id").alias("doc_id"), "text")
-    bits = bits or filter_bits(narrow.count())
-    twice = repeat_filter(narrow, bits, min_chars)
-    found = cut(suspects(narrow, twice, bits, min_chars))
-    gone = cut(drops(found, min_docs).select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys")))
-    drop_cut(found)
-    return docs.join(gone, "_id", "left").drop("_id")
+class KeyTable:
+    """Shared keys in sorted arrays, to be looked up by many digests at once."""
+
+    def __init__(self, keys: bytes, keepers: np.ndarray):
+        halves = np.frombuffer(keys, ">u8").astype(np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        self.high, self.low, self.keeper = halves[order, 0], halves[order, 1], keepers[order]
 
+    def lost(self, digests: list[bytes], doc_ids: np.ndarray) -> np.ndarray:
+        """Is the digest shared, and kept in another document?"""
+        if not len(self.high) or not digests:
+            return np.zeros(len(digests), bool)
+        halves = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.high, halves[:, 0]), len(self.high) - 1)
+        # Equal high halves of different keys are as good as impossible, but are stepped over all the same.
+        while (step := (self.high[at] == halves[:, 0]) & (self.low[at] < halves[:, 1]) & (np.append(self.high, 0)[at + 1] == halves[:, 0]) & (at + 1 < len(self.high))).any():
+            at = at + step
+        return (self.high[at] == halves[:, 0]) & (self.low[at] == halves[:, 1]) & (self.keeper[at] != doc_ids)
 
-def _filter_lines(text: bytes, keys: set[bytes]) -> tuple[bytes, int, int]:
+
+def _filter_lines(text: bytes, keys: set[bytes]) -> tuple[bytes, int]:
+    """The text without the lines whose key digests are in ``keys``, and how many went."""
     lines = text.split(b"\n")
     kept = [line for line in lines if digest(line_key(line)) not in keys]
-    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+    return b"\n".join(kept), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped) for every row: the text without the lines that repeat over documents.
+def _rewrite(docs: DataFrame, min_chars: int, min_docs: int, bits: int | None, broadcast_keys: int, counts: bool) -> DataFrame:
+    """``docs`` with the text rewritten, and with n_lines and n_dropped if ``counts``.
 
-    A line's key is the line without surrounding white space, in lower case (A-Z). Keys of at least ``min_chars`` code points
-    held by at least ``min_docs`` doc_ids lose their lines except in the largest doc_id that holds them. A null or empty text
-    is one empty line and comes back empty. Repeated rows are treated alike; an empty table gives no rows.
+    The shared keys are looked up in place if they are few enough to be sent to every task; otherwise each document gets the
+    keys it loses by a join on its id. Both ways give the same rows.
     """
+    names = docs.columns
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    extra = next(n for n in (f"_lost{i}" for i in range(len(names) + 1)) if n not in names)
+    narrow = docs.select(row_id.alias("doc_id"), "text")
+    bits = bits or filter_bits(narrow.count())
+    found = cut(suspects(narrow, repeat_filter(narrow, bits, min_chars), bits, min_chars))
+    many = cut(shared_keys(found, min_docs))
+    if many.count() <= broadcast_keys:
+        rows = many.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((b"".join(rows.column("key").to_pylist()), rows.column("keeper").to_numpy()))
+        marked = docs.withColumn(extra, row_id)
+    else:
+        shared = None
+        gone = cut(drops(found, many).select(F.col("doc_id").alias(extra), F.col("keys").alias(extra + "k")))
+        marked = docs.withColumn(extra, row_id).join(gone, extra, "left").drop(extra).withColumnRenamed(extra + "k", extra)
+    drop_cut(found)
+
+    def lost_keys(batch: pa.RecordBatch, texts: list[bytes], known: KeyTable | None) -> list[set[bytes]]:
+        if known is None:
+            return [set(k or ()) for k in batch.column(extra).to_pylist()]
+        out: list[set[bytes]] = [set() for _ in texts]
+        owner, keys = [], []
+        for i, text in enumerate(texts):
+            own = [digest(k) for k in _eligible(text, min_chars)]
+            owner += [i] * len(own)
+            keys += own
+        ids = batch.column(extra).to_numpy(zero_copy_only=False)[np.array(owner, np.int64)]
+        for j in np.flatnonzero(known.lost(keys, ids)).tolist():
+            out[owner[j]].add(keys[j])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KeyTable(*shared.value) if shared else None
         for batch in slices(batches):
-            out = []
-            for text, keys in zip(text_list(batch.column("text")), batch.column("_keys").to_pylist()):
-                out.append(_filter_lines(text, set(keys)) if keys else (text, text.count(b"\n") + 1, 0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([o[0].decode("utf-8", "replace") for o in out], pa.string()),
-                 pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
-                ["doc_id", "text", "n_lines", "n_dropped"])
+            texts = text_list(batch.column("text"))
+            lost = lost_keys(batch, texts, known)
+            kept, dropped = batch.column("text"), np.zeros(len(texts), np.int64)
+            if any(lost):
+                new = kept.to_pylist()
+                for i, keys in enumerate(lost):
+                    if keys:
+                        text, dropped[i] = _filter_lines(texts[i], keys)
+                        new[i] = text.decode("utf-8", "replace")
+                kept = pa.array(new, pa.string())
+            out = [kept if n == "text" else batch.column(n) for n in names]
+            if counts:
+                out += [pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), pa.array(dropped)]
+            yield pa.RecordBatch.from_arrays(out, [*names, "n_lines", "n_dropped"] if counts else names)
+
+    schema = T.StructType(list(docs.schema.fields))
+    return marked.mapInArrow(run, schema.add("n_lines", "long").add("n_dropped", "long") if counts else schema)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped) for every row: the text without the lines that repeat over documents.
 
-    marked = with_drops(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs, bits)
-    return marked.select("doc_id", "text", "_keys").mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
+    A line's key is the line without surrounding white space, in lower case (A-Z). Keys of at least ``min_chars`` code points
+    held by at least ``min_docs`` doc_ids lose their lines except in the largest doc_id that holds them. A null or empty text
+    is one line and stays as it is. Repeated rows are treated alike; rows without doc_id count as one document below all
+    others; an empty table gives no rows.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _rewrite(narrow, min_chars, min_docs, bits, broadcast_keys, True)
 
 
-def dedup_column(docs: DataFrame, **options) -> DataFrame:
+def dedup_column(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with its text column rewritten as in :func:`dedup_lines`, all other columns kept."""
-    options = {"min_chars": MIN_CHARS, "min_docs": MIN_DOCS, "bits": None} | options
-    names = docs.columns
-    marked = with_drops(docs, **options)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys = batch.column("_keys").to_pylist()
-            texts = batch.column("text")
-            if any(keys):
-                old = text_list(texts)
-                new = [_filter_lines(t, set(k))[0] if k else None for t, k in zip(old, keys)]
-                kept = texts.to_pylist()
-                texts = pa.array([k if n is None else n.decode("utf-8", "replace") for k, n in zip(kept, new)], pa.string())
-            columns = [texts if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return marked.select(*names, "_keys").mapInArrow(run, docs.schema)
-
+    return _rewrite(docs, min_chars, min_docs, bits, broadcast_keys, False)

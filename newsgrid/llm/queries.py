@@ -44,7 +44,7 @@ SELECT doc_id, n_lines, n_lines - len(kept) AS n_dropped, sha256(array_to_string
 """)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 @query("op6_decontaminate", r"""
