@@ -1,20 +1,52 @@
-"""The corpus pipeline: documents through the stages in order, each written and read again."""
+"""The corpus pipeline: documents through five stages in order, each written and read again.
+
+Every stage works on all rows that the one before kept, keeps all columns of documents (the last returns the mix), and calls one
+operator of ``newsgrid.llm``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgrid.llm import simhash
+from newsgrid.llm import decontaminate, langid, linededup, mixing, simhash
 from newsgrid.llm.common import cut, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; rejected ones go."""
+    return langid.accepted(docs, langid.train(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat over documents."""
+    return linededup.dedup_column(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies, the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-ORACLE_SQL = None  # the stages are not expressible in SQL; tests hold them against plain loops
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with benchmark passages."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+]
+
+#: The first stage is a trained model and the last a random draw, which SQL cannot express; tests use plain loops instead.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
