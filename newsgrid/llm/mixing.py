@@ -26,7 +26,7 @@ BLOCK_WORDS = 256
 SHARD_BLOCKS = 8192
 HEAD_LEVELS = 8
 #: Blocks that one task orders: a source is ordered in ranges of its random keys.
-RANGE_BLOCKS = 50_000
+RANGE_BLOCKS = 4096
 SEED = 20240115
 #: Totals above this are split by the normal approximation, since exact draws need smaller numbers.
 EXACT_BELOW = 10**9
@@ -200,7 +200,8 @@ def mix_blocks(rows: DataFrame, goal: DataFrame, block_words: int = BLOCK_WORDS,
     plan = plan_shards(quotas, total, shard_blocks)
     seats = plan.select("shard", "source_no", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("position"))
     slot = F.xxhash64("shard", "source_no", "position", F.lit(SEED + 1))
-    return drawn.join(seats, ["source_no", "position"]).select("shard", slot.alias("slot"), *KEY, "block", "words")
+    # The size of the seats is not known before they are listed, so they are never broadcast.
+    return drawn.join(seats.hint("merge"), ["source_no", "position"]).select("shard", slot.alias("slot"), *KEY, "block", "words")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
