@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, simhash
+from . import decontaminate, langid, linededup, mixing, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = langid.identify(docs, langid.train(docs))
     return found.select("doc_id", langid.held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", toxicity.held_out(found.doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
