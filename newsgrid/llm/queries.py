@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, simhash, toxicity
+from . import decontaminate, htmltext, langid, linededup, mixing, secrets, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,42 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", toxicity.held_out(found.doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_KINDS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, source, row_no, {i} AS k, '{name}' AS kind, {least} AS least, regexp_split_to_array(text, $${pattern}$$) AS pieces, "
+    f"regexp_extract_all(text, $${pattern}$$) AS whole, regexp_extract_all(text, $${pattern}$$, {group}) AS vals FROM docs"
+    for i, (name, pattern, group, least) in enumerate((n, p.split(")", 1)[1] if p.startswith("(?=") else p, g, least) for n, p, g, least in secrets.KINDS))
+
+
+@query("op2_secret_scan", f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS row_no FROM documents),
+kinds AS ({_KINDS_SQL}),
+hits AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM kinds WHERE len(whole) > 0),
+found AS (SELECT doc_id, source, row_no, k, kind, whole[i] AS hit, vals[i] AS val,
+  CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM hits WHERE length(vals[i]) >= least),
+owned AS (SELECT val, count(DISTINCT source) AS owners FROM found GROUP BY val),
+judged AS (SELECT found.*, kind || ':' || s || ':' || (s + length(hit)) AS span, owners >= {secrets.COPIED_OWNERS} OR regexp_matches(found.val, '{secrets.PLACEHOLDER}') AS copied,
+  len(list_distinct(string_split(found.val, ''))) >= {secrets.RANDOM_CHARS} AS random FROM found JOIN owned ON found.val = owned.val),
+counted AS (SELECT row_no, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < {secrets.BASE}), '') AS base, string_agg(span, ',' ORDER BY s, k) AS spans,
+  count(*) FILTER (NOT copied AND random) AS n_live, count(*) FILTER (copied) AS n_copied FROM judged GROUP BY row_no)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM docs LEFT JOIN counted ON docs.row_no = counted.row_no
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.counted(secrets.scan(table(spark, folder, "documents")))
+
+
+@query("op5_main_text", r"""
+WITH articles AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages),
+plain AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS parts FROM articles),
+decoded AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) AS parts FROM plain),
+cleaned AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM decoded)
+SELECT page_id, url, text, length(text) AS n_chars FROM cleaned
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = htmltext.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
