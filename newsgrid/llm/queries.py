@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, linededup, mixing, secrets, simhash, toxicity
+from . import decontaminate, hamming, htmltext, langid, linededup, mixing, secrets, simhash, tokencount, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,10 +117,28 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_main_text", r"""
 WITH articles AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages),
 plain AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS parts FROM articles),
-decoded AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) AS parts FROM plain),
+decoded AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g')) AS parts FROM plain),
 cleaned AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM decoded)
 SELECT page_id, url, text, length(text) AS n_chars FROM cleaned
 """)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = htmltext.extract(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, folder, "documents"))
+
+
+@query("op7_exact_top_k", """
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id,
+  CAST(list_sum(list_transform(list_zip(q.bits, e.bits), lambda p: CAST(p[1] <> p[2] AS INTEGER))) AS INTEGER) AS distance
+  FROM codes q JOIN codes e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, neighbour_id, distance, rank FROM ranked WHERE rank <= 10
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return hamming.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
