@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsgrid.session import cut, drop_cut
 
 #: Texts are handled in slices of about this many bytes, so a task's memory follows its longest text, not its batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Stands for a missing document id inside an operator: sorts below every real id.
 NO_ID = -(1 << 63)
 

@@ -21,8 +21,9 @@ from .common import cut, slices
 
 #: Pages, at most, that the block classifier is trained on; those with the smallest hash of their id.
 TRAINING_PAGES = 3000
-#: Largest weight of one feature, in nats, and the smoothness of neighbours and of siblings.
+#: Largest weight of a mark of the markup and of a look of the block, in nats, and the smoothness of neighbours and of siblings.
 LARGEST = 6.0
+LARGEST_LOOK = 2.0
 NEIGHBOUR = 0.8
 SIBLING = 0.4
 APART = 0.2
@@ -228,7 +229,9 @@ def label_blocks(page: list[Block], weights: dict[str, float]) -> list[bool]:
         if b.parent in last and last[b.parent] != i - 1:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    return min_cut(gain, edges)
+    label = min_cut(gain, edges)
+    # A page always has a main text if it has any text that nothing marks.
+    return label if any(label) else [b.state == "plain" for b in page]
 
 
 def _id_column(pages: DataFrame) -> F.Column:
@@ -259,7 +262,8 @@ def train(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> dict[str, f
         return {}
     # Additive smoothing; the mix of labels itself is left out, as it says more about the markup than about a block.
     share = {t: math.log((n.get((t, CONTENT), 0) + 1) / (good + 2)) - math.log((n.get((t, BOILERPLATE), 0) + 1) / (bad + 2)) for t, _ in n if t}
-    return {t: max(-LARGEST, min(LARGEST, w)) for t, w in share.items()}
+    most = {t: LARGEST if t.startswith("state=") else LARGEST_LOOK for t in share}
+    return {t: max(-most[t], min(most[t], w)) for t, w in share.items()}
 
 
 #: Weights for pages of which none tells its article: the markup's own marks and the look of running text.

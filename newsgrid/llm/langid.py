@@ -80,13 +80,24 @@ def counts(docs: DataFrame) -> DataFrame:
     """(lang, code, n): trigram counts over all texts of each language."""
     table = docs.sparkSession.sparkContext.broadcast(symbol_table())  # one byte for each code point
 
+    def merged(seen: list[np.ndarray], n: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        keys, at = np.unique(np.concatenate(seen), return_inverse=True)
+        return [keys], [np.bincount(at, np.concatenate(n)).astype(np.int64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        seen, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in slices(batches):
             code, size = trigram_codes(batch.column("text"), table.value)
-            names, index = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
-            seen, n = np.unique(np.repeat(index.astype(np.int64), size) << 24 | code, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[seen >> 24].tolist(), pa.string()), pa.array((seen & 0xFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+            lang = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.int64)
+            keys, counts = np.unique(np.repeat(lang, size) << 24 | code, return_counts=True)
+            seen.append(keys)
+            n.append(counts.astype(np.int64))
+            if len(seen) > 32:
+                seen, n = merged(seen, n)
+        seen, n = merged(seen, n)
+        label = pa.array(list(names), pa.string()).take(pa.array(seen[0] >> 24))
+        yield pa.RecordBatch.from_arrays([label, pa.array((seen[0] & 0xFFFFFF).astype(np.int32)), pa.array(n[0])], ["lang", "code", "n"])
 
     return docs.filter(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
