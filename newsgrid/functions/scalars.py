@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config, rules
 
+#: Zone names that are accepted; the others in the zone files name no place, or the JVM does not know them.
+KNOWN_ZONES = sorted(available_timezones() - {"Factory", "localtime", "posixrules", "ROC", "GMT+0", "GMT-0"})
+
 
 def trim_ws(c: Column) -> Column:
     """Trim all ASCII white space, not only blanks."""
@@ -246,7 +251,7 @@ def parse_utc(raw: Column, as_of: Column) -> Column:
 def parse_zoned(raw: Column, zone: Column, as_of: Column) -> Column:
     """Local time text plus a zone name; a missing or unknown zone is read as UTC."""
     local = F.try_to_timestamp(trim_ws(raw), F.lit("yyyy-MM-dd HH:mm:ss"))
-    known = zone.rlike(r"^[A-Za-z]+/[A-Za-z_]+$")
+    known = F.coalesce(zone.isin(*KNOWN_ZONES), F.lit(False))
     moved = F.when(known, F.to_utc_timestamp(local, F.when(known, zone).otherwise("UTC"))).otherwise(local)
     return F.coalesce(moved, as_of)
 

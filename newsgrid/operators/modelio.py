@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +15,7 @@ from ..functions import scalars as S
 from . import filters, numbering
 
 col = F.col
+SERVER_ERROR = "llm_server_error"  # stands for the answer of a request that failed
 
 
 # ---- classification ---------------------------------------------------------------------
@@ -72,14 +75,23 @@ def unfence(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\n?", ""), r"\n?```$", "")
 
 
+def is_json(answer: object) -> bool:
+    """Can the answer be read, with or without its fence?"""
+    try:
+        json.loads(re.sub(r"^```(?:json)?\n?|\n?```$", "", str(answer)))
+        return True
+    except ValueError:
+        return False
+
+
 def parse_classification(batches: DataFrame) -> DataFrame:
     """(batch_id, pos, llm_tier, llm_category, llm_reason, filter_status) for batches of
-    (batch_id, n, response). A response that is not a JSON array gives ``llm_parse_error``, one
+    (batch_id, n, response). A failed call gives ``llm_server_error``, a response that is not a JSON array ``llm_parse_error``, one
     of the wrong length ``llm_count_mismatch``; both reject the whole batch as tier C."""
     text = unfence(col("response"))
     results = F.from_json(text, schemas.CLASSIFICATION)
     readable = F.try_parse_json(text).isNotNull()
-    failure = F.when(~F.coalesce(readable, F.lit(False)), "llm_parse_error").when(
+    failure = F.when(col("response") == SERVER_ERROR, "llm_server_error").when(~F.coalesce(readable, F.lit(False)), "llm_parse_error").when(
         ~F.coalesce(F.json_array_length(text) == col("n"), F.lit(False)), "llm_count_mismatch")
     rows = batches.select("batch_id", failure.alias("failure"), results.alias("results"),
                           F.explode(F.sequence(F.lit(0), (col("n") - 1).cast("int"))).alias("pos"))
@@ -100,22 +112,29 @@ def merge_results(batched: DataFrame, results: DataFrame) -> DataFrame:
 # ---- batch scoring ----------------------------------------------------------------------
 
 def score_batches(df: DataFrame, model: Callable[[list[str]], list], text: str, id_col: str, out_type: str,
-                  fallback=None, size: int = config.EMBED_BATCH) -> DataFrame:
+                  fallback=None, size: int = config.EMBED_BATCH, readable: Callable[[object], bool] | None = None) -> DataFrame:
     """(id, output): ``model`` maps a list of texts to a list of results, called per batch
-    inside the tasks. A batch that raises or answers in the wrong length gives ``fallback`` for
-    its rows, the others go on."""
+    inside the tasks. A batch that raises or answers in the wrong length is asked again text by text; a text that
+    fails alone gives ``fallback``, the others go on. A result that ``readable`` refuses is asked for once more."""
+
+    def ask(texts: list[str]) -> list:
+        try:
+            got = list(model(texts))
+            if len(got) != len(texts):
+                raise ValueError("wrong number of results")
+            return got
+        except Exception as error:  # a failed batch must not stop the job
+            print(f"batch failed: {error}")
+            return [fallback] if len(texts) == 1 else [x for t in texts for x in ask([t])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for start in range(0, len(pdf), size):
                 part = pdf.iloc[start:start + size]
-                try:
-                    got = list(model(part["text"].tolist()))
-                    if len(got) != len(part):
-                        raise ValueError("wrong number of results")
-                except Exception as error:  # a failed batch must not stop the job
-                    print(f"batch failed: {error}")
-                    got = [fallback] * len(part)
+                texts = part["text"].tolist()
+                got = ask(texts)
+                if readable is not None:
+                    got = [g if g == fallback or readable(g) else ask([t])[0] for g, t in zip(got, texts)]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "output": pd.Series(got, dtype=object).to_numpy()})
 
     rows = df.select(col(id_col).alias("id"), col(text).alias("text"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config, rules
@@ -16,129 +14,131 @@ from ..functions import scalars as S
 
 col = F.col
 _BLOCKS = {"h2", "h3", "h4", "h5", "h6", "p", "blockquote"}
-_SKIP = {"script", "style", "nav", "footer", "aside", "noscript", "template", "form"}
+_CONTAINERS = {"article", "main"}
+_HIDDEN = {"script", "style", "noscript", "template"}
+_ASIDE = {"nav", "footer", "aside"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Blocks(HTMLParser):
-    """Collects (tag, text) of block elements; text inside an <article>, if there is one."""
+    """Collects (container, tag, text) of block elements. An element that is not closed ends with its parent, and
+    navigation also where a container opens. Container 0 is the page itself."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[bool, str, list[str]]] = []
-        self.open: list[tuple[str, list[str]]] = []
-        self.skipped = 0
-        self.articles = 0
+        self.found: list[tuple[int, str, list[str]]] = []
+        self.stack: list[tuple[str, int, list[str] | None]] = [("", 0, None)]
+        self.containers = 0
         self.byline: list[str] = []
         self.in_byline = ""
 
+    def _silent(self) -> bool:
+        return any(tag in _HIDDEN or tag in _ASIDE for tag, _, _ in self.stack)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SKIP:
-            self.skipped += 1
-        elif tag == "article":
-            self.articles += 1
-        elif tag in _BLOCKS and not self.skipped:
-            if tag == "p" and self.open and self.open[-1][0] == "p":  # a new paragraph ends the last
-                self.open.pop()
-            text: list[str] = []
-            self.found.append((self.articles > 0, tag, text))
-            self.open.append((tag, text))
+        if tag in _VOID:
+            return
+        container = self.stack[-1][1]
+        if tag in _CONTAINERS:
+            aside = next((i for i, s in enumerate(self.stack) if s[0] in _ASIDE), None)
+            if aside is not None:
+                del self.stack[aside:]
+            self.containers += 1
+            container = self.containers
+        if tag == "p":  # a new paragraph ends the last, with what is still open in it
+            paragraph = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == "p"), None)
+            if paragraph is not None:
+                del self.stack[paragraph:]
+        text: list[str] | None = None
+        if tag in _BLOCKS and not self._silent():
+            text = []
+            self.found.append((container, tag, text))
+        self.stack.append((tag, container, text))
         marks = dict(attrs)
         if marks.get("rel") == "author" or "byline" in (marks.get("class") or "") or "author" in (marks.get("itemprop") or ""):
             self.in_byline = self.in_byline or tag
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIP:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag == "article":
-            self.articles = max(0, self.articles - 1)
-        elif any(t == tag for t, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+        at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag), None)
+        if at is not None:
+            del self.stack[at:]
         if tag == self.in_byline:
             self.in_byline = ""
 
     def handle_data(self, data: str) -> None:
-        if self.skipped:
+        if self._silent():
             return
-        for _, text in self.open:
-            text.append(data)
+        for _, _, text in self.stack:
+            if text is not None:
+                text.append(data)
         if self.in_byline:
             self.byline.append(data)
 
 
 def _page_blocks(html: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """Byline and blocks of the article or main element with most text, else of the page."""
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
-    inside = [b for b in parser.found if b[0]] or parser.found
-    blocks = [(tag, "".join(text).strip()) for _, tag, text in inside]
+    size: dict[int, int] = {}
+    for container, _, text in parser.found:
+        size[container] = size.get(container, 0) + sum(map(len, text))
+    named = [c for c in size if c]
+    best = max(named, key=lambda c: (size[c], -c)) if named else 0
+    blocks = [(tag, "".join(text).strip()) for container, tag, text in parser.found if container == best]
     return " ".join("".join(parser.byline).split()), [(t, x) for t, x in blocks if x]
 
 
-def page_blocks(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(page_id, byline, pos, tag, block): h2-h6, p and blockquote in document order."""
+def _pages_with_blocks(pages: DataFrame, id_col: str) -> DataFrame:
+    """(page_id, byline, blocks): one row per page, the blocks as an array of text in document order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for key, html in zip(pdf[id_col], pdf["html"]):
-                byline, blocks = _page_blocks(html)
-                out.extend((key, byline, i, tag, text) for i, (tag, text) in enumerate(blocks))
-            yield pd.DataFrame(out, columns=[id_col, "byline", "pos", "tag", "raw"])
+            parsed = [_page_blocks(html) for html in pdf["html"]]
+            yield pd.DataFrame({
+                id_col: pdf[id_col], "byline": [byline for byline, _ in parsed], "tags": [[t for t, _ in blocks] for _, blocks in parsed],
+                "texts": [[x for _, x in blocks] for _, blocks in parsed]})
+
+    raw = pages.select(id_col, "html").mapInPandas(run, f"{id_col} long, byline string, tags array<string>, texts array<string>")
+    marked = F.zip_with("tags", "texts", lambda tag, text: F.struct(
+        tag.alias("tag"), F.concat(F.when(tag.startswith("h"), rules.HEADING_MARK).otherwise(""), S.repair_text(text)).alias("block")))
+    return raw.select(id_col, "byline", marked.alias("blocks"))
+
 
-    raw = pages.select(id_col, "html").mapInPandas(run, f"{id_col} long, byline string, pos long, tag string, raw string")
-    text = S.repair_text(col("raw"))
-    block = F.when(col("tag").startswith("h"), F.concat(F.lit(rules.HEADING_MARK), text)).otherwise(text)
-    return raw.select(id_col, "byline", "pos", "tag", block.alias("block"))
+def page_blocks(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(page_id, byline, pos, tag, block): h2-h6, p and blockquote in document order."""
+    rows = _pages_with_blocks(pages, id_col).select(id_col, "byline", F.posexplode("blocks").alias("pos", "b"))
+    return rows.select(id_col, "byline", col("pos").cast("long").alias("pos"), "b.tag", "b.block")
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(page_id, byline, text, status): blocks joined by blank lines, leading bylines removed,
-    text below 50 characters dropped."""
-    blocks = page_blocks(pages, id_col)
-    joined = blocks.groupBy(id_col).agg(
-        F.first("byline").alias("byline"), F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("l")
-    ).select(id_col, "byline", F.array_join("l.block", "\n\n").alias("text"))
+    text below 50 characters dropped. One scan, no shuffle."""
+    joined = _pages_with_blocks(pages, id_col).select(id_col, "byline", F.array_join("blocks.block", "\n\n").alias("text"))
     clean = strip_bylines(joined, "text", "byline")
     text = F.when(F.length("text") >= 50, col("text"))
-    return pages.select(id_col).join(clean, id_col, "left").select(
-        id_col, "byline", text.alias("text"), S.scrape_class(text).alias("status"))
-
-
-def _without_byline(text: str | None, byline: str | None) -> str | None:
-    name = (byline or "").strip().lower()
-    if not text or len(name) < 2:
-        return text
-    meta = re.compile(rules.BYLINE_META, re.IGNORECASE)
-    kept, removed = [], 0
-    for block in text.split("\n\n"):
-        bare = block.strip()
-        if not bare:
-            continue
-        low = bare.lower()
-        drop = False
-        if removed < 3:
-            dominated = name in low and (len(name) / len(bare) > 0.5 or len(bare) < len(name) + 40)
-            inside = name not in low and len(bare) < len(name) and low in name
-            follows = removed > 0 and len(bare) < 80 and not bare.endswith(".") and meta.search(bare) is not None
-            drop = dominated or inside or follows
-        if drop:
-            removed += 1
-        else:
-            kept.append(block)
-    result = "\n\n".join(kept)
-    return text if len(result) < len(text) * 0.4 else result
-
-
-def strip_bylines(df: DataFrame, text: str, byline: str) -> DataFrame:
-    """Remove up to three leading blocks that repeat the byline or carry its metadata; undone
+    return clean.select(id_col, "byline", text.alias("text"), S.scrape_class(text).alias("status"))
+
+
+def strip_bylines(df: DataFrame, text: str, byline: str, most: int = 3) -> DataFrame:
+    """Remove up to ``most`` blocks that repeat the byline or, after one of these, carry its metadata; undone
     when more than 60 % of the text would go."""
+    name = F.lower(S.trim_ws(F.coalesce(col(byline), F.lit(""))))
+    start = F.struct(F.lit(0).alias("gone"), F.array().cast("array<string>").alias("kept"))
 
-    @F.pandas_udf("string")
-    def strip(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([_without_byline(t, n) for t, n in zip(texts, names)], dtype=object)
+    def step(state: Column, block: Column) -> Column:
+        bare = S.trim_ws(block)
+        low = F.lower(bare)
+        mostly_name = (F.length(name) > 0.5 * F.length(bare)) | (F.length(bare) < F.length(name) + 40)
+        part_of_name = (F.length(bare) < F.length(name)) & F.contains(name, low)
+        metadata = (state["gone"] > 0) & (F.length(bare) < 80) & ~bare.endswith(".") & bare.rlike("(?i)" + rules.BYLINE_META)
+        drop = (state["gone"] < most) & (F.when(F.contains(low, name), mostly_name).otherwise(part_of_name) | metadata)
+        kept = F.when(drop | (bare == ""), state["kept"]).otherwise(F.array_append(state["kept"], block))
+        return F.struct((state["gone"] + F.when((bare != "") & drop, 1).otherwise(0)).alias("gone"), kept.alias("kept"))
 
-    return df.withColumn(text, strip(col(text), col(byline)))
+    shorter = F.array_join(F.aggregate(F.split(text, "\n\n", -1), start, step, lambda s: s["kept"]), "\n\n")
+    stripped = F.when(F.length(shorter) < 0.4 * F.length(text), col(text)).otherwise(shorter)
+    return df.withColumn(text, F.when((F.length(name) < 2) | F.coalesce(col(text) == "", F.lit(True)), col(text)).otherwise(stripped))
 
 
 # ---- display ----------------------------------------------------------------------------
@@ -152,16 +152,17 @@ def is_byline_block(block: Column, source: Column) -> Column:
 
 def display_blocks(df: DataFrame, id_col: str, text: str, source: str, limit: int = 4) -> DataFrame:
     """(id, pos, kind, block): paragraphs and headings for display, without the first
-    ``limit`` byline-like blocks. Windows span one text."""
-    blocks = df.select(id_col, col(source).alias("_source"), F.posexplode(F.split(text, r"\n\n+")).alias("pos", "block"))
-    blocks = blocks.filter(S.trim_ws(col("block")) != "")
-    order = W.partitionBy(id_col).orderBy("pos")
-    flagged = blocks.withColumn("_hit", is_byline_block(col("block"), col("_source")).cast("int"))
-    counted = flagged.withColumn("_seen", F.sum("_hit").over(order))
-    kept = counted.filter((col("_hit") == 0) | (col("_seen") > limit))
-    return kept.select(
-        id_col, (F.row_number().over(order) - 1).cast("long").alias("pos"), block_kind(col("block")).alias("kind"),
-        block_text(col("block")).alias("block"))
+    ``limit`` byline-like blocks. One pass over each text, no shuffle."""
+    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, block: Column) -> Column:
+        seen = state["seen"] + is_byline_block(block, col("_source")).cast("int")
+        skip = (S.trim_ws(block) == "") | ((seen > state["seen"]) & (seen <= limit))
+        return F.struct(seen.alias("seen"), F.when(skip, state["kept"]).otherwise(F.array_append(state["kept"], block)).alias("kept"))
+
+    blocks = df.select(id_col, col(source).alias("_source"), F.split(text, r"\n\n+", -1).alias("_all"))
+    kept = blocks.select(id_col, F.posexplode(F.aggregate("_all", start, step, lambda s: s["kept"])).alias("pos", "block"))
+    return kept.select(id_col, col("pos").cast("long").alias("pos"), block_kind(col("block")).alias("kind"), block_text(col("block")).alias("block"))
 
 
 def block_kind(block: Column) -> Column:

@@ -394,9 +394,15 @@ def _(v: Views):
 @query("agg_16_fetch_stats", f"""WITH u AS (SELECT source_api, seq, normalized_url_hash, row_number() OVER (PARTITION BY source_api, normalized_url_hash ORDER BY seq) AS rn FROM ({_WHOLE_SOURCES}) z),
 raw AS (SELECT s.source_api, count(*) AS raw_count, count(*) FILTER (WHERE (s.source_api = 'newsdata' AND (doc_id * 7919) % 15000 > 10000)
  OR (s.source_api = 'thenewsapi' AND doc_id % 5 <> 0 AND (doc_id % 50) + 0.5 < 25)) AS rejected_count FROM documents, (SELECT unnest(['worldnews', 'webzio', 'thenewsapi', 'newsdata']) AS source_api) s GROUP BY 1)
-SELECT raw.source_api, raw_count, count(*) FILTER (WHERE rn = 1) AS normalized_count, count(*) FILTER (WHERE rn > 1) AS duplicate_urls, rejected_count FROM raw LEFT JOIN u ON u.source_api = raw.source_api GROUP BY ALL""")
+SELECT raw.source_api, raw_count, count(*) FILTER (WHERE rn = 1) AS normalized_count, count(*) FILTER (WHERE rn > 1) AS duplicate_urls, rejected_count,
+ (SELECT count(DISTINCT doc_id // 100) FROM documents WHERE doc_id // 100 % 2 = 0) AS corrupt_pages FROM raw LEFT JOIN u ON u.source_api = raw.source_api GROUP BY ALL""")
 def _(v: Views):
-    return landed.fetch_stats({name: pages(v) for name, pages in PAGES.items()}, as_of())
+    """Every other page comes a second time, broken off before its end."""
+    def with_broken(p):
+        broken = p.filter("page_id % 2 = 0").select((col("page_id") + 1_000_000).alias("page_id"), F.expr("substr(raw, 1, length(raw) - 1)").alias("raw"))
+        return p.select("page_id", "raw").unionByName(broken)
+
+    return landed.fetch_stats({name: with_broken(pages(v)) for name, pages in PAGES.items()}, as_of())
 
 
 @query("agg_17_status_counts", f"{ART} SELECT scrape_status, count(*) AS n FROM articles GROUP BY 1")

@@ -108,9 +108,9 @@ def _(v: Views):
 
 @query("flt_20_scrape_class", f"""{ART}
 SELECT id, CASE WHEN t IS NULL OR length(t) < 50 THEN 'failed' WHEN length(t) < 300 THEN 'thin' ELSE 'full' END AS status
-FROM (SELECT id, CASE WHEN id % 10 = 3 THEN substr(body, 1, 40) WHEN id % 2 = 0 THEN full_text ELSE body END AS t FROM articles) q""")
+FROM (SELECT id, CASE WHEN id % 10 = 3 THEN title WHEN id % 2 = 0 THEN full_text ELSE body END AS t FROM articles) q""")
 def _(v: Views):
-    text = F.when(col("id") % 10 == 3, F.substring("body", 1, 40)).when(col("id") % 2 == 0, col("full_text")).otherwise(col("body"))
+    text = F.when(col("id") % 10 == 3, col("title")).when(col("id") % 2 == 0, col("full_text")).otherwise(col("body"))
     return v.articles.select("id", S.scrape_class(text).alias("status"))
 
 
@@ -222,7 +222,7 @@ def _(v: Views):
     return _urls(v).select("id", S.extract_domain(col("url")).alias("domain"))
 
 
-NOISY = "'Also read: more' || chr(10) || substr(body, 1, 200) || chr(10) || '   © 2024 desk' || chr(10) || chr(10) || chr(10) || chr(10) || 'Alsoran text' || chr(10) || 'RELATED ARTICLES' || chr(10) || substr(body, 201, 100)"
+NOISY = "'Also read: more' || chr(10) || body || chr(10) || '   © 2024 desk' || chr(10) || chr(10) || chr(10) || chr(10) || 'Alsoran text' || chr(10) || 'RELATED ARTICLES' || chr(10) || body"
 
 
 @query("sca_12_strip_boilerplate", f"{ART} SELECT id, {C.boilerplate('t')} AS text FROM (SELECT id, {NOISY} AS t FROM articles) q")
@@ -232,9 +232,9 @@ def _(v: Views):
 
 @query("sca_13_split_keywords", f"""{ART}
 SELECT id, array_to_string(list_filter(list_transform(string_split(t, ','), lambda k: {C.trim('k')}), lambda k: k <> ''), '|') AS keywords
-FROM (SELECT id, CASE WHEN id % 9 = 0 THEN '' ELSE regexp_replace(substr(title, 1, 60), ' ', ' , ', 'g') || ',, ' END AS t FROM articles) q""")
+FROM (SELECT id, CASE WHEN id % 9 = 0 THEN '' ELSE regexp_replace(title, ' ', ' , ', 'g') || ',, ' END AS t FROM articles) q""")
 def _(v: Views):
-    text = F.when(col("id") % 9 == 0, F.lit("")).otherwise(F.concat(F.regexp_replace(F.substring("title", 1, 60), " ", " , "), F.lit(",, ")))
+    text = F.when(col("id") % 9 == 0, F.lit("")).otherwise(F.concat(F.regexp_replace("title", " ", " , "), F.lit(",, ")))
     return v.articles.select("id", S.split_keywords(text).alias("keywords"))
 
 
@@ -279,13 +279,15 @@ def _(v: Views):
 
 @query("sca_18_dates", f"""
 SELECT event_id, {C.ts("date_trunc('second', ts)")} AS utc_time,
- CASE WHEN event_id % 4 = 0 THEN {C.ts("date_trunc('second', ts) - INTERVAL 330 MINUTE")} ELSE {C.ts("date_trunc('second', ts)")} END AS zoned_time,
+ CASE WHEN event_id % 4 = 0 THEN {C.ts("date_trunc('second', ts) - INTERVAL 330 MINUTE")} WHEN event_id % 4 = 3 THEN {C.ts("date_trunc('second', ts) + INTERVAL 180 MINUTE")}
+ WHEN event_id % 8 = 5 THEN {C.ts("date_trunc('second', ts) + INTERVAL 300 MINUTE")} ELSE {C.ts("date_trunc('second', ts)")} END AS zoned_time,
  CASE WHEN event_id % 10 = 0 THEN {C.ts(C.AS_OF)} ELSE {C.ts("date_trunc('second', ts)")} END AS iso_time,
  CASE WHEN event_id % 10 <> 1 THEN {C.ts("date_trunc('second', ts)")} END AS feed_time FROM events""")
 def _(v: Views):
     t = F.date_trunc("second", col("ts").cast("timestamp"))
     text = F.date_format(t, "yyyy-MM-dd HH:mm:ss")
-    local = F.when(col("event_id") % 4 == 0, "Asia/Kolkata").when(col("event_id") % 4 == 1, "UTC")
+    local = F.when(col("event_id") % 4 == 0, "Asia/Kolkata").when(col("event_id") % 8 == 1, "UTC").when(col("event_id") % 16 == 5, "EST").when(
+        col("event_id") % 8 == 5, "Etc/GMT+5").when(col("event_id") % 4 == 3, "America/Argentina/Buenos_Aires").when(col("event_id") % 8 == 2, "Foo/Bar")
     iso = F.when(col("event_id") % 10 == 0, F.lit("soon")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     mail = F.when(col("event_id") % 10 == 1, F.lit("yesterday")).when(col("event_id") % 2 == 0, F.date_format(t, "EEE, d MMM yyyy HH:mm:ss 'GMT'")).otherwise(
         F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss '+0000'"))
@@ -328,9 +330,9 @@ FLAT = C.trim(r"regexp_replace(t, '\s+', ' ', 'g')")
 
 @query("sca_24_repair_text", rf"""{ART}
 SELECT id, regexp_replace(regexp_replace({FLAT}, '([a-z])([A-Z][a-z])', '\1 \2', 'g'), '([a-zA-Z])([,;])([A-Z])', '\1\2 \3', 'g') AS text
-FROM (SELECT id, regexp_replace(substr(body, 1, 300), '[.] ', '', 'g') || '   agoRachel Murphy,BBC;News' AS t FROM articles) q""")
+FROM (SELECT id, regexp_replace(body, '[.] ', '', 'g') || '   agoRachel Murphy,BBC;News' AS t FROM articles) q""")
 def _(v: Views):
-    t = F.concat(F.regexp_replace(F.substring("body", 1, 300), "[.] ", ""), F.lit("   agoRachel Murphy,BBC;News"))
+    t = F.concat(F.regexp_replace("body", "[.] ", ""), F.lit("   agoRachel Murphy,BBC;News"))
     return v.articles.select("id", S.repair_text(t).alias("text"))
 
 

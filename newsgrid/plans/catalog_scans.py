@@ -29,6 +29,16 @@ def _text(c) -> F.Column:
     return c.cast("string")
 
 
+def _line() -> F.Column:
+    """The first line of a text."""
+    return F.split_part("text", F.lit("\n"), F.lit(1))
+
+
+def _sentence() -> F.Column:
+    """The first sentence of a text, as a title."""
+    return F.split_part(_line(), F.lit("."), F.lit(1))
+
+
 def worldnews_pages(v: Views, rows=None):
     i = col("doc_id")
     body = F.when(i % 12 == 4, F.concat(F.lit("Subscribe now"), F.lit("\n"), F.lit("ok"))).when(i % 12 == 8, F.lit(None)).otherwise(
@@ -37,7 +47,7 @@ def worldnews_pages(v: Views, rows=None):
     return _pages(
         v.documents if rows is None else rows, "news",
         _text(i).alias("id"), F.when(i % 40 == 0, F.lit("")).otherwise(F.concat(F.lit("https://www.Site"), _text(i % 7), F.lit(".example.com/news/"), _text(F.floor(i / 8) * 8), F.lit("/?x=1"))).alias("url"),
-        F.substring("text", 1, 80).alias("title"), body.alias("text"), F.when(i % 8 == 0, F.substring("text", 1, 120)).alias("summary"),
+        _sentence().alias("title"), body.alias("text"), F.when(i % 8 == 0, _line()).alias("summary"),
         F.when(i % 8 == 0, when).alias("publishDate"), F.when(i % 16 == 4, when).when(i % 16 == 12, F.lit("bad date")).alias("publish_date"),
         ((i % 21 - 10) / 10.0).alias("sentiment"), F.when(i % 3 == 0, F.array(F.concat(F.lit("Author "), _text(i)), F.lit("Second"))).otherwise(F.array()).alias("authors"),
         F.when(i % 16 == 0, F.lit("IN")).alias("sourceCountry"), F.lit("US").alias("source_country"), F.lit("politics").alias("category"),
@@ -50,7 +60,7 @@ def thenewsapi_pages(v: Views, rows=None):
     return _pages(
         v.documents if rows is None else rows, "data",
         F.concat(F.lit("u-"), _text(i)).alias("uuid"), F.concat(F.lit("https://www.news"), _text(i % 5), F.lit(".example.com/a/"), _text(i)).alias("url"),
-        F.substring("text", 1, 80).alias("title"), F.when(i % 12 == 3, F.lit("   ")).otherwise(F.concat(F.lit("  "), F.substring("text", 1, 120), F.lit(" "))).alias("description"),
+        _sentence().alias("title"), F.when(i % 12 == 3, F.lit("   ")).otherwise(F.concat(F.lit("  "), "text", F.lit(" "))).alias("description"),
         F.lit("snippet").alias("snippet"), F.when(i % 8 == 3, F.lit("")).otherwise(F.concat(F.lit("feed"), _text(i % 3), F.lit(".example.com"))).alias("source"),
         when.alias("published_at"), F.when(i % 16 == 15, F.array()).otherwise(F.array(F.lit("general"), F.lit("business"))).alias("categories"),
         F.concat(F.lit(" k1 ,, key "), _text(i % 9), F.lit(",")).alias("keywords"), F.when(i % 5 != 0, (i % 50) + 0.5).alias("relevance_score"),
@@ -60,11 +70,11 @@ def thenewsapi_pages(v: Views, rows=None):
 def newsdata_pages(v: Views, rows=None):
     i = col("doc_id")
     when = F.date_format(as_of() - F.make_dt_interval(mins=(i * 7 % 2400).cast("int")), "yyyy-MM-dd HH:mm:ss")
-    text = F.when(i % 20 == 1, F.lit("ONLY AVAILABLE IN PAID PLANS")).when(i % 20 == 5, F.substring("text", 1, 150)).otherwise(F.substring("text", 1, 900))
+    text = F.when(i % 20 == 1, F.lit("ONLY AVAILABLE IN PAID PLANS")).when(i % 20 == 5, _sentence()).otherwise(col("text"))
     return _pages(
         v.documents if rows is None else rows, "results",
         F.concat(F.lit("n"), _text(i)).alias("article_id"), F.concat(F.lit("https://www.daily"), _text(i % 6), F.lit(".example.com/x/"), _text(i), F.lit("#top")).alias("link"),
-        F.substring("text", 1, 80).alias("title"), text.alias("description"), when.alias("pubDate"), F.when(i % 8 == 1, F.lit("UTC")).alias("pubDateTZ"),
+        _sentence().alias("title"), text.alias("description"), when.alias("pubDate"), F.when(i % 8 == 1, F.lit("UTC")).alias("pubDateTZ"),
         F.when(i % 3 == 0, F.lit("https://www.origin.example.com")).when(i % 3 == 1, F.lit("not a url")).alias("source_url"),
         F.when(i % 12 != 1, F.lit("Daily Origin")).alias("source_name"), ((i * 7919) % 15000).alias("source_priority"),
         F.array(F.lit("Jane Doe")).alias("creator"), F.array(F.lit("India"), F.lit("US")).alias("country"), F.array(F.lit("top"), F.lit("world")).alias("category"),
@@ -80,8 +90,8 @@ def webzio_pages(v: Views, rows=None):
         F.struct(F.struct(i.alias("likes")).alias("facebook")).alias("social"))
     return _pages(
         v.documents if rows is None else rows, "posts",
-        F.when(i % 12 != 2, F.concat(F.lit("https://www.post.example.com/p/"), _text(i))).alias("url"), F.substring("text", 1, 80).alias("title"),
-        F.when(i % 20 == 2, F.lit("")).otherwise(F.substring("text", 1, 200)).alias("text"), when.alias("published"), F.lit("Desk").alias("author"),
+        F.when(i % 12 != 2, F.concat(F.lit("https://www.post.example.com/p/"), _text(i))).alias("url"), _sentence().alias("title"),
+        F.when(i % 20 == 2, F.lit("")).otherwise(col("text")).alias("text"), when.alias("published"), F.lit("Desk").alias("author"),
         F.when(i % 3 == 0, F.lit("positive")).when(i % 3 == 1, F.lit("Negative")).alias("sentiment"), F.array(F.lit("Politics"), F.lit("Economy")).alias("categories"),
         F.array(F.struct(F.concat(F.lit("Entity "), _text(i % 6)).alias("name"), F.lit("org").alias("type"), F.lit("neutral").alias("sentiment")),
                 F.struct(F.lit("").alias("name"), F.lit("x").alias("type"), F.lit("neutral").alias("sentiment"))).alias("entities"),
@@ -102,7 +112,7 @@ _T43200 = f"{C.AS_OF} - (doc_id * 7 % 43200) * INTERVAL '1' MINUTE"
 CHECK_WORLDNEWS = f"""
 SELECT * REPLACE (CASE WHEN length(content) >= 20 THEN content END AS content), {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, doc_id::VARCHAR AS external_id, 'worldnews' AS source_api,
  CASE WHEN doc_id % 40 = 0 THEN '' ELSE 'https://www.Site' || (doc_id % 7) || '.example.com/news/' || (doc_id // 8 * 8) || '/?x=1' END AS url,
- substr(text, 1, 80) AS title, CASE WHEN doc_id % 8 = 0 THEN substr(text, 1, 120) END AS description,
+ split_part(split_part(text, chr(10), 1), '.', 1) AS title, CASE WHEN doc_id % 8 = 0 THEN split_part(text, chr(10), 1) END AS description,
  CASE WHEN doc_id % 12 IN (4, 8) THEN NULL ELSE {C.boilerplate("'Also read this' || chr(10) || text || chr(10) || ' © 2024' || chr(10) || chr(10) || chr(10) || chr(10) || 'tail line'")} END AS content,
  CASE WHEN doc_id % 3 = 0 THEN 'Author ' || doc_id END AS author, 'site' || (doc_id % 7) || '.example.com' AS source_name,
  'site' || (doc_id % 7) || '.example.com' AS source_domain,
@@ -115,8 +125,8 @@ SELECT * REPLACE (CASE WHEN length(content) >= 20 THEN content END AS content),
 
 CHECK_THENEWSAPI = f"""
 SELECT *, {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, 'u-' || doc_id AS external_id, 'thenewsapi' AS source_api,
- 'https://www.news' || (doc_id % 5) || '.example.com/a/' || doc_id AS url, substr(text, 1, 80) AS title, NULL::VARCHAR AS description,
- CASE WHEN doc_id % 12 <> 3 THEN {C.trim('substr(text, 1, 120)')} END AS content, NULL::VARCHAR AS author,
+ 'https://www.news' || (doc_id % 5) || '.example.com/a/' || doc_id AS url, split_part(split_part(text, chr(10), 1), '.', 1) AS title, NULL::VARCHAR AS description,
+ CASE WHEN doc_id % 12 <> 3 THEN {C.trim('text')} END AS content, NULL::VARCHAR AS author,
  CASE WHEN doc_id % 8 = 3 THEN 'news' || (doc_id % 5) || '.example.com' ELSE 'feed' || (doc_id % 3) || '.example.com' END AS source_name,
  CASE WHEN doc_id % 8 = 3 THEN 'news' || (doc_id % 5) || '.example.com' ELSE 'feed' || (doc_id % 3) || '.example.com' END AS source_domain,
  {C.ts(_T43200)} AS published_at, CASE WHEN doc_id % 16 <> 15 THEN 'general, business' END AS api_category,
@@ -127,8 +137,8 @@ SELECT *, {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, 'u-' |
 
 CHECK_NEWSDATA = f"""
 SELECT * EXCLUDE (t), {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, 'n' || doc_id AS external_id, 'newsdata' AS source_api,
- 'https://www.daily' || (doc_id % 6) || '.example.com/x/' || doc_id || '#top' AS url, substr(text, 1, 80) AS title, NULL::VARCHAR AS description,
- CASE WHEN doc_id % 20 = 1 THEN NULL WHEN doc_id % 20 = 5 THEN substr(text, 1, 150) ELSE substr(text, 1, 900) END AS content, 'Jane Doe' AS author,
+ 'https://www.daily' || (doc_id % 6) || '.example.com/x/' || doc_id || '#top' AS url, split_part(split_part(text, chr(10), 1), '.', 1) AS title, NULL::VARCHAR AS description,
+ CASE WHEN doc_id % 20 = 1 THEN NULL WHEN doc_id % 20 = 5 THEN split_part(split_part(text, chr(10), 1), '.', 1) ELSE text END AS content, 'Jane Doe' AS author,
  CASE WHEN doc_id % 12 <> 1 THEN 'Daily Origin' WHEN doc_id % 3 = 0 THEN 'origin.example.com' ELSE 'daily' || (doc_id % 6) || '.example.com' END AS source_name,
  CASE WHEN doc_id % 3 = 0 THEN 'origin.example.com' ELSE 'daily' || (doc_id % 6) || '.example.com' END AS source_domain,
  {C.AS_OF} - (doc_id * 7 % 2400) * INTERVAL '1' MINUTE AS t, {C.ts(f"{C.AS_OF} - (doc_id * 7 % 2400) * INTERVAL '1' MINUTE")} AS published_at,
@@ -139,8 +149,8 @@ WHERE api_source_priority <= 10000 AND t >= {C.AS_OF} - INTERVAL 30 HOUR AND NOT
 
 CHECK_WEBZIO = f"""
 SELECT *, {C.url_hash('url')} AS normalized_url_hash FROM (SELECT {_SEQ}, NULL::VARCHAR AS external_id, 'webzio' AS source_api,
- CASE WHEN doc_id % 12 <> 2 THEN 'https://www.post.example.com/p/' || doc_id ELSE 'https://full.example.com/' || doc_id END AS url, substr(text, 1, 80) AS title,
- CASE WHEN doc_id % 20 <> 2 THEN substr(text, 1, 200) END AS description, NULL::VARCHAR AS content, 'Desk' AS author,
+ CASE WHEN doc_id % 12 <> 2 THEN 'https://www.post.example.com/p/' || doc_id ELSE 'https://full.example.com/' || doc_id END AS url, split_part(split_part(text, chr(10), 1), '.', 1) AS title,
+ CASE WHEN doc_id % 20 <> 2 THEN text END AS description, NULL::VARCHAR AS content, 'Desk' AS author,
  CASE WHEN doc_id % 8 = 2 THEN 'site' || (doc_id % 4) || '.example.com' WHEN doc_id % 12 <> 2 THEN 'post.example.com' ELSE 'full.example.com' END AS source_name,
  CASE WHEN doc_id % 8 = 2 THEN 'site' || (doc_id % 4) || '.example.com' WHEN doc_id % 12 <> 2 THEN 'post.example.com' ELSE 'full.example.com' END AS source_domain,
  {C.ts(_T43200)} AS published_at, 'Politics, Economy' AS api_category, 'Politics, Economy' AS api_iptc_category,
@@ -174,14 +184,15 @@ def _(v: Views):
 def _feed_xml(v: Views):
     """One feed per source and group of documents, RSS and Atom in turn."""
     i = col("doc_id")
-    text = lambda n: F.regexp_replace(F.substring("text", 1, n), "[^A-Za-z .]", " ")
+    plain = lambda c: F.regexp_replace(c, "[^A-Za-z .]", " ")
+    title, whole = plain(_sentence()), plain(col("text"))
     when = as_of() - F.make_dt_interval(mins=(i * 7 % 5000).cast("int"))
     feed = F.floor(i / 40)
     rss = F.concat(
-        F.lit("<item><title>"), text(60), F.lit("</title><link>https://rss.example.com/"), _text(F.floor(i / 3)), F.lit("</link><description>&lt;p&gt;"), text(200),
+        F.lit("<item><title>"), title, F.lit("</title><link>https://rss.example.com/"), _text(F.floor(i / 3)), F.lit("</link><description>&lt;p&gt;"), whole,
         F.lit("&lt;/p&gt;</description><pubDate>"), F.when(i % 9 == 0, F.lit("unknown")).otherwise(F.date_format(when, "EEE, dd MMM yyyy HH:mm:ss '+0000'")), F.lit("</pubDate></item>"))
     atom = F.concat(
-        F.lit('<entry><title type="html">'), text(60), F.lit('</title><link href="https://atom.example.com/'), _text(i), F.lit('"/><summary>'), text(100),
+        F.lit('<entry><title type="html">'), title, F.lit('</title><link href="https://atom.example.com/'), _text(i), F.lit('"/><summary>'), whole,
         F.lit("</summary><updated>"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
     rows = v.documents.select(feed.alias("feed_seq"), "doc_id", F.when(feed % 2 == 0, rss).otherwise(atom).alias("item"))
     body = rows.groupBy("feed_seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "").alias("b"))
@@ -190,10 +201,10 @@ def _feed_xml(v: Views):
 
 
 _FEED_ITEMS = f"""feed_items AS (SELECT * FROM (SELECT doc_id // 40 AS feed_seq, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) - 1 AS item_seq, doc_id, text,
- {C.AS_OF} - (doc_id * 7 % 5000) * INTERVAL '1' MINUTE AS t FROM documents) q WHERE item_seq < 30),
-items AS (SELECT feed_seq, item_seq, trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z .]', ' ', 'g')) AS title,
+ {C.AS_OF} - (doc_id * 7 % 5000) * INTERVAL '1' MINUTE AS t FROM documents) q),
+items AS (SELECT feed_seq, item_seq, trim(regexp_replace(split_part(split_part(text, chr(10), 1), '.', 1), '[^A-Za-z .]', ' ', 'g')) AS title,
  CASE WHEN feed_seq % 2 = 0 THEN 'https://rss.example.com/' || (doc_id // 3) ELSE 'https://atom.example.com/' || doc_id END AS url,
- trim(regexp_replace(substr(text, 1, CASE WHEN feed_seq % 2 = 0 THEN 200 ELSE 100 END), '[^A-Za-z .]', ' ', 'g')) AS body,
+ trim(regexp_replace(text, '[^A-Za-z .]', ' ', 'g')) AS body,
  CASE WHEN feed_seq % 2 = 0 AND doc_id % 9 = 0 THEN {C.AS_OF} ELSE t END AS published_at FROM feed_items)"""
 
 
@@ -205,7 +216,7 @@ def _(v: Views):
 @query("src_06_feed_union", f"""WITH {_FEED_ITEMS}
 SELECT feed_seq, item_seq, title, url, body, {C.ts('published_at')} AS published_at FROM (
  SELECT *, row_number() OVER (PARTITION BY url ORDER BY feed_seq, item_seq) AS rn FROM items WHERE published_at >= {C.AS_OF} - INTERVAL 30 HOUR) q
-WHERE rn = 1 ORDER BY feed_seq, item_seq LIMIT 60""")
+WHERE rn = 1""")
 def _(v: Views):
     return feeds.merged_feeds(feeds.feed_items(_feed_xml(v), as_of()), as_of()).withColumns({"title": F.trim("title"), "body": F.trim("body")})
 

@@ -17,7 +17,15 @@ ART = with_views("articles")
 
 # ---- TXT --------------------------------------------------------------------------------
 
-@query("txt_01_page_blocks")
+_PAGE_PARTS = r"""parts AS (SELECT page_id, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '<p>')[2:] AS l FROM pages),
+plain AS (SELECT page_id, list_transform(l, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS l FROM parts),
+decoded AS (SELECT page_id, list_transform(l, lambda x: regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g')) AS l FROM plain),
+flat AS (SELECT page_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM decoded),
+repaired AS (SELECT page_id, array_to_string(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '([a-z])([A-Z][a-z])', '\1 \2', 'g'), '([a-zA-Z])([,;])([A-Z])', '\1\2 \3', 'g')), chr(10) || chr(10)) AS t FROM flat)"""
+
+
+@query("txt_01_page_blocks", f"""WITH {_PAGE_PARTS}
+SELECT page_id, '' AS byline, CASE WHEN length(t) >= 50 THEN t END AS text, CASE WHEN length(t) < 50 THEN 'failed' WHEN length(t) < 300 THEN 'thin' ELSE 'full' END AS status FROM repaired""")
 def _(v: Views):
     return textjobs.page_texts(v.pages)
 
@@ -48,7 +56,7 @@ def _(v: Views):
 
 # An article text in blocks, with byline-like blocks and a heading.
 _BLOCKS = """'By Jane Doe' || chr(10) || chr(10) || 'Senior Correspondent, source desk' || chr(10) || chr(10) || '   ' || chr(10) || chr(10) || source_name || ' report' || chr(10) || chr(10) || chr(10)
- || '###HEADING:### Part ' || CAST(id AS VARCHAR(20)) || chr(10) || chr(10) || substr(replace(body, chr(10), ' '), 1, 200) || chr(10) || chr(10) || '2 hours ago' || chr(10) || chr(10) || 'by someone' || chr(10) || chr(10) || 'end ' || substr(replace(body, chr(10), ' '), 201, 160)"""
+ || '###HEADING:### Part ' || CAST(id AS VARCHAR(20)) || chr(10) || chr(10) || replace(body, chr(10), ' ') || chr(10) || chr(10) || '2 hours ago' || chr(10) || chr(10) || 'by someone' || chr(10) || chr(10) || 'end ' || replace(body, chr(10), ' ')"""
 _BYLINE = f"""(length({C.trim('b')}) <= 150 AND {C.trim('b')} <> '' AND ({C.any_match(C.trim('b'), rules.BYLINE_BLOCKS)} OR coalesce(source_name <> '' AND contains(lower({C.trim('b')}), lower(source_name)), false)))"""
 _DISPLAY = f"""t AS (SELECT id, source_name, regexp_split_to_array({_BLOCKS}, '\\n\\n+') AS l FROM articles),
 b AS (SELECT id, source_name, unnest(l) AS b, generate_subscripts(l, 1) AS p FROM t),
@@ -73,7 +81,7 @@ def _(v: Views):
     return _display(v).drop("block")
 
 
-_SCRAPED = "SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN substr(body, 1, 120) ELSE body END AS scraped_text FROM"
+_SCRAPED = "SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN title ELSE body END AS scraped_text FROM"
 _LOOKUPS = f"""p AS (SELECT a.id, c.pos, c.text, {C.grams('c.title')} AS g1, {C.grams('a.title')} AS g2 FROM lookup_candidates c JOIN articles a ON a.id = c.article_id WHERE a.source_api <> 'worldnews' AND length(c.text) >= 200),
 lk AS (SELECT id, arg_min(text, pos) AS lookup_text FROM p WHERE {C.jaccard('g1', 'g2')} > 0.75 GROUP BY id)"""
 

@@ -127,8 +127,9 @@ def _run(spark, pages, root, as_of, models, scraped, lookups, max_articles) -> R
 
     # -- classification
     batched = cut(numbering.batch_number(unique, "batch_seq", config.CLASSIFY_BATCH))
-    requests = modelio.classify_requests(unique, "batch_seq")
-    answers = modelio.score_batches(requests, models.classify, "request", "batch_id", "string", fallback="")
+    requests = cut(modelio.classify_requests(unique, "batch_seq"))
+    answers = modelio.score_batches(
+        requests, models.classify, "request", "batch_id", "string", fallback=modelio.SERVER_ERROR, readable=modelio.is_json)
     responses = cut(requests.select("batch_id", "n").join(answers.withColumnRenamed("output", "response"), "batch_id"))
     classified = cut(modelio.merge_results(batched, modelio.parse_classification(responses)).drop("batch_id", "pos"))
     count["articles_classified"] = classified.count()

@@ -32,9 +32,9 @@ SELECT d.doc_id AS id,
    || CAST(d.doc_id - CASE WHEN d.doc_id % 10 = 9 THEN 1 ELSE 0 END AS VARCHAR(20)) || '/?utm=' || CAST(d.doc_id AS VARCHAR(20)) AS url,
  'site' || CAST(CAST(floor(d.doc_id/10) AS BIGINT) % 7 AS VARCHAR(9)) || '.example.com' AS source_domain,
  d.source AS source_name,
- substr(d.text,1,80) AS title,
- CASE WHEN d.doc_id % 3 = 0 THEN substr(d.text,1,300) END AS description,
- CASE WHEN d.doc_id % 3 <> 2 THEN substr(d.text,1,1000) END AS content,
+ split_part(split_part(d.text, chr(10), 1), '.', 1) AS title,
+ CASE WHEN d.doc_id % 3 = 0 THEN split_part(d.text, chr(10), 1) END AS description,
+ CASE WHEN d.doc_id % 3 <> 2 THEN d.text END AS content,
  CASE WHEN d.doc_id % 5 = 0 THEN d.text END AS full_text,
  CASE d.doc_id % 5 WHEN 0 THEN 'full' WHEN 1 THEN 'thin' WHEN 2 THEN 'failed' WHEN 3 THEN 'lookup' ELSE 'pending' END AS scrape_status,
  d.lang AS api_language,
@@ -51,8 +51,8 @@ SELECT d.doc_id AS id,
  (d.doc_id % 29 = 0) AS api_duplicate_flag,
  CASE d.doc_id % 7 WHEN 0 THEN 'IN' WHEN 1 THEN 'in' WHEN 2 THEN 'india' WHEN 3 THEN 'us' END AS api_country,
  CASE WHEN d.doc_id % 3 <> 0 THEN (d.doc_id % 50) + 0.5E0 END AS api_relevance_score,
- CASE WHEN d.doc_id % 4 <> 0 THEN chr(10) || '• ' || substr(d.text,1,60) || chr(10) || '-  ' || substr(d.text,61,60)
-   || chr(10) || '   ' || chr(10) || '*' || chr(10) || 'plain ' || substr(d.text,121,40) END AS summary,
+ CASE WHEN d.doc_id % 4 <> 0 THEN chr(10) || '• ' || split_part(d.text, chr(10), 1) || chr(10) || '-  ' || split_part(d.text, chr(10), 2)
+   || chr(10) || '   ' || chr(10) || '*' || chr(10) || 'plain ' || split_part(d.text, chr(10), 3) END AS summary,
  d.text AS body
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 """
@@ -76,12 +76,12 @@ SELECT id, source_api, url, description, published_at, llm_tier, api_source_prio
   WHEN 13 THEN CAST(id AS VARCHAR(20)) || ' killed in accident near the coast'
   ELSE title END AS title,
  CASE id % 19
-  WHEN 1 THEN 'Global widgets and parts market size report ' || COALESCE(content, '') || substr(body, 1, 300)
-  WHEN 2 THEN 'Press release: ' || substr(body, 1, 400)
-  WHEN 3 THEN substr(body, 1, 300) || ' at a CAGR of 4.5% by 2030'
-  WHEN 4 THEN substr(body, 1, 300) || ' Acme announces innovative gadget for all'
+  WHEN 1 THEN 'Global widgets and parts market size report ' || COALESCE(content, '') || body
+  WHEN 2 THEN 'Press release: ' || body
+  WHEN 3 THEN body || ' at a CAGR of 4.5% by 2030'
+  WHEN 4 THEN body || ' Acme announces innovative gadget for all'
   WHEN 5 THEN ''
-  WHEN 6 THEN substr(body, 1, 70)
+  WHEN 6 THEN title
   ELSE content END AS content,
  CASE id % 31 WHEN 1 THEN 'espn.com' WHEN 2 THEN 'tmz.com' WHEN 3 THEN 'prmedianow.com' WHEN 4 THEN 'www.ndtv.com'
   WHEN 5 THEN 'thehindu.com' WHEN 6 THEN NULL ELSE source_domain END AS source_domain,
@@ -130,14 +130,14 @@ FROM {stories} WHERE id % 5 = 0
 """
 
 _CACHE = """
-SELECT id AS article_id, 'simple' AS level, 'cached ' || substr(title, 1, 20) AS text FROM {articles} WHERE id % 9 = 0
+SELECT id AS article_id, 'simple' AS level, 'cached ' || title AS text FROM {articles} WHERE id % 9 = 0
 """
 
 _CANDIDATES = """
 SELECT a.id AS article_id, CAST(0 AS BIGINT) AS pos, c.title AS title, c.body AS text
 FROM {articles} a JOIN {articles} c ON c.id = a.id - a.id % 10 AND c.id <> a.id
 UNION ALL
-SELECT id AS article_id, CAST(1 AS BIGINT) AS pos, title || ' x' AS title, CASE WHEN id % 6 = 1 THEN substr(body, 1, 150) ELSE body END AS text
+SELECT id AS article_id, CAST(1 AS BIGINT) AS pos, title || ' x' AS title, CASE WHEN id % 6 = 1 THEN title ELSE body END AS text
 FROM {articles} WHERE id % 3 <> 0
 UNION ALL
 SELECT id AS article_id, CAST(2 AS BIGINT) AS pos, title || ' yz' AS title, body AS text FROM {articles} WHERE id % 2 = 0
@@ -184,12 +184,12 @@ WHERE rn <= 14 GROUP BY CAST(published_at AS DATE)
 
 # Expressions that the dialects spell differently.
 _SPARK_WORDS = {
-    "KEYWORDS": "slice(filter(split(lower(title), '[^a-z]+'), w -> length(w) > 3), 1, 8)",
+    "KEYWORDS": "filter(split(lower(title), '[^a-z]+'), w -> length(w) > 3)",
     "JOIN": "array_join(transform(sort_array(collect_list(struct(doc_id, item))), x -> x.item), ',')",
     "ID_LIST": "concat(transform(sort_array(collect_list(struct(rn, id))), x -> x.id), array(1000000 + max(id)))",
 }
 _CHECK_WORDS = {
-    "KEYWORDS": "list_filter(regexp_split_to_array(lower(title), '[^a-z]+'), lambda w: length(w) > 3)[1:8]",
+    "KEYWORDS": "list_filter(regexp_split_to_array(lower(title), '[^a-z]+'), lambda w: length(w) > 3)",
     "JOIN": "string_agg(item, ',' ORDER BY doc_id)",
     "ID_LIST": "list_concat(list(id ORDER BY rn), [1000000 + max(id)])",
 }

@@ -51,7 +51,7 @@ WEBZIO_PAGE = _struct(
         thread=_struct(
             site=_S, site_full=_S, country=_S, main_image=_S, author=_S, domain_rank=_L,
             performance_score=_D,
-            social=T.MapType(_S, T.MapType(_S, _L)),
+            social=_S,  # any object, kept as its JSON text
         ),
     ))
 )

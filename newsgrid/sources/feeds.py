@@ -10,9 +10,9 @@ from ..functions import scalars as S
 from ..operators import numbering
 
 col = F.col
-FEED_ITEMS = 30
-FEED_TOTAL = 60
 FEED_HOURS = 30
+# Limits of the studied feed reader, for callers that want them.
+FEED_LIMITS = {"items_per_feed": 30, "total": 60, "title_chars": 500, "url_chars": 1000, "body_chars": 5000}
 
 _TEXT = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_href", T.StringType())])
 _BODIES = ("description", "summary", "content", "content:encoded", "dc:description")
@@ -27,12 +27,14 @@ _FEED = T.StructType([
 ])
 
 
-def feed_items(feeds: DataFrame, as_of: Column) -> DataFrame:
-    """(feed_seq, item_seq, title, url, body, published_at) of at most 30 items per feed.
+def feed_items(feeds: DataFrame, as_of: Column, items_per_feed: int | None = None) -> DataFrame:
+    """(feed_seq, item_seq, title, url, body, published_at) of all items, or of the first
+    ``items_per_feed`` of each feed.
 
     ``feeds`` is (feed_seq, xml); the document is an RSS channel or an Atom feed."""
     parsed = feeds.select("feed_seq", F.from_xml("xml", _FEED).alias("x"))
-    items = F.slice(F.coalesce(col("x.channel.item"), col("x.entry")), 1, FEED_ITEMS)
+    items = F.coalesce(col("x.channel.item"), col("x.entry"))
+    items = items if items_per_feed is None else F.slice(items, 1, items_per_feed)
     rows = parsed.select("feed_seq", F.posexplode(items).alias("item_seq", "i"))
     link = F.get(col("i.link"), F.lit(0))
     body = F.coalesce(*[col("i")[n] for n in _BODIES], F.lit(""))
@@ -44,26 +46,32 @@ def feed_items(feeds: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def merged_feeds(items: DataFrame, as_of: Column, hours: int = FEED_HOURS, total: int = FEED_TOTAL) -> DataFrame:
-    """Recent items, first per url in feed order, cut to the stored lengths; the first 60."""
+def _first_chars(name: str, n: int | None) -> Column:
+    return (col(name) if n is None else F.substring(name, 1, n)).alias(name)
+
+
+def merged_feeds(items: DataFrame, as_of: Column, hours: int = FEED_HOURS, total: int | None = None,
+                 title_chars: int | None = None, url_chars: int | None = None, body_chars: int | None = None) -> DataFrame:
+    """Recent items, first per url in feed order. Nothing is cut unless a limit is given."""
     recent = items.filter(col("published_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS"))
     first = numbering.top_per_key(recent, ["url"], [col("feed_seq"), col("item_seq")], 1).drop("rank")
-    return first.orderBy("feed_seq", "item_seq").limit(total).select(
-        "feed_seq", "item_seq", F.substring("title", 1, 500).alias("title"), F.substring("url", 1, 1000).alias("url"),
-        F.substring("body", 1, 5000).alias("body"), "published_at",
+    first = first if total is None else first.orderBy("feed_seq", "item_seq").limit(total)
+    return first.select(
+        "feed_seq", "item_seq", _first_chars("title", title_chars), _first_chars("url", url_chars),
+        _first_chars("body", body_chars), "published_at",
     )
 
 
 # ---- history backfill -------------------------------------------------------------------
 
-def backfill_record(df: DataFrame) -> DataFrame:
+def backfill_record(df: DataFrame, title_chars: int | None = None, url_chars: int | None = None, body_chars: int | None = None) -> DataFrame:
     """Records with url, title and a readable date; description and content become the body."""
     published = F.try_to_timestamp("publishedAt")
     full = df.filter((F.coalesce("url", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "") & published.isNotNull())
     body = F.concat_ws(" ", S.blank_to_null(S.trim_ws(col("description"))), S.blank_to_null(S.trim_ws(col("content"))))
+    full = full.withColumns({"body": body, "published_at": published})
     return full.withColumns({
-        "title": F.substring("title", 1, 500), "url": F.substring("url", 1, 1000),
-        "body": F.substring(body, 1, 5000), "published_at": published,
+        "title": _first_chars("title", title_chars), "url": _first_chars("url", url_chars), "body": _first_chars("body", body_chars),
     }).drop("publishedAt", "description", "content")
 
 

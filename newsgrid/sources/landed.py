@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,23 +19,38 @@ from ..operators import filters, numbering
 
 col = F.col
 POSITIONS = 1_000_000  # room for the records of one page in a sequence number
+STREAM_PAGES = 9_000_000_000_000  # page numbers that leave this room in a long
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file; the page number is the number in the file name."""
-    files = spark.read.text(path, wholetext=True)
-    page = F.regexp_extract(col("_metadata.file_name"), r"(\d+)", 1)
-    return files.select(F.coalesce(F.try_to_number(page, F.lit("999999999999999999")).cast("long"), F.lit(0)).alias("page_id"), col("value").alias("raw"))
+    """One row per JSON file. Pages are numbered from 0 in the order of the first number in the file name, then of the
+    whole path, so that every file has a number of its own. Only the table of paths is ordered in one place."""
+    files = spark.read.text(path, wholetext=True).select(col("_metadata.file_path").alias("path"), col("value").alias("raw"))
+    name = F.element_at(F.split("path", "/"), -1)
+    number = F.regexp_replace(F.regexp_extract(name, r"(\d+)", 1), "^0+", "")
+    order = W.orderBy(F.length(number), number, "path")
+    numbers = files.select("path").withColumn("page_id", (F.row_number().over(order) - 1).cast("long"))
+    return files.join(numbers, "path").select("page_id", "raw")
 
 
-def records(pages: DataFrame, source: str) -> DataFrame:
-    """One row per record of the pages: ``r`` (struct) and ``seq`` (order of arrival).
-    Pages that are not valid JSON give no rows."""
+def _parsed(pages: DataFrame, source: str) -> DataFrame:
     schema = schemas.PAGES[source]
-    field = schema.fields[0].name
-    parsed = pages.select("page_id", F.from_json("raw", schema).alias("page"))
-    return parsed.select("page_id", F.posexplode(f"page.{field}").alias("pos", "r")).select(
-        (col("page_id") * POSITIONS + col("pos")).alias("seq"), "r")
+    page = F.from_json("raw", schema)
+    return pages.select("page_id", "raw", page[schema.fields[0].name].alias("found"))
+
+
+def records(pages: DataFrame, source: str) -> DataFrame:
+    """One row per record of the pages: ``r`` (struct) and ``seq`` (order of arrival). Pages without a readable
+    list give no rows; :func:`corrupt_pages` returns them. A page with more records than a sequence number has
+    room for is an error."""
+    room = F.when(col("pos") < POSITIONS, col("pos")).otherwise(F.raise_error(F.lit("a page has too many records")).cast("int"))
+    return _parsed(pages, source).select("page_id", F.posexplode("found").alias("pos", "r")).select(
+        (col("page_id") * POSITIONS + room).alias("seq"), "r")
+
+
+def corrupt_pages(pages: DataFrame, source: str) -> DataFrame:
+    """(source_api, page_id, raw): pages whose text is not JSON with the source's list."""
+    return _parsed(pages, source).filter("found IS NULL").select(F.lit(source).alias("source_api"), "page_id", "raw")
 
 
 def _unified(df: DataFrame, source: str, as_of: Column, **fields: Column) -> DataFrame:
@@ -132,7 +148,7 @@ def webzio(pages: DataFrame, as_of: Column) -> DataFrame:
         api_sentiment=S.sentiment_value(g("sentiment")), api_language=g("language"), api_country=g("thread.country"),
         api_keywords=F.coalesce(g("categories"), F.array().cast("array<string>")),
         api_entities=S.flatten_entities(g("entities")), api_domain_rank=g("thread.domain_rank"),
-        api_performance=g("thread.performance_score"), api_social=F.to_json(g("thread.social")),
+        api_performance=g("thread.performance_score"), api_social=g("thread.social"),
     )
 
 
@@ -177,7 +193,7 @@ def tolerant(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], s
 
 
 def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """Per source: raw records, normalised rows, duplicate urls, rejected by score or priority."""
+    """Per source: raw records, normalised rows, duplicate urls, rejected by score or priority, corrupt pages."""
     parts = []
     for name, frame in pages.items():
         r = records(frame, name)
@@ -185,13 +201,15 @@ def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
             filters.low_relevance(col("r.relevance_score")) if name == "thenewsapi"
             else filters.low_authority(col("r.source_priority")) if name == "newsdata" else F.lit(False)
         )
-        parts.append(r.select(F.lit(name).alias("source_api"), F.lit(True).alias("raw"), gate.alias("flag")))
+        parts.append(r.select(F.lit(name).alias("source_api"), F.lit("raw").alias("kind"), gate.alias("flag")))
         unique = first_per_url(NORMALISERS[name](frame, as_of))
-        parts.append(unique.select("source_api", F.lit(False).alias("raw"), col("first_of_url").alias("flag")))
+        parts.append(unique.select("source_api", F.lit("row").alias("kind"), col("first_of_url").alias("flag")))
+        parts.append(corrupt_pages(frame, name).select("source_api", F.lit("corrupt").alias("kind"), F.lit(True).alias("flag")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    raw, flag = col("raw"), col("flag")
+    raw, row, flag = col("kind") == "raw", col("kind") == "row", col("flag")
     return every.groupBy("source_api").agg(
-        F.count_if(raw).alias("raw_count"), F.count_if(~raw & flag).alias("normalized_count"),
-        F.count_if(~raw & ~flag).alias("duplicate_urls"), F.count_if(raw & flag).alias("rejected_count"))
+        F.count_if(raw).alias("raw_count"), F.count_if(row & flag).alias("normalized_count"),
+        F.count_if(row & ~flag).alias("duplicate_urls"), F.count_if(raw & flag).alias("rejected_count"),
+        F.count_if(col("kind") == "corrupt").alias("corrupt_pages"))

@@ -18,13 +18,14 @@ col = F.col
 
 
 def landed_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Page table (page_id, raw) over a folder that receives one JSON file per page."""
+    """Page table (page_id, raw) over a folder that receives one JSON file per page. The page number is a hash of the
+    whole path: it tells files apart, but has no order."""
     files = (
         spark.readStream.format("text").option("wholetext", "true")
         .option("maxFilesPerTrigger", files_per_trigger).schema("value string").load(folder)
     )
-    page = F.regexp_extract(col("_metadata.file_name"), r"(\d+)", 1)
-    return files.select(F.try_to_number(page, F.lit("999999999999999999")).cast("long").alias("page_id"), col("value").alias("raw"))
+    page = F.pmod(F.xxhash64(col("_metadata.file_path")), F.lit(landed.STREAM_PAGES))
+    return files.select(page.alias("page_id"), col("value").alias("raw"))
 
 
 def article_stream(pages: DataFrame, source: str, fetched_at: Column) -> DataFrame:

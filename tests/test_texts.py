@@ -2,12 +2,17 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsgrid import schemas
+from newsgrid.functions import scalars as S
 from newsgrid.operators import modelio, textjobs
 from newsgrid.plans.views import as_of
 from newsgrid.sources import feeds, landed
+from newsgrid.streaming import ingest
+
+col = F.col
 
 HTML = """<html><body><nav><p>menu</p></nav><article><h1>Title</h1><span class="byline">Jane Doe</span><p>Jane Doe</p>
 <p>Published 2 hours ago</p><h2>Part one</h2><p>First <b>paragraph</b> with enough words to be kept as text.<p>Second paragraph, not closed
@@ -52,7 +57,20 @@ def test_failed_batches_fall_back(spark):
 
     df = spark.createDataFrame([(i, "bad" if i == 3 else f"t{i}") for i in range(6)], "id long, text string").coalesce(1)
     got = {r.id: r.output for r in modelio.score_batches(df, model, "text", "id", "string", fallback="?", size=2).collect()}
-    assert got == {0: "T0", 1: "T1", 2: "?", 3: "?", 4: "T4", 5: "T5"}
+    assert got == {0: "T0", 1: "T1", 2: "T2", 3: "?", 4: "T4", 5: "T5"}
+
+
+def test_unreadable_answers_are_asked_for_once_more(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "odd")], "id long, text string").coalesce(1)
+
+    def model(texts, seen=[]):  # noqa: B006 - counts the calls of one task
+        seen.extend(texts)
+        return ["[]" if t == "good" or seen.count(t) > 1 else "no json" for t in texts]
+
+    got = {r.id: r.output for r in modelio.score_batches(df, model, "text", "id", "string", fallback="?", readable=modelio.is_json).collect()}
+    assert got == {1: "[]", 2: "[]"}
+    failed = spark.createDataFrame([(1, 2, modelio.SERVER_ERROR)], "batch_id long, n int, response string")
+    assert {r.llm_reason for r in modelio.parse_classification(failed).collect()} == {"llm_server_error"}
 
 
 def test_feeds(spark):
@@ -60,8 +78,10 @@ def test_feeds(spark):
         f"<item><title>T{i}</title><link>https://x.com/{i}</link><description>&lt;b&gt;B{i}&lt;/b&gt;</description></item>" for i in range(31)) + "</channel></rss>"
     atom = '<feed><entry><title type="html">A</title><link href="https://y.com/1"/><updated>2024-01-14T10:00:00Z</updated></entry></feed>'
     single = "<rss><channel><item><title>S</title><link>https://z.com/1</link><pubDate>Sun, 14 Jan 2024 09:30:00 GMT</pubDate></item></channel></rss>"
-    items = feeds.feed_items(spark.createDataFrame([(0, rss), (1, atom), (2, single)], "feed_seq long, xml string"), as_of()).collect()
-    assert sum(r.feed_seq == 0 for r in items) == 30
+    frame = spark.createDataFrame([(0, rss), (1, atom), (2, single)], "feed_seq long, xml string")
+    items = feeds.feed_items(frame, as_of()).collect()
+    assert sum(r.feed_seq == 0 for r in items) == 31
+    assert feeds.feed_items(frame, as_of(), feeds.FEED_LIMITS["items_per_feed"]).filter("feed_seq = 0").count() == 30
     first = next(r for r in items if r.feed_seq == 0 and r.item_seq == 0)
     assert (first.title, first.url, first.body, str(first.published_at)) == ("T0", "https://x.com/0", "B0", "2024-01-15 00:00:00")
     entry = next(r for r in items if r.feed_seq == 1)
@@ -73,7 +93,48 @@ def test_landed_files(spark, tmp_path):
     (tmp_path / "page-7.json").write_text(json.dumps({"news": [{"url": "https://a.com/1", "title": "One"}, {"url": "", "title": "x"}]}))
     (tmp_path / "page-8.json").write_text("{broken")
     rows = landed.worldnews(landed.read_landed(spark, str(tmp_path)), as_of()).collect()
-    assert [(r.seq, r.url, r.source_domain, str(r.published_at)) for r in rows] == [(7_000_000, "https://a.com/1", "a.com", "2024-01-15 00:00:00")]
+    assert [(r.seq, r.url, r.source_domain, str(r.published_at)) for r in rows] == [(0, "https://a.com/1", "a.com", "2024-01-15 00:00:00")]
+    broken = landed.corrupt_pages(landed.read_landed(spark, str(tmp_path)), "worldnews").collect()
+    assert [(r.source_api, r.page_id, r.raw) for r in broken] == [("worldnews", 1, "{broken")]
+    stats = landed.fetch_stats({"worldnews": landed.read_landed(spark, str(tmp_path))}, as_of()).collect()
+    assert [(s.raw_count, s.normalized_count, s.corrupt_pages) for s in stats] == [(2, 1, 1)]
+
+
+@pytest.mark.parametrize("names", [
+    ["20240115_a.json", "20240115_b.json"], ["a.json", "b.json"], ["20240115123045.json", "20240115123046.json"], ["page-10.json", "page-9.json"]])
+def test_every_landed_file_has_its_own_page(spark, tmp_path, names):
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text(json.dumps({"news": [{"url": f"https://a.com/{i}", "title": f"Title {i}", "text": "t" * 30}]}))
+    pages = landed.read_landed(spark, str(tmp_path))
+    assert sorted(r.page_id for r in pages.collect()) == [0, 1]
+    rows = landed.first_per_url(landed.worldnews(pages, as_of())).orderBy("seq").collect()
+    assert [r.url[-1] for r in rows] == (["1", "0"] if names[0] == "page-10.json" else ["0", "1"])
+    streamed = ingest.landed_stream(spark, str(tmp_path))
+    query = streamed.writeStream.format("memory").queryName("pages_" + names[0].split(".")[0].replace("-", "_")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table(query.name).select("page_id").distinct().count() == 2
+
+
+def test_any_social_object_is_kept(spark):
+    page = {"posts": [{"url": "https://a.com/1", "title": "T", "thread": {"site": "a.com", "social": {"facebook": {"likes": 3, "note": "x"}, "share": 0.5}}}]}
+    row = landed.webzio(spark.createDataFrame([(0, json.dumps(page))], "page_id long, raw string"), as_of()).first()
+    assert json.loads(row.api_social) == {"facebook": {"likes": 3, "note": "x"}, "share": 0.5}
+
+
+def test_zones(spark):
+    zones = [(z,) for z in [*S.KNOWN_ZONES, "Foo/Bar", "", "utc+1x"]] + [(None,)]
+    rows = spark.createDataFrame(zones, "zone string").select("zone", S.parse_zoned(F.lit("2024-01-10 12:00:00"), col("zone"), as_of()).cast("string").alias("t")).collect()
+    by = {r.zone: r.t for r in rows}
+    assert by["Foo/Bar"] == by[""] == by[None] == by["utc+1x"] == by["UTC"] == "2024-01-10 12:00:00"
+    assert by["America/Argentina/Buenos_Aires"] == "2024-01-10 15:00:00" and by["Etc/GMT+5"] == by["EST"] == "2024-01-10 17:00:00"
+
+
+def test_page_text_in_forms_and_after_open_navigation():
+    blocks = lambda html: [t for _, t in textjobs._page_blocks(html)[1]]
+    assert blocks("<form><p>Inside a form.</p></form>") == ["Inside a form."]
+    assert blocks("<nav><p>Menu</p><article><p>Text.</p></article>") == ["Text."]
+    assert blocks("<div><aside><p>Side</div><p>After.</p>") == ["After."]
+    assert blocks("<article><p>Teaser</p></article><article><p>The long story text.</p><p>More.</p></article>") == ["The long story text.", "More."]
 
 
 def test_unreadable_source_gives_no_rows(spark):
