@@ -41,12 +41,12 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _segments(code: Column, dims: Column) -> Column:
-    """Array of (no, value) of a code's segments."""
+def _keys(code: Column, dims: Column) -> Column:
+    """Array with one number for each segment of a code, made of the dimensions, the segment's place and its value."""
     def one(no: Column) -> Column:
         word = F.element_at(code, F.floor(no / (WORD // SEGMENT)).cast("int") + 1)
         value = F.call_function("shiftright", word, F.pmod(no, F.lit(WORD // SEGMENT)) * SEGMENT).bitwiseAND(F.lit(0xFFFF))
-        return F.struct(no.alias("no"), value.cast("int").alias("value"))
+        return (dims.cast("long") * (1 << 32) + no * (1 << 16) + value).cast("long")
 
     return F.transform(F.sequence(F.lit(0), F.ceil(dims / SEGMENT).cast("int") - 1), one)
 
@@ -57,43 +57,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     Only vectors of equally many dimensions are compared. Rows without an id or a vector take no part; a table with fewer than k others gives
     all of them. Equal codes are one entry of the index with their k+1 smallest ids, which is all that an answer can need of them, so
-    a code that a third of all rows share costs no more than another.
+    a code that a third of all rows share costs no more than another. An id stands for one vector: of several the index holds each.
     """
+    spark = vectors.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(codes(vectors, id_col, vector_col).distinct())
     asked = codes(queries, id_col, vector_col).select(F.col("id").alias("query_id"), "dims", "code").distinct()
-    held = rows.withColumn("no", F.row_number().over(W.partitionBy("dims", "code").orderBy("id"))).filter(F.col("no") <= k + 1).groupBy("dims", "code").agg(
-        F.sort_array(F.collect_list("id")).alias("ids"))
-    entries = cut(held)
-    index = cut(entries.select("dims", F.col("code").alias("entry"), F.col("ids")[0].alias("least"), F.explode(_segments(F.col("code"), F.col("dims"))).alias("s")).select(
-        "dims", "s.no", "s.value", "entry", "least"))
+    held = rows.withColumn("no", F.row_number().over(W.partitionBy("dims", "code").orderBy("id"))).filter(F.col("no") <= k + 1)
+    entries = cut(held.groupBy("dims", "code").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("entry", F.monotonically_increasing_id()))
+    index = cut(entries.select("entry", F.explode(_keys(F.col("code"), F.col("dims"))).alias("key")))
     size = rows.groupBy("dims").agg((F.count(F.lit(1)) - 1).alias("others"))
-    open_queries = cut(asked.join(size, "dims").filter("others > 0").withColumn("wanted", F.least(F.lit(k), "others")))
+    open_queries = cut(asked.join(size, "dims").filter("others > 0").withColumn("wanted", F.least(F.lit(k), "others")).withColumn("query", F.monotonically_increasing_id()))
     best, answers = None, []
     for radius in range(SEGMENT + 1):
         if open_queries.isEmpty():
             break
         flips = F.filter(F.sequence(F.lit(0), F.lit(0xFFFF)), lambda x: F.bit_count(x) == radius)
-        probes = open_queries.select("query_id", "dims", "code", F.explode(_segments(F.col("code"), F.col("dims"))).alias("s")).select(
-            "query_id", "dims", "code", "s.no", "s.value", F.explode(flips).alias("flip")).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
-        met = probes.join(index, ["dims", "no", "value"]).select("query_id", "dims", "entry", "least", distance(F.col("code"), F.col("entry")).alias("distance"))
+        probes = open_queries.repartition(tasks, "query").select("query", F.explode(_keys(F.col("code"), F.col("dims"))).alias("key")).select(
+            "query", F.explode(flips).alias("flip"), "key").select("query", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+        # The probes are listed on the way, so their number is not in any estimate: they are never broadcast.
+        met = probes.hint("merge").join(index, "key").select("query", "entry").distinct()
+        near = met.join(entries.select("entry", F.col("code").alias("other"), F.col("ids")[0].alias("least")), "entry").join(open_queries.select("query", "code"), "query").select(
+            "query", "entry", "least", distance(F.col("code"), F.col("other")).alias("distance"))
         if best is not None:
-            met = met.unionByName(best)
+            near = near.unionByName(best).distinct()
         # Of k+1 entries in this order each holds an id before any of a later entry, and one of them at most is the query itself.
-        order = W.partitionBy("query_id", "dims").orderBy("distance", "least")
-        fresh = cut(met.distinct().withColumn("no", F.row_number().over(order)).filter(F.col("no") <= k + 1).drop("no"))
+        first = F.row_number().over(W.partitionBy("query").orderBy("distance", "least"))
+        fresh = cut(near.withColumn("no", first).filter(F.col("no") <= k + 1).drop("no"))
         drop_cut(best)
         best = fresh
-        ranked = (
-            best.join(entries, (best.dims == entries.dims) & (best.entry == entries.code)).select("query_id", best.dims, "distance", F.explode("ids").alias("neighbour_id"))
-            .filter("neighbour_id <> query_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id", "dims").orderBy("distance", "neighbour_id"))).filter(F.col("rank") <= k)
-        )
+        named = best.join(entries.select("entry", "ids"), "entry").join(open_queries.select("query", "query_id", "dims", "wanted"), "query")
+        ranked = named.select("query", "query_id", "dims", "wanted", "distance", F.explode("ids").alias("neighbour_id")).filter("neighbour_id <> query_id").withColumn(
+            "rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour_id"))).filter(F.col("rank") <= k)
         state = cut(ranked)
         covered = F.ceil(F.col("dims") / SEGMENT) * (radius + 1) - 1
-        closed = cut(state.groupBy("query_id", "dims").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("furthest")).join(open_queries, ["query_id", "dims"]).filter(
-            (F.col("n") >= F.col("wanted")) & ((F.col("furthest") <= covered) | F.lit(radius == SEGMENT))).select("query_id", "dims"))
-        answers.append(state.join(closed, ["query_id", "dims"], "left_semi").select("query_id", "neighbour_id", "distance", "rank"))
-        open_queries = cut(open_queries.join(closed, ["query_id", "dims"], "left_anti"))
-        best = cut(best.join(closed, ["query_id", "dims"], "left_anti"))
+        closed = cut(state.groupBy("query", "dims", "wanted").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("furthest")).filter(
+            (F.col("n") >= F.col("wanted")) & ((F.col("furthest") <= covered) | F.lit(radius == SEGMENT))).select("query"))
+        answers.append(state.join(closed, "query", "left_semi").select("query_id", "neighbour_id", "distance", "rank"))
+        open_queries = cut(open_queries.join(closed, "query", "left_anti"))
+        best = cut(best.join(closed, "query", "left_anti"))
     if not answers:
         return rows.filter("false").select(F.col("id").alias("query_id"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance"), F.lit(0).alias("rank"))
     return reduce(DataFrame.unionByName, answers)
