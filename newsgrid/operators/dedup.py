@@ -222,8 +222,8 @@ def evictions(articles: DataFrame) -> DataFrame:
     snapshot = articles.filter(col("story_id").isNotNull()).select(
         "id", "story_id", "source_name", "normalized_url_hash", (-rank).alias("low_score")
     )
-    best = numbering.mark_first(snapshot, ["story_id", "source_name"], ["low_score"], "id", "best_of_source")
-    best = numbering.mark_first(best, ["story_id", "normalized_url_hash"], ["low_score"], "id", "best_of_url")
+    best = numbering.mark_first(snapshot, ["story_id", "source_name"], ["low_score"], "id", "best_of_source", store=True)
+    best = numbering.mark_first(best, ["story_id", "normalized_url_hash"], ["low_score"], "id", "best_of_url", store=True)
     return best.select(
         "id", "story_id",
         (~col("best_of_source")).alias("by_source"),

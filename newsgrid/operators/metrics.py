@@ -84,3 +84,13 @@ def without_cooldown(articles: DataFrame, failing: DataFrame) -> DataFrame:
 
 def status_counts(articles: DataFrame) -> DataFrame:
     return articles.groupBy("scrape_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_counters(ruled: DataFrame, first_of_url: DataFrame) -> DataFrame:
+    """One row of counters of a run: fetched, filtered, deduped, classified, stored. ``ruled`` has (id, rule, llm_tier), ``first_of_url``
+    (id, first_of_url) for the rows that passed the rules and the source's own flag."""
+    rows = ruled.join(first_of_url.select("id", "first_of_url"), "id", "left")
+    survived = F.coalesce("first_of_url", F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("rule").isNotNull()).alias("filtered"), F.count_if(F.col("rule").isNull() & ~survived).alias("deduped"),
+        F.count_if(survived).alias("classified"), F.count_if(survived & F.col("llm_tier").isin("A", "B")).alias("stored"))

@@ -62,7 +62,7 @@ def article_block(number: Column) -> Column:
 
 def classify_requests(articles: DataFrame, id_col: str = "id", size: int = config.CLASSIFY_BATCH) -> DataFrame:
     """(batch_id, n, request): numbered article blocks, five per request."""
-    batched = numbering.batch_number(articles, id_col, size)
+    batched = numbering.batch_number(articles, id_col, size, store=True)
     blocks = batched.select("batch_id", "pos", article_block(col("pos") + 1).alias("block"))
     grouped = blocks.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("l"))

@@ -6,27 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 RANGE_WIDTH = 100_000
+RANGES_TOGETHER = 4096
+
+
+def _offsets(ranged: DataFrame, major: list[str]) -> DataFrame:
+    """(major..., _range, _before): rows before each range. Ranges are summed in groups, so only the table of
+    groups, which is thousands of times smaller, is summed in one place."""
+    counts = ranged.groupBy(*major, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.floor(F.col("_range") / RANGES_TOGETHER))
+    groups = counts.groupBy(*major, "_group").agg(F.sum("_n").alias("_n"))
+    ahead = W.orderBy(*major, "_group").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select(*major, "_group", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = W.partitionBy(*major, "_group").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    own = counts.select(*major, "_group", "_range", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inside"))
+    return own.join(groups, [*major, "_group"]).select(*major, "_range", (F.col("_ahead") + F.col("_inside")).alias("_before"))
 
 
 def dense_number(df: DataFrame, id_col: str, out: str, major: list[str] | None = None,
-                 width: int = RANGE_WIDTH) -> DataFrame:
+                 width: int = RANGE_WIDTH, store: bool = False) -> DataFrame:
     """Number rows 1..n in the order (major..., id). ``id_col`` is a unique long; the
     ``major`` columns are not null and have few values.
 
     A global ``row_number`` would sort everything in one task. Here ids are cut into fixed
-    ranges: only the small table of range counts is summed in one place, the rows
-    are numbered range by range, each range holding at most ``width`` ids.
+    ranges: only counts of ranges are summed, the rows are numbered range by range, each
+    range holding at most ``width`` ids. The input is read twice; ``store`` writes it first, which
+    pays when it is costly to make.
     """
     major = major or []
+    df = cut(df) if store else df
     ranged = df.withColumn("_range", F.floor(F.col(id_col) / width))
     keys = [*major, "_range"]
-    before = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    offsets = _offsets(ranged, major)
     within = W.partitionBy(*keys).orderBy(id_col)
     return (
         ranged.join(offsets, keys)
@@ -36,9 +48,9 @@ def dense_number(df: DataFrame, id_col: str, out: str, major: list[str] | None =
 
 
 def batch_number(df: DataFrame, id_col: str, size: int, out: str = "batch_id",
-                 major: list[str] | None = None) -> DataFrame:
+                 major: list[str] | None = None, store: bool = False) -> DataFrame:
     """Batches of ``size`` rows in order, plus the position inside the batch (both from 0)."""
-    numbered = dense_number(df, id_col, "_no", major)
+    numbered = dense_number(df, id_col, "_no", major, store=store)
     return (
         numbered.withColumn(out, F.floor((F.col("_no") - 1) / size))
         .withColumn("pos", F.pmod(F.col("_no") - 1, F.lit(size)).cast("long"))
@@ -46,11 +58,13 @@ def batch_number(df: DataFrame, id_col: str, size: int, out: str = "batch_id",
     )
 
 
-def mark_first(df: DataFrame, key: list[str], order: list[str], row_id: str, out: str) -> DataFrame:
+def mark_first(df: DataFrame, key: list[str], order: list[str], row_id: str, out: str, store: bool = False) -> DataFrame:
     """Boolean ``out``: is this the first row of its key in the given order?
 
     The first row per key comes from a partial aggregate and is joined back on the unique
-    row id, so a key that holds a third of all rows never meets in one task."""
+    row id, so a key that holds a third of all rows never meets in one task. The input is read twice;
+    ``store`` writes it first."""
+    df = cut(df) if store else df
     firsts = (
         df.groupBy(*key).agg(F.min(F.struct(*order, row_id)).alias("_first"))
         .select(F.col(f"_first.{row_id}").alias(row_id), F.lit(True).alias(out))

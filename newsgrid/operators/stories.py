@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
@@ -173,3 +174,30 @@ def refresh_metadata(stories: DataFrame, articles: DataFrame, affected: DataFram
         changes[n] = F.when(hit, fresh).otherwise(col(n))
     changes["last_updated_at"] = F.when(hit, as_of).otherwise(col("last_updated_at"))
     return joined.withColumns(changes).select(*stories.columns)
+
+
+def story_pages(stories: DataFrame, articles: DataFrame) -> DataFrame:
+    """(story_id, article_count, id, title, pos): the articles of every story, newest first. Positions come from
+    counts of days and numbers inside a day, so no story is sorted in one task."""
+    rows = articles.filter("story_id IS NOT NULL").select(
+        "id", "title", "story_id", (F.lit(4102444800) - F.unix_timestamp("published_at")).alias("age"))
+    rows = rows.withColumn("day", F.floor(col("age") / 86400))
+    sizes = rows.groupBy("story_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("story_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = W.partitionBy("story_id", "day").orderBy("age", "id")
+    numbered = rows.join(offsets, ["story_id", "day"]).withColumn("pos", F.row_number().over(within) + col("before"))
+    return numbered.join(stories.select(col("id").alias("story_id"), "article_count"), "story_id").select(
+        "story_id", "article_count", "id", "title", "pos")
+
+
+def unmatched(articles: DataFrame, stories: DataFrame) -> DataFrame:
+    """(id) of articles that no active story holds."""
+    active = stories.filter("status = 'active'").select(col("id").alias("story_id"))
+    matched = articles.join(active, "story_id", "left_semi").select("id")
+    return articles.select("id").join(matched, "id", "left_anti")
+
+
+def affected(matched: DataFrame, new: DataFrame) -> DataFrame:
+    """(story_id): stories that a run has matched or made, each once."""
+    return matched.select("story_id").filter("story_id IS NOT NULL").unionByName(new.select("story_id")).distinct()

@@ -149,3 +149,9 @@ def chat_history(messages: DataFrame, keep: int = config.CHAT_HISTORY) -> DataFr
     last = numbering.top_per_key(valid, ["conv_id"], [col("turn").desc()], keep, "back")
     order = W.partitionBy("conv_id").orderBy("turn")
     return last.withColumn("pos", F.row_number().over(order) - 1).drop("back")
+
+
+def followed_flags(stories: DataFrame, follows: DataFrame) -> DataFrame:
+    """(id, followed) of every story: is it followed without a user?"""
+    mine = follows.filter("user_id IS NULL").select(col("story_id").alias("id"), F.lit(True).alias("followed")).distinct()
+    return stories.select("id").join(mine, "id", "left").select("id", F.coalesce("followed", F.lit(False)).alias("followed"))

@@ -56,8 +56,7 @@ def _(v: Views):
 @query("joi_03_is_followed", f"""{with_views('follows')}
 SELECT s.id, EXISTS (SELECT 1 FROM follows f WHERE f.story_id = s.id AND f.user_id IS NULL) AS followed FROM stories s""")
 def _(v: Views):
-    mine = v.follows.filter("user_id IS NULL").select(col("story_id").alias("id"), F.lit(True).alias("followed")).distinct()
-    return v.stories.select("id").join(mine, "id", "left").select("id", F.coalesce("followed", F.lit(False)).alias("followed"))
+    return timeline.followed_flags(v.stories, v.follows)
 
 
 _SCHEMA_HASHED = f"inc AS (SELECT *, {C.hashes()} FROM incoming), sto AS (SELECT *, {C.hashes()} FROM stored)"
@@ -170,18 +169,7 @@ def _(v: Views):
 @query("joi_12_story_page", f"""{with_views('stories')}
 SELECT s.id AS story_id, s.article_count, a.id, a.title, row_number() OVER (PARTITION BY s.id ORDER BY a.published_at DESC, a.id) AS pos FROM stories s JOIN articles a ON a.story_id = s.id""")
 def _(v: Views):
-    # positions inside a story without sorting a story in one task: dense numbers per day, newest first
-    rows = v.articles.filter("story_id IS NOT NULL").select(
-        "id", "title", "story_id", (F.lit(4102444800) - F.unix_timestamp("published_at")).alias("age"))
-    day = F.floor(col("age") / 86400)
-    from pyspark.sql import Window as W
-
-    sizes = rows.groupBy("story_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("story_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = W.partitionBy("story_id", "day").orderBy("age", "id")
-    numbered = rows.withColumn("day", day).join(offsets, ["story_id", "day"]).withColumn("pos", F.row_number().over(within) + col("before"))
-    return numbered.join(v.stories.select(col("id").alias("story_id"), "article_count"), "story_id").select("story_id", "article_count", "id", "title", "pos")
+    return stories.story_pages(v.stories, v.articles)
 
 
 _PARSED = f"""resp AS (SELECT batch_id, n, regexp_replace(regexp_replace(response, '^```(?:json)?\\n?', ''), '\\n?```$', '') AS t FROM responses),
@@ -354,12 +342,7 @@ SELECT (SELECT count(*) FROM ruled) AS fetched, (SELECT count(*) FROM ruled WHER
 def _(v: Views):
     ruled = filters.with_rule(v.raw_articles, as_of()).withColumn("normalized_url_hash", S.url_hash(col("url")))
     passed = ruled.filter("rule IS NULL AND NOT api_duplicate_flag").select("id", "normalized_url_hash")
-    marked = dedup.mark_batch_url(passed, "id").select("id", "first_of_url")
-    rows = ruled.join(marked, "id", "left")
-    survived = F.coalesce("first_of_url", F.lit(False))
-    return rows.agg(
-        F.count(F.lit(1)).alias("fetched"), F.count_if(col("rule").isNotNull()).alias("filtered"), F.count_if(col("rule").isNull() & ~survived).alias("deduped"),
-        F.count_if(survived).alias("classified"), F.count_if(survived & col("llm_tier").isin("A", "B")).alias("stored"))
+    return metrics.run_counters(ruled, dedup.mark_batch_url(passed, "id"))
 
 
 _CANDS = f"""cand AS (SELECT * FROM (SELECT a.*, a.published_at::DATE AS d, row_number() OVER (PARTITION BY a.story_id, a.published_at::DATE ORDER BY a.importance_score DESC NULLS LAST, a.published_at DESC, a.id) AS day_rank
@@ -614,15 +597,13 @@ def _(v: Views):
 
 @query("set_02_unmatched", f"""{with_views('incoming', 'stories')} SELECT id FROM incoming WHERE id NOT IN (SELECT a.id FROM incoming a JOIN stories s ON s.id = a.story_id WHERE s.status = 'active')""")
 def _(v: Views):
-    matched = v.incoming.join(v.stories.filter("status = 'active'").select(col("id").alias("story_id")), "story_id", "left_semi").select("id")
-    return v.incoming.select("id").join(matched, "id", "left_anti")
+    return stories.unmatched(v.incoming, v.stories)
 
 
 @query("set_03_affected_stories", f"""{ART} SELECT story_id FROM articles WHERE llm_tier = 'A' AND story_id IS NOT NULL UNION SELECT 1000000 + id // 50 FROM articles WHERE llm_tier = 'B'""")
 def _(v: Views):
-    matched = v.articles.filter("llm_tier = 'A' AND story_id IS NOT NULL").select("story_id")
-    new = v.articles.filter("llm_tier = 'B'").select((1000000 + F.floor(col("id") / 50)).alias("story_id"))
-    return matched.unionByName(new).distinct()
+    matched = v.articles.filter("llm_tier = 'A'")
+    return stories.affected(matched, v.articles.filter("llm_tier = 'B'").select((1000000 + F.floor(col("id") / 50)).alias("story_id")))
 
 
 _CHAIN = f"""inc AS (SELECT *, {C.hashes()} FROM incoming), sto_recent AS (SELECT {C.hashes()} FROM stored WHERE published_at > {C.AS_OF} - INTERVAL 7 DAY),

@@ -311,8 +311,8 @@ def _(v: Views):
 SELECT 'ids' AS asked, id, title FROM articles WHERE id IN (SELECT id FROM ids) UNION ALL SELECT 'story' AS asked, id, title FROM articles WHERE story_id = 7""")
 def _(v: Views):
     ids = v.labels.filter("quality = 1").select(col("doc_id").alias("id"))
-    by_id = v.articles.join(ids, "id", "left_semi").select(F.lit("ids").alias("asked"), "id", "title")
-    return by_id.unionByName(v.articles.filter("story_id = 7").select(F.lit("story").alias("asked"), "id", "title"))
+    by_id = tables.by_ids(v.articles, ids).select(F.lit("ids").alias("asked"), "id", "title")
+    return by_id.unionByName(tables.of_story(v.articles, 7).select(F.lit("story").alias("asked"), "id", "title"))
 
 
 # ---- SNK --------------------------------------------------------------------------------

@@ -207,7 +207,7 @@ def _normal_schema() -> T.StructType:
 
 
 def _first_urls(articles: DataFrame) -> DataFrame:
-    return landed.first_per_url(articles).filter("first_of_url").drop("first_of_url")
+    return numbering.top_per_key(articles, ["source_api", "normalized_url_hash"], [col("seq")], 1).drop("rank")
 
 
 def _stored_shape(fresh: DataFrame) -> DataFrame:

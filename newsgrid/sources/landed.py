@@ -164,7 +164,7 @@ def first_per_url(articles: DataFrame) -> DataFrame:
     """Within a source: the first record of each normalised url."""
     marked = numbering.mark_first(
         articles.withColumn("_row", F.concat_ws(":", "source_api", "seq")),
-        ["source_api", "normalized_url_hash"], ["seq"], "_row", "first_of_url")
+        ["source_api", "normalized_url_hash"], ["seq"], "_row", "first_of_url", store=True)
     return marked.drop("_row")
 
 
@@ -175,7 +175,7 @@ def concat_sources(by_source: dict[str, DataFrame], order: tuple[str, ...] = con
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return numbering.dense_number(every, "seq", "batch_seq", ["source_rank"], width=100 * POSITIONS)
+    return numbering.dense_number(every, "seq", "batch_seq", ["source_rank"], width=100 * POSITIONS, store=True)
 
 
 def tolerant(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], schema: T.StructType) -> dict[str, DataFrame]:

@@ -54,9 +54,9 @@ def clean_strings(df: DataFrame) -> DataFrame:
 def new_articles(accepted: DataFrame, stored: DataFrame, seq: str = "batch_seq") -> DataFrame:
     """Accepted rows whose url is new, the first of each url in batch order, with ids that
     continue after the stored ones."""
-    first = numbering.mark_first(accepted, ["url"], [], seq, "_first").filter("_first").drop("_first")
+    first = numbering.mark_first(accepted, ["url"], [], seq, "_first", store=True).filter("_first").drop("_first")
     fresh = first.join(stored.select("url"), "url", "left_anti")
-    numbered = numbering.dense_number(fresh, seq, "_no")
+    numbered = numbering.dense_number(fresh, seq, "_no", store=True)
     return numbered.withColumn("id", last_id(stored) + col("_no")).drop("_no")
 
 
@@ -150,3 +150,13 @@ def run_row(run_id: int, started: Column, completed: Column, counters: dict[str,
         F.lit("failed" if error is not None else "success").alias("status"),
         S.strip_null_chars(F.lit(error).cast("string")).alias("error_message"),
     ]
+
+
+def by_ids(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """Articles whose id is in the table of ids."""
+    return articles.join(ids.select("id"), "id", "left_semi")
+
+
+def of_story(articles: DataFrame, story_id: int) -> DataFrame:
+    """Articles of one story."""
+    return articles.filter(F.col("story_id") == story_id)
