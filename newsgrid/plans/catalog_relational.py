@@ -104,7 +104,24 @@ def _(v: Views):
     return similarity.match_snapshot(*_match_input(v))
 
 
-@query("joi_06_story_match")
+# The walk keeps, per story in id order, the numbers of the vectors in its window: below zero those it starts with, above the articles it took.
+@query("joi_06_story_match", f"""{with_views('incoming', 'stored', 'stories', 'centroids', 'keywords', recursive=True)}, {_STATES},
+live AS (SELECT s.id AS story_id, c.centroid, (SELECT count(*) FROM story_recent r WHERE r.story_id = s.id) AS n FROM stories s JOIN centroids c ON c.story_id = s.id
+ WHERE s.status = 'active' AND s.last_updated_at >= {C.AS_OF} - INTERVAL 14 DAY),
+refs AS (SELECT story_id, pos, embedding, -row_number() OVER (ORDER BY story_id, pos) AS ref FROM (SELECT l.story_id, r.rn AS pos, r.embedding FROM live l JOIN story_recent r ON r.story_id = l.story_id
+ UNION ALL SELECT story_id, 0, centroid FROM live WHERE n < 10) q),
+n AS (SELECT row_number() OVER (ORDER BY a.id) AS k, a.id, v.embedding, w.api_keywords[1:8] AS words FROM incoming a JOIN vectors v ON v.id = a.id JOIN keywords w ON w.id = a.id WHERE v.embedding IS NOT NULL),
+points AS (SELECT ref, embedding FROM refs UNION ALL SELECT k, embedding FROM n),
+sims AS (SELECT n.k, map(list(p.ref ORDER BY p.ref), list({C.cos('n.embedding', 'p.embedding')} ORDER BY p.ref)) AS m FROM n JOIN points p ON p.ref < n.k GROUP BY n.k),
+shared AS (SELECT n.k, map(list(l.story_id ORDER BY l.story_id), list(CASE WHEN coalesce(len(n.words), 0) = 0 OR coalesce(len(w.keyword_set), 0) = 0 THEN -1.0
+ ELSE least(len(list_filter(n.words, lambda x: list_contains(w.keyword_set, x))) / 4.0, 1.0) END::DOUBLE ORDER BY l.story_id)) AS part FROM n CROSS JOIN live l LEFT JOIN story_kw w ON w.id = l.story_id GROUP BY n.k),
+walk(k, st, story, score) AS (SELECT 0::BIGINT, (SELECT list({{'s': story_id, 'r': r}} ORDER BY story_id) FROM (SELECT story_id, list(ref ORDER BY pos) AS r FROM refs GROUP BY story_id) q), NULL::BIGINT, NULL::DOUBLE UNION ALL
+ SELECT k, CASE WHEN best.score >= 0.75 THEN list_transform(st, lambda x: CASE WHEN x.s = -best.neg THEN {{'s': x.s, 'r': list_append(x.r, k)[greatest(1, len(x.r) - 8):]}} ELSE x END) ELSE st END,
+  CASE WHEN best.score >= 0.75 THEN -best.neg END, best.score FROM (
+  SELECT n.k, w.st, list_max(list_transform(w.st, lambda x: {{'score': CASE WHEN h.part[x.s] < 0 THEN list_max(list_transform(x.r, lambda y: s.m[y]))
+    ELSE list_max(list_transform(x.r, lambda y: s.m[y])) * 0.65 + h.part[x.s] * 0.35 END, 'neg': -x.s}})) AS best
+  FROM walk w JOIN n ON n.k = w.k + 1 JOIN sims s ON s.k = n.k JOIN shared h ON h.k = n.k) z)
+SELECT n.id, walk.story AS story_id, {C.r('walk.score')} AS score FROM walk JOIN n ON n.k = walk.k WHERE walk.story IS NOT NULL""")
 def _(v: Views):
     return similarity.match_sequential(*_match_input(v))
 
