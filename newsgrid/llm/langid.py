@@ -51,6 +51,27 @@ def _points(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80, dtype=np.int64)])[at]
 
 
+def _word_symbols(points: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Symbol of each code point. Words that hold a digit (keys, hashes, part numbers) say nothing about a language and count as
+    separators, except in a text that has no other word."""
+    sym = table[points]
+    digit = (points >= 0x30) & (points <= 0x39)
+    if not digit.any():
+        return sym
+    part = (sym > 0) | digit
+    first = part.copy()
+    first[1:] &= ~part[:-1]
+    heads = starts[:-1][starts[:-1] < len(points)]
+    first[heads] = part[heads]
+    run = np.cumsum(first) - 1
+    coded = np.zeros(run[-1] + 1, bool)
+    coded[run[digit]] = True
+    drop = (sym > 0) & coded[run]
+    left = np.concatenate([[0], np.cumsum((sym > 0) & ~drop, dtype=np.int64)])
+    none_left = np.repeat(left[starts[1:]] == left[starts[:-1]], np.diff(starts))
+    return np.where(drop & ~none_left, np.uint8(0), sym)
+
+
 def trigram_codes(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Trigram hashes of all texts in a row, and how many each text has: one for each letter and one for the end of each word.
     Runs of other characters are one separator; two separators stand before a text. A text without a letter has none."""
@@ -58,7 +79,7 @@ def trigram_codes(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(starts) - 1
     # A separator before each text and one after the last; of a run of separators only the first is kept.
     sym = np.zeros(len(points) + n + 1, np.uint8)
-    sym[np.arange(len(points)) + np.repeat(np.arange(n), np.diff(starts)) + 1] = table[points]
+    sym[np.arange(len(points)) + np.repeat(np.arange(n), np.diff(starts)) + 1] = _word_symbols(points, starts, table)
     bounds = starts + np.arange(n + 1)
     keep = sym > 0
     keep[1:] |= sym[:-1] > 0

@@ -1,6 +1,7 @@
 """Language identification and toxicity: formulas, held-out accuracy, odd rows."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -21,7 +22,9 @@ def crc(doc_id):
 
 def plain_codes(text):
     table = langid.symbol_table()
-    sym = [int(table[ord(c)]) for c in text or ""]
+    coded = re.sub("[^0-9]+", lambda m: "".join(c if table[ord(c)] else " " for c in m[0]), text or "")
+    kept = re.sub(r"\S*[0-9]\S*", lambda m: " " * len(m[0]), coded)
+    sym = [int(table[ord(c)]) for c in (kept if kept.strip() else coded)]
     runs = [s for s, before in zip(sym, [0, *sym]) if s or before]
     if runs and runs[-1]:
         runs.append(0)
@@ -30,7 +33,7 @@ def plain_codes(text):
 
 
 def test_trigrams_equal_plain_loop():
-    texts = ["", "Ab c", None, "  ¡Hola, señor!  ", "x", "12 34", "a\nb\nc", "Ünï 👍 çödé", "end", "Ⅷ ß ı"]
+    texts = ["", "Ab c", None, "  ¡Hola, señor!  ", "x", "12 34", "a\nb\nc", "Ünï 👍 çödé", "end", "Ⅷ ß ı", "key AKIA7R7H72 of", "a1b2", "x9 y", "it-5 is", "9", "ab", "7z"]
     code, size = langid.trigram_codes(pa.array(texts), langid.symbol_table())
     assert size.tolist() == [len(plain_codes(t)) for t in texts]
     assert code.tolist() == [c for t in texts for c in plain_codes(t)]
