@@ -379,4 +379,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     doc_id are one document and stay or go together; rows without a doc_id cannot be named and stay."""
     found = near_copies(docs, **options)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti")
+    return docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
