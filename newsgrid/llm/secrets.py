@@ -21,31 +21,49 @@ KINDS: list[tuple[str, str, int, int]] = [
     ("prefixed", r"(?=[gxsAe])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{24,}|AIza[A-Za-z0-9_-]{35,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,})", 0, 12),
 ]
 BASE = 3
+#: Matches of a text that are gathered at once.
+BLOCK = 256
 #: Owners from which on a value is a copied example, and distinct characters from which on it looks random.
 COPIED_OWNERS = 3
 RANDOM_CHARS = 8
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|xxxx|1234567|your[_-]?"
 
 
-def _find(text: Column, number: int) -> Column:
-    """Array of (start, kind, end, value) of one kind's matches, leftmost and not overlapping; places count code points from 0."""
-    _, pattern, group, least = KINDS[number]
+ROW = "array<struct<start: long, kind: int, end: long, value: string>>"
+PARTS = "array<struct<before: int, whole: int, value: string>>"
+
+
+def _parts(text: Column, number: int) -> Column:
+    """The matches of one kind, leftmost and not overlapping: code points of the text before each since the last one, code points of the
+    match, and its value. Most texts have none and are read once."""
+    _, pattern, group, _ = KINDS[number]
     p = F.lit(pattern)
-    row = "array<struct<start: long, kind: int, end: long, value: string>>"
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(row).alias("found"))
+    before = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda x: F.length(x))
+    # There is one piece of text more than matches; the zip is cut to the matches.
+    parts = F.slice(F.arrays_zip(before.alias("before"), whole.alias("whole"), F.regexp_extract_all(text, p, F.lit(group)).alias("value")), F.lit(1), F.size(whole))
+    return F.when(text.rlike(pattern), parts.cast(PARTS)).otherwise(F.array().cast(PARTS))
+
+
+def _find(parts: Column, number: int) -> Column:
+    """Array of (start, kind, end, value) of the matches whose value is long enough; places count code points from 0."""
+    least = KINDS[number][3]
+    none = F.array().cast(ROW)
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["before"])
-        end = start + F.length(x["whole"])
-        hit = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(
-            F.coalesce(end, start).cast("long").alias("at"),
-            F.when(F.length(x["value"]) >= least, F.concat(state["found"], F.array(hit))).otherwise(state["found"]).cast(row).alias("found"))
+        start = state["at"] + x["before"]
+        end = (start + x["whole"]).cast("long")
+        hit = F.struct(start.cast("long").alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["found"], F.array(hit))).otherwise(state["found"]).cast(ROW).alias("found"))
+
+    def block(state: Column, no: Column) -> Column:
+        """The matches of one block, gathered apart, so that the long list is copied once a block and not once a match."""
+        inner = F.aggregate(F.slice(parts, no * BLOCK + 1, F.lit(BLOCK)), F.struct(state["at"].alias("at"), none.alias("found")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(state["found"], inner["found"]).cast(ROW).alias("found"))
 
-    found = F.aggregate(parts, zero, step, lambda state: state["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(row))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
+    return F.when(F.size(parts) > 0, F.aggregate(blocks, zero, block, lambda state: state["found"])).otherwise(none)
 
 
 def listed(found: Column) -> Column:
@@ -54,11 +72,12 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``found``: all matches by start, then kind."""
+def candidates(docs: DataFrame, names: list[Column]) -> DataFrame:
+    """The columns ``names`` of ``docs`` and ``found``: all matches by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = F.concat(*[_find(text, i) for i in range(len(KINDS))])
-    return docs.select(*keep, F.array_sort(found).alias("found"))
+    parts = docs.select(*names, *[_parts(text, i).alias(f"_parts{i}") for i in range(len(KINDS))])
+    found = F.concat(*[_find(F.col(f"_parts{i}"), i) for i in range(len(KINDS))])
+    return parts.select(*[c for c in parts.columns if not c.startswith("_parts")], F.array_sort(found).alias("found"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
