@@ -55,6 +55,7 @@ TIERS = ("A", "B", "C", "D")
 ACCEPTED_TIERS = ("A", "B")
 CATEGORIES = ("economics", "policy", "science", "accountability", "business", "none")
 FEED_CATEGORIES = ("economics", "policy", "science", "accountability", "business")
+# Weights of categories and tiers.
 CATEGORY_WEIGHT = {
     "economics": 1.0,
     "policy": 1.0,

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import config, schemas
+from .. import config, rules, schemas
 from ..functions import scalars as S
 from . import filters, numbering
 
@@ -25,39 +25,46 @@ def _number_text(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0$", "")
 
 
+def _labelled(label: str, value: Column) -> Column:
+    return F.concat(F.lit(label), value)
+
+
+def _framed(frame: tuple[str, str], value: Column) -> Column:
+    return F.concat(F.lit(frame[0]), value, F.lit(frame[1]))
+
+
 def signal_line() -> Column:
     """Optional source signals of an article in one line; empty when there are none."""
     entities = F.array_join(
         F.transform(F.slice("api_entities", 1, 5), lambda e: F.concat(e["name"], F.lit(" ("), e["type"], F.lit(")"))), ", ")
     iptc = S.blank_to_null(col("api_iptc_category"))
     total = S.context_len(col("description"), col("content"))
-    parts = F.concat_ws(
-        " | ",
-        F.concat(F.lit("IPTC Category: "), iptc),
-        F.when(F.size("api_entities") > 0, F.concat(F.lit("Entities: "), entities)),
-        F.concat(F.lit("Sentiment: "), _number_text(col("api_sentiment"))),
-        F.concat(F.lit("API Relevance Score: "), _number_text(col("api_relevance_score"))),
-        F.concat(F.lit("Source Authority Rank: "), col("api_source_priority").cast("string")),
-        F.when(F.size("api_keywords") > 0, F.concat(F.lit("Keywords: "), F.array_join(F.slice("api_keywords", 1, 8), ", "))),
-        F.when(iptc.isNull(), F.concat(F.lit("API Category: "), S.blank_to_null(col("api_category")))),
-        F.concat(F.lit("Country: "), S.blank_to_null(col("api_country"))),
-        F.when(total < 200, F.concat(F.lit("Short API snippet only ("), total.cast("string"),
-                                     F.lit(" chars) — apply Rule 13 before assigning Tier A"))),
-    )
-    return F.when(parts != "", F.concat(F.lit("API Signals: { "), parts, F.lit(" }"))).otherwise("")
+    signals = {
+        "iptc": iptc,
+        "entities": F.when(F.size("api_entities") > 0, entities),
+        "sentiment": _number_text(col("api_sentiment")),
+        "relevance": _number_text(col("api_relevance_score")),
+        "authority": col("api_source_priority").cast("string"),
+        "keywords": F.when(F.size("api_keywords") > 0, F.array_join(F.slice("api_keywords", 1, 8), ", ")),
+        "category": F.when(iptc.isNull(), S.blank_to_null(col("api_category"))),
+        "country": S.blank_to_null(col("api_country")),
+    }
+    short = F.when(total < 200, _framed(rules.SHORT_SNIPPET, total.cast("string")))
+    parts = F.concat_ws(" | ", *[_labelled(label, signals[name]) for name, label in rules.SIGNAL_LABELS.items()], short)
+    return F.when(parts != "", _framed(rules.SIGNAL_FRAME, parts)).otherwise("")
 
 
 def article_block(number: Column) -> Column:
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("["), number.cast("string"), F.lit("]")),
-        F.concat(F.lit("Title: "), "title"),
-        F.concat(F.lit("Description: "), S.blank_to_null(F.substring("description", 1, 500))),
-        F.concat(F.lit("Content (excerpt): "), S.blank_to_null(F.substring("content", 1, 1000))),
-        F.concat(F.lit("Source: "), F.coalesce(S.blank_to_null(col("source_domain")), F.lit("unknown"))),
-        F.concat(F.lit("Published: "), F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("unknown"))),
-        S.blank_to_null(signal_line()),
-    )
+    unknown = F.lit(rules.UNKNOWN_VALUE)
+    lines = {
+        "title": col("title"),
+        "description": S.blank_to_null(F.substring("description", 1, 500)),
+        "content": S.blank_to_null(F.substring("content", 1, 1000)),
+        "source": F.coalesce(S.blank_to_null(col("source_domain")), unknown),
+        "published": F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), unknown),
+    }
+    labelled = [_labelled(label, lines[name]) for name, label in rules.REQUEST_LINES.items()]
+    return F.concat_ws("\n", _framed(("[", "]"), number.cast("string")), *labelled, S.blank_to_null(signal_line()))
 
 
 def classify_requests(articles: DataFrame, id_col: str = "id", size: int = config.CLASSIFY_BATCH) -> DataFrame:
@@ -68,7 +75,7 @@ def classify_requests(articles: DataFrame, id_col: str = "id", size: int = confi
         F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("l"))
     return grouped.select(
         "batch_id", "n",
-        F.concat(F.lit("Classify these "), col("n").cast("string"), F.lit(" articles:\n\n"), F.array_join("l.block", "\n\n")).alias("request"))
+        F.concat(_framed(rules.REQUEST_HEAD, col("n").cast("string")), F.array_join("l.block", "\n\n")).alias("request"))
 
 
 def unfence(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, rules
 from ..functions import scalars as S
 from . import numbering
 from .filters import since
@@ -117,6 +117,12 @@ def context_text() -> Column:
     return F.coalesce(*[S.blank_to_null(col(c)) for c in ("full_text", "content", "description")], F.lit(""))
 
 
+def _titled(text: Column) -> Column:
+    """Title, date and text of an article in the context."""
+    before, after = map(F.lit, rules.CONTEXT_DATE)
+    return F.concat(col("title"), before, S.short_date(col("published_at")), after, text)
+
+
 def chat_context(timeline: DataFrame, current: DataFrame, articles: DataFrame,
                  current_chars: int = config.CHAT_CURRENT_CHARS, shared_chars: int = config.CHAT_SHARED_CHARS) -> DataFrame:
     """(story_id, article_id, context): text of the current article, then the other timeline
@@ -124,8 +130,7 @@ def chat_context(timeline: DataFrame, current: DataFrame, articles: DataFrame,
     texts = articles.select("id", "title", "published_at", context_text().alias("text"))
     heads = current.select("story_id", "article_id").join(texts.withColumnRenamed("id", "article_id"), "article_id").select(
         "story_id", "article_id",
-        F.concat(F.lit('CONTEXT — Current Article (what the user is reading): "'), "title", F.lit('" ('),
-                 S.short_date(col("published_at")), F.lit(")\n"), F.substring("text", 1, current_chars)).alias("head"),
+        F.concat(F.lit(rules.CONTEXT_CURRENT), _titled(F.substring("text", 1, current_chars))).alias("head"),
     )
     others = timeline.select("story_id", "id", "pos").join(current.select("story_id", "article_id"), "story_id").filter(
         col("id") != col("article_id"))
@@ -134,9 +139,8 @@ def chat_context(timeline: DataFrame, current: DataFrame, articles: DataFrame,
         "share": F.floor(F.lit(shared_chars) / F.count(F.lit(1)).over(story)).cast("int"),
         "no": F.row_number().over(story.orderBy("pos")) + 1,
     }).join(texts, "id")
-    snippet = F.concat(
-        F.lit("CONTEXT — Timeline Article "), col("no").cast("string"), F.lit(': "'), "title", F.lit('" ('),
-        S.short_date(col("published_at")), F.lit(")\n"), F.substring(col("text"), F.lit(1), col("share")))
+    before, after = map(F.lit, rules.CONTEXT_OTHER)
+    snippet = F.concat(before, col("no").cast("string"), after, _titled(F.substring(col("text"), F.lit(1), col("share"))))
     tails = others.select("story_id", "article_id", "no", snippet.alias("snippet")).groupBy("story_id", "article_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "snippet"))), lambda x: x["snippet"]), "\n\n").alias("tail"))
     return heads.join(tails, ["story_id", "article_id"], "left").select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,13 +99,16 @@ def _log_run(spark: SparkSession, root: str, run_id: int, started: Column, ended
     tables.append(row, os.path.join(root, "runs"))
 
 
-def _log_rejections(rows: DataFrame, root: str, as_of: Column) -> None:
-    full = rows.withColumns({"created_at": as_of, "day": F.to_date(as_of)})
-    for f in REJECTION_LOG.fields:
-        if f.name not in full.columns:
-            full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
-    ordered = full.select(*[col(f.name).cast(f.dataType) for f in REJECTION_LOG.fields])
-    tables.append(tables.clean_strings(ordered), os.path.join(root, "rejection_log"), "day")
+def _log_rejections(parts: list[DataFrame], root: str, as_of: Column) -> None:
+    """All rejections of a run as one partition of the log, named by the time of the run: a run that is repeated replaces its own."""
+    shaped = []
+    for rows in parts:
+        full = rows.withColumns({"created_at": as_of, "day": F.to_date(as_of)})
+        missing = [f for f in REJECTION_LOG.fields if f.name not in full.columns]
+        full = full.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else full
+        shaped.append(tables.clean_strings(full.select(*[col(f.name).cast(f.dataType) for f in REJECTION_LOG.fields])))
+    log = reduce(DataFrame.unionByName, shaped).withColumn("run", F.date_format(as_of, "yyyyMMddHHmmss"))
+    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(os.path.join(root, "rejection_log"))
 
 
 def _run(spark, pages, root, as_of, models, scraped, lookups, max_articles) -> Run:
@@ -185,9 +189,9 @@ def _run(spark, pages, root, as_of, models, scraped, lookups, max_articles) -> R
     count["articles_summarized"] = summaries.count()
 
     # -- state
-    _log_rejections(filters.rejections(ruled.filter("rule IS NOT NULL")), root, as_of)
-    _log_rejections(filters.rejections(judged.filter("rule IS NOT NULL")), root, as_of)
-    _log_rejections(tables.tier_rejections(classified), root, as_of)
+    _log_rejections([
+        filters.rejections(ruled.filter("rule IS NOT NULL")), filters.rejections(judged.filter("rule IS NOT NULL")), tables.tier_rejections(classified),
+    ], root, as_of)
     path = os.path.join(root, "articles")
     late = cut(tables.update_columns(stored.join(summaries, "id", "left_semi"), summaries, "id", ["summary"]).select(*STORED_ARTICLE.names))
     tables.append(_stored_shape(tables.update_columns(fresh, summaries, "id", ["summary"])), path, "day")

@@ -213,6 +213,40 @@ BYLINE_BLOCKS = [
 ]
 HEADING_MARK = "###HEADING:###"
 
+# Texts of the classification request, in the order of its lines.
+REQUEST_HEAD = ("Classify these ", " articles:\n\n")
+REQUEST_LINES = {
+    "title": "Title: ",
+    "description": "Description: ",
+    "content": "Content (excerpt): ",
+    "source": "Source: ",
+    "published": "Published: ",
+}
+UNKNOWN_VALUE = "unknown"
+SIGNAL_FRAME = ("API Signals: { ", " }")
+SIGNAL_LABELS = {
+    "iptc": "IPTC Category: ",
+    "entities": "Entities: ",
+    "sentiment": "Sentiment: ",
+    "relevance": "API Relevance Score: ",
+    "authority": "Source Authority Rank: ",
+    "keywords": "Keywords: ",
+    "category": "API Category: ",
+    "country": "Country: ",
+}
+SHORT_SNIPPET = ("Short API snippet only (", " chars) — apply Rule 13 before assigning Tier A")
+
+# Headings of the chat context.
+CONTEXT_CURRENT = 'CONTEXT — Current Article (what the user is reading): "'
+CONTEXT_OTHER = ("CONTEXT — Timeline Article ", ': "')
+CONTEXT_DATE = ('" (', ")\n")
+
+# Names of a run's counters, in the order of the log.
+RUN_COUNTERS = (
+    "articles_fetched", "articles_filtered", "articles_deduped", "articles_classified", "articles_stored",
+    "stories_matched", "stories_created", "articles_summarized", "brief_id",
+)
+
 
 def any_of(patterns: list[str]) -> str:
     """One case-insensitive alternation of several patterns."""

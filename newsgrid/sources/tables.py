@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, rules
 from ..functions import scalars as S
 from ..operators import filters, numbering
 from ..session import cut
@@ -142,11 +142,9 @@ def fill_cache(cache: DataFrame, wanted: DataFrame, produced: DataFrame) -> tupl
 
 def run_row(run_id: int, started: Column, completed: Column, counters: dict[str, int | None], error: str | None = None) -> list[Column]:
     """Columns of one run log row: success with counters, or failed with the message."""
-    names = ("articles_fetched", "articles_filtered", "articles_deduped", "articles_classified", "articles_stored",
-             "stories_matched", "stories_created", "articles_summarized", "brief_id")
     return [
         F.lit(run_id).cast("long").alias("id"), started.alias("started_at"), completed.alias("completed_at"),
-        *[F.lit(counters.get(n)).cast("long").alias(n) for n in names],
+        *[F.lit(counters.get(n)).cast("long").alias(n) for n in rules.RUN_COUNTERS],
         F.lit("failed" if error is not None else "success").alias("status"),
         S.strip_null_chars(F.lit(error).cast("string")).alias("error_message"),
     ]

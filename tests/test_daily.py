@@ -74,3 +74,12 @@ def test_failure_is_logged(spark, tmp_path):
         daily.run_day(spark, {}, root, F.lit("2024-01-15").cast("timestamp"), MODELS)
     row = spark.read.parquet(root + "/runs").first()
     assert (row.id, row.status) == (1, "failed") and row.error_message
+
+
+def test_a_repeated_run_replaces_its_rejections(spark, tmp_path):
+    rows = spark.createDataFrame([(f"https://a.com/{i}", "t", "language", "filter") for i in range(5)], "url string, title string, rejection_rule string, rejection_stage string")
+    first, second = F.lit("2024-01-15").cast("timestamp"), F.lit("2024-01-15 12:00:00").cast("timestamp")
+    for as_of in (first, first, second):
+        daily._log_rejections([rows, rows.limit(2)], str(tmp_path), as_of)
+    log = daily._table(spark, str(tmp_path), "rejection_log", daily.REJECTION_LOG)
+    assert log.count() == 14 and log.select("created_at").distinct().count() == 2
