@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import slices
 
 #: Pages, at most, that the block classifier is trained on; those with the smallest hash of their id.
 TRAINING_PAGES = 3000
