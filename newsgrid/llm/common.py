@@ -15,16 +15,26 @@ from newsgrid.session import cut, drop_cut
 
 #: Texts are handled in slices of about this many bytes, so a task's memory follows its longest text, not its batch.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch: whole texts stand in it, on both sides of the way to Python.
+BATCH_ROWS = 2000
 #: Stands for a missing document id inside an operator: sorts below every real id.
 NO_ID = -(1 << 63)
 
-__all__ = ["NO_ID", "SLICE_BYTES", "components", "cut", "drop_cut", "slices", "table", "text_bytes", "text_list"]
+__all__ = ["NO_ID", "SLICE_BYTES", "components", "cut", "drop_cut", "slices", "small_batches", "table", "text_bytes", "text_list"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after setting the session's Arrow batches to BATCH_ROWS rows, or fewer if they are set so."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offsets of its rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

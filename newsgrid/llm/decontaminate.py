@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_list
+from .common import slices, small_batches, text_list
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -184,7 +184,7 @@ def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], width: int, kee
                 [*keep, *out])
 
     schema = T.StructType([docs.schema[k] for k in keep]).add(out[0], "long").add(out[1], SPANS).add(out[2], T.ArrayType(T.StringType()))
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _all_passes(docs: DataFrame, items: DataFrame, width: int, keep: list[str], out: list[str], block_words: int) -> DataFrame:

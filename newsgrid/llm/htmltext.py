@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Pages, at most, that the block classifier is trained on; those with the smallest hash of their id.
 TRAINING_PAGES = 3000
@@ -293,4 +293,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(kept, pa.int64())],
                 ["page_id", "url", "text", "n_blocks", "n_content"])
 
-    return pages.select(_id_column(pages), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_blocks long, n_content long")
+    return small_batches(pages).select(_id_column(pages), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_blocks long, n_content long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_bytes
+from .common import cut, slices, small_batches, text_bytes
 
 UNKNOWN = "und"
 #: Symbols: 0 separates words, 1-26 are a-z, other letters share the rest by their code point. A trigram hash has 24 bits, so
@@ -120,7 +120,7 @@ def counts(docs: DataFrame) -> DataFrame:
         label = pa.array(list(names), pa.string()).take(pa.array(seen[0] >> 24))
         yield pa.RecordBatch.from_arrays([label, pa.array((seen[0] & 0xFFFFFF).astype(np.int32)), pa.array(n[0])], ["lang", "code", "n"])
 
-    return docs.filter(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return small_batches(docs).filter(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -300,7 +300,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, score, rejected = model.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -313,4 +313,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             _, _, rejected = model.predict(batch.column("text"))
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, cut, drop_cut, slices, text_list
+from .common import NO_ID, cut, drop_cut, slices, small_batches, text_list
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -184,7 +184,7 @@ def _rewrite(docs: DataFrame, min_chars: int, min_docs: int, bits: int | None, b
     The shared keys are looked up in place if they are few enough to be sent to every task; otherwise each document gets the
     keys it loses by a join on its id. Both ways give the same rows.
     """
-    names = docs.columns
+    names = small_batches(docs).columns
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     extra = next(n for n in (f"_lost{i}" for i in range(len(names) + 1)) if n not in names)
     narrow = docs.select(row_id.alias("doc_id"), "text")

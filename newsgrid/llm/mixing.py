@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, drop_cut, slices, text_bytes
+from .common import NO_ID, cut, drop_cut, slices, small_batches, text_bytes
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -56,7 +56,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             size = word_counts(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size)], ["doc_id", "source", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(
         run, "doc_id long, source string, size long")
 
 

@@ -19,14 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_cut, slices, text_list
+from .common import components, cut, drop_cut, slices, small_batches, text_list
 
 SEED = 42
 WIDTH = 4
 DISTANCE = 4
 #: Rows that one comparison group may hold; a larger group is split into a grid of cells.
 GROUP_ROWS = 1_000_000
-#: Candidate pairs held at once while a group is compared.
+#: Rows that are compared together at least, and candidate pairs held at once while a group is compared.
+COMPARED_TOGETHER = 1 << 15
 PAIRS_AT_ONCE = 1 << 21
 
 #: Codes to choose from, as bit widths of the blocks of each part: 15 and 7 are perfect Hamming codes, 1 is a free bit.
@@ -93,7 +94,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = fingerprint_list(text_list(batch.column("text"))).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def as_hex(fp: Column) -> Column:
@@ -329,8 +330,8 @@ def links(distinct: DataFrame, code: tuple[tuple[int, ...], ...], distance: int
                 continue
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell")], axis=1).astype(np.int64)
             waiting.append((keys, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
-            if (keys[0] == keys[-1]).all() and (waiting[0][0][0] == keys[0]).all():
-                continue  # still inside one group
+            if sum(len(w[1]) for w in waiting) < COMPARED_TOGETHER or (waiting[0][0][0] == keys[-1]).all():
+                continue  # too few rows yet, or still inside one group
             keys, fp = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
             last = np.flatnonzero((keys != keys[-1]).any(axis=1))[-1] + 1
             yield out(keys[:last], fp[:last])

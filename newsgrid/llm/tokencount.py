@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_list
+from .common import slices, small_batches, text_list
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands before a pre-token, as in the vocabulary.
@@ -169,4 +169,4 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataF
                 total = np.zeros(len(n), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")

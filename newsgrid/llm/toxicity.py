@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_bytes, text_list
+from .common import cut, slices, small_batches, text_bytes, text_list
 
 # Insults and second-person words of the four languages of the corpus, lower case.
 INSULTS = """
@@ -167,7 +167,7 @@ def features(docs: DataFrame, learned: frozenset[bytes]) -> DataFrame:
             offsets = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<double>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<double>")
 
 
 def score(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trees: int = TREES) -> DataFrame:
