@@ -1,7 +1,8 @@
 """Secrets in texts, told from copied examples by who owns them.
 
 Candidates are found by patterns with built-in functions only. Their hashes are counted over distinct repositories and owners of the
-whole corpus: a value that many owners share is a copied example, one that belongs to a single owner and looks random may be live.
+whole corpus: a value that many owners share, or that stands in many repositories whoever owns them, is a copied example; one of few owners
+and few repositories that looks random may be live.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ KINDS: list[tuple[str, str, int, int]] = [
 BASE = 3
 #: Matches of a text that are gathered at once.
 BLOCK = 256
-#: Owners from which on a value is a copied example, and distinct characters from which on it looks random.
+#: Owners and repositories from which on a value is a copied example, either of them, and distinct characters from which on it looks random.
+#: One owner may hold a live value in a few places, so more repositories than owners are needed.
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 10
 RANDOM_CHARS = 8
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|xxxx|1234567|your[_-]?"
 
 
 ROW = "array<struct<start: long, kind: int, end: long, value: string>>"
+HELD = ROW.replace(">>", ", owners: long, repositories: long>>")
 PARTS = "array<struct<before: int, whole: int, value: string>>"
 
 
@@ -85,24 +89,29 @@ def ownership(found: DataFrame) -> DataFrame:
     return found.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """(doc_id, found, n_live, n_copied) for every row of ``docs`` (doc_id, text and the columns that name owner and repository).
 
-    ``found`` lists (start, kind, end, value). ``n_copied`` counts its values that at least ``copied_owners`` owners hold or that name themselves an
-    example, ``n_live`` those of fewer owners that look random. A null text is empty; a missing owner or repository is not counted
-    as one. Repeated rows come back as often as they came; an empty table gives no rows.
+    ``found`` lists (start, kind, end, value, owners, repositories), the last two being the distinct ones of the value in all of ``docs``. ``n_copied``
+    counts its values that at least ``copied_owners`` owners or ``copied_repositories`` repositories hold or that name themselves an example, ``n_live``
+    the others that look random. A null text is empty; a missing owner or repository is not counted as one, so values without an owner
+    are judged by their repositories alone. Repeated rows come back as often as they came; an empty table gives no rows.
     """
     names = [F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository")]
     rows = cut(candidates(docs, names).withColumn("row", F.monotonically_increasing_id()))
-    single = rows.select("row", "owner", "repository", F.explode("found").alias("x")).select(
-        "row", "owner", "repository", F.col("x.value").alias("value"), F.sha2(F.col("x.value"), 256).alias("hash"))
+    single = rows.select("row", "owner", "repository", F.posexplode("found").alias("place", "x")).select(
+        "row", "owner", "repository", "place", F.col("x.value").alias("value"), F.sha2(F.col("x.value"), 256).alias("hash"))
     owned = ownership(single)
-    copied = (F.col("owners") >= copied_owners) | F.col("value").rlike(PLACEHOLDER)
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories) | F.col("value").rlike(PLACEHOLDER)
     random = F.size(F.array_distinct(F.split("value", ""))) >= RANDOM_CHARS
     judged = single.join(owned, "hash").groupBy("row").agg(
-        F.sum((~copied & random).cast("long")).alias("n_live"), F.sum(copied.cast("long")).alias("n_copied"))
+        F.sum((~copied & random).cast("long")).alias("n_live"), F.sum(copied.cast("long")).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct("place", "owners", "repositories"))).alias("held"))
+    # Every match has its counts, in the order of the matches.
+    found = F.transform(F.arrays_zip("found", "held"), lambda x: F.struct(*[x["found"][n].alias(n) for n in ("start", "kind", "end", "value")], *[x["held"][n].alias(n) for n in ("owners", "repositories")]))
     return rows.join(judged, "row", "left").select(
-        "doc_id", "found", F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
+        "doc_id", F.when(F.col("held").isNotNull(), found).otherwise(F.array().cast(HELD)).alias("found"),
+        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
 
 
 def counted(found: DataFrame) -> DataFrame:
