@@ -22,13 +22,15 @@ UNKNOWN = "und"
 #: no language's model can exceed 2**24 entries, however large the corpus.
 SYMBOLS = 256
 DISCOUNT = 0.75
-#: Labelled rows, at most, that the score and the rejection are calibrated on. The counts cover all labelled rows.
-CALIBRATION_ROWS = 4000
+#: Symbols of a text, at most, that its weight in the calibration grows with.
+WEIGHT = 200
+#: Rows of the mean noise of all languages that join each language's own, so a language of few rows keeps its slack.
+PRIOR_ROWS = 10
 #: A text is rejected if its cross-entropy in its best language lies beyond this share of the way from that language's own texts to
 #: texts of other languages. A text half in another language lies at 0.5 at most, and stays.
 REACH = 0.65
-#: Steepest slope of the score.
-STEEPEST = 50.0
+#: Slopes of the score that are tried.
+SLOPES = np.geomspace(0.1, 50.0, 60)
 
 def symbol_table() -> np.ndarray:
     """Symbol of every code point: that of its lower case if it is a letter, else 0."""
@@ -231,9 +233,9 @@ def held_out(doc_id: Column) -> Column:
     return _remainder(doc_id, 3) == 1
 
 
-def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS, discount: float = DISCOUNT) -> Model:
-    """Models from all rows of ``docs`` (doc_id, text, lang) with a lang that are not held out. Counts cover every text; the
-    calibration uses at most ``calibration_rows`` of these rows, those with the smallest hash of their id."""
+def train(docs: DataFrame, discount: float = DISCOUNT) -> Model:
+    """Models from all rows of ``docs`` (doc_id, text, lang) with a lang that are not held out. Counts and
+    calibration cover every one of these texts."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
@@ -251,38 +253,50 @@ def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS, discount: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.unpack(shared.value)
+        place = {name: i for i, name in enumerate(model.names)}
+        sums = np.zeros((k, 3 + k + len(SLOPES)))
         for batch in slices(batches):
             entropy, size = model.entropies(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(size), pa.array(entropy.tolist(), pa.list_(pa.float64()))], ["lang", "size", "entropy"])
-
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).distinct()
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # at most calibration_rows ids
-    seen = sample.select("text", "lang").mapInArrow(run, "lang string, size long, entropy array<double>").filter("size > 0").toPandas()
-    return calibrate(model, seen["lang"].tolist(), seen["size"].to_numpy(np.float64), np.array(seen["entropy"].tolist(), np.float64).reshape(-1, k))
+            some = size > 0  # a text with a symbol has a model of its language
+            true = np.array([place.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)
+            sums += calibration_sums(true[some], size[some].astype(np.float64), entropy[some])
+        lang, part = np.divmod(np.arange(sums.size), sums.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(part), pa.array(sums.ravel())], ["lang", "part", "value"])
+
+    parts = small_batches(rows).select("text", "lang").mapInArrow(run, "lang long, part long, value double").groupBy("lang", "part").agg(F.sum("value").alias("value")).toPandas()
+    sums = np.zeros((k, 3 + k + len(SLOPES)))
+    sums[parts["lang"], parts["part"]] = parts["value"]
+    return calibrate(model, sums)
+
+
+def calibration_sums(true: np.ndarray, size: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+    """What the calibration needs of some texts, summed for each true language (rows): the texts, their weights, the weighted squares of their
+    cross-entropy in their own language, the weighted cross-entropies in every language, and the loss of each slope."""
+    rows, k = np.arange(len(true)), entropy.shape[1]
+    own, weight = entropy[rows, true], np.minimum(size, WEIGHT)
+    loss = np.zeros((len(true), len(SLOPES)))
+    if k > 1:
+        others = np.where(np.arange(k) == true[:, None], np.inf, entropy).min(axis=1)
+        loss = np.logaddexp(0, -np.outer((others - own) * np.sqrt(size), SLOPES))
+    out = np.zeros((k, 3 + k + len(SLOPES)))
+    np.add.at(out, true, np.column_stack([np.ones(len(true)), weight, weight * own**2, entropy * weight[:, None], loss]))
+    return out
 
 
-def calibrate(model: Model, lang: list[str], size: np.ndarray, entropy: np.ndarray) -> Model:
-    """Sets the slope of the score, by maximum likelihood of the true languages, and the limits of the rejection."""
-    if not len(size):
-        return model
-    true = np.array([model.names.index(x) for x in lang])
-    rows = np.arange(len(true))
-    own = entropy[rows, true]
-    if len(model.names) > 1:
-        others = np.where(np.arange(len(model.names)) == true[:, None], np.inf, entropy).min(axis=1)
-        gap = (others - own) * np.sqrt(size)
-        slopes = np.geomspace(0.1, STEEPEST, 60)
-        model.slope = float(slopes[np.argmin([np.logaddexp(0, -b * gap).mean() for b in slopes])])
-    uniform = np.log(SYMBOLS)
-    for i in range(len(model.names)):
-        mine = true == i
-        if not mine.any():
-            mine = np.ones(len(true), bool)
-        e, n = entropy[mine, i], size[mine]
-        model.own[i] = np.average(e, weights=np.minimum(n, 200))
-        model.noise[i] = (np.minimum(n, 200) * (e - model.own[i]) ** 2).mean()
-        model.foreign[i] = np.average(entropy[~mine, i], weights=np.minimum(size[~mine], 200)) if (~mine).any() else uniform
-        model.foreign[i] = max(model.foreign[i], model.own[i] + 0.1)
+def calibrate(model: Model, sums: np.ndarray) -> Model:
+    """Sets the slope of the score, by maximum likelihood of the true languages, and the limits of the rejection, from the sums of
+    :func:`calibration_sums` over all texts. They are rounded, as the order of the sums is not fixed."""
+    k = len(model.names)
+    count, weight, squares, first = sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3:3 + k]
+    if k > 1:
+        model.slope = float(SLOPES[np.argmin(sums[:, 3 + k:].sum(axis=0))])
+    own = np.diag(first) / weight
+    spread = np.maximum(squares - weight * own**2, 0)
+    model.own = own.round(9)
+    model.noise = ((spread + PRIOR_ROWS * spread.sum() / count.sum()) / (count + PRIOR_ROWS)).round(9)
+    others = ~np.eye(k, dtype=bool)
+    foreign = (first * others).sum(axis=0) / (others @ weight) if k > 1 else np.full(k, np.log(SYMBOLS))
+    model.foreign = np.maximum(foreign, own + 0.1).round(9)
     return model
 
 

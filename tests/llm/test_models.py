@@ -101,6 +101,26 @@ def test_odd_texts_and_rejection(spark, trained, documents, mixed_rows):
     assert langid.accepted(documents([]), trained).columns == docs.columns
 
 
+def test_calibration_covers_all_rows_of_all_languages(spark, documents):
+    rng = np.random.default_rng(5)
+    words = {"aa": "alpha beta gamma delta omega".split(), "bb": "uno dos tres cuatro cinco".split(), "rare": "kwik kwak zworg plix".split(), "one": "yttrium ypsilon mylonyx".split()}
+    langs = ["rare"] * 4 + ["one"] + ["aa", "bb"] * 3500
+    rows = [(i, " ".join(rng.choice(words[x], int(rng.integers(2, 12)))), x) for i, x in zip((i for i in range(20_000) if crc(i) % 3 != 1), langs)]
+    model = langid.train(documents(rows))
+    entropy, size = langid.Model.unpack(model.pack()).entropies(pa.array([t for _, t, _ in rows]))
+    true, weight = np.array([model.names.index(x) for *_, x in rows]), np.minimum(size, 200)
+    noise = []
+    for i in range(4):
+        mine = true == i
+        assert model.own[i] == pytest.approx(np.average(entropy[mine, i], weights=weight[mine]))
+        assert model.foreign[i] == pytest.approx(np.average(entropy[~mine, i], weights=weight[~mine]))
+        noise.append((weight[mine] * (entropy[mine, i] - model.own[i]) ** 2).sum())
+    assert model.noise == pytest.approx([(x + langid.PRIOR_ROWS * sum(noise) / len(rows)) / (sum(true == i) + langid.PRIOR_ROWS) for i, x in enumerate(noise)])
+    assert model.noise.min() > 0
+    kept = langid.accepted(documents([(1, "kwik plix"), (2, "ypsilon mylonyx"), (3, "uno"), (4, "qqq hhh jjj vvv " * 4)]), model)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+
+
 def test_no_labels(spark, documents):
     empty = langid.train(documents([(1, "some text"), (2, None)]))
     assert {r.lang_pred for r in langid.identify(documents([(1, "some text")]), empty).collect()} == {"und"}
