@@ -53,35 +53,39 @@ _LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
+def _lower(text: bytes) -> bytes:
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
 def split_words(text: bytes) -> list[bytes]:
-    return text.translate(_WORDS).split()
+    """The words of a text in lower case, of any script."""
+    return _lower(text).translate(_WORDS).split()
 
 
-def _around(text: bytes, start: int, end: int) -> bytes:
-    """The run without white space that holds [start, end), 40 bytes to each side at most."""
+def _around(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """Bounds of the run without white space that holds [start, end), 40 bytes to each side at most."""
     low, high = start, end
     while low > 0 and start - low < 40 and text[low - 1] not in _BLANK:
         low -= 1
     while high < len(text) and high - end < 40 and text[high] not in _BLANK:
         high += 1
-    return text[low:high]
+    return low, high
 
 
 def _plain(piece: bytes) -> bytes:
     """A disguised word as letters only."""
-    return _LETTERS.sub(b"", piece.lower().translate(_LEET))
+    return _LETTERS.sub(b"", _lower(piece).translate(_LEET))
 
 
 def _disguised(text: bytes, lexicon: frozenset[bytes]) -> tuple[int, int]:
     """Disguised spellings in a text, and how many of them are words of the lexicon."""
-    pieces, last = [], -1
+    pieces, last = [], 0
     for m in _MIXED.finditer(text):
-        if m.start() > last:
-            piece = _around(text, m.start(), m.end())
-            last = m.end() + len(piece)
-            pieces.append(piece)
+        if m.start() >= last:
+            low, last = _around(text, m.start(), m.end())
+            pieces.append(text[low:last])
     pieces += [m[0] for m in _SPACED.finditer(text)]
-    return len(pieces), sum(_plain(p) in lexicon or _LETTERS.sub(b"", p.lower()) in lexicon for p in pieces)
+    return len(pieces), sum(_plain(p) in lexicon or _LETTERS.sub(b"", _lower(p)) in lexicon for p in pieces)
 
 
 def feature_rows(column: pa.Array, learned: frozenset[bytes]) -> np.ndarray:

@@ -151,6 +151,16 @@ def test_features():
     assert rows[4, at("learned_count")] == math.log1p(1) and rows[4, at("lexicon")] == 0
 
 
+def test_disguised_words_side_by_side_and_accented_capitals():
+    lexicon = frozenset(w.encode() for w in toxicity.INSULTS)
+    for text, pieces, hidden in [("well-known id1ot", 2, 1), ("you id1ot m0ron", 2, 2), ("id1ot, m0ron l0ser cl0wn.", 4, 4), ("IMB\u00c9C1LE", 1, 1), ("a1b2c3d4", 1, 0)]:
+        assert toxicity._disguised(text.encode(), lexicon) == (pieces, hidden), text
+    at = toxicity.NAMES.index
+    rows = toxicity.feature_rows(pa.array(["BL\u00d6DMANN", "IMB\u00c9CILE", "ESTÚPIDO \u00c9l", "TÚ idiota", "I\u0130 idiot"]), frozenset())
+    assert rows[:, at("lexicon_count")].tolist() == [math.log1p(1)] * 5 and rows[3, at("near_second_person")] == 0.5
+    assert toxicity.split_words(b"\xff ID\xc3\x89") and toxicity.split_words("ÉA b".encode()) == ["éa".encode(), b"b"]
+
+
 def test_toxicity_of_odd_tables(spark, documents, mixed_rows):
     docs = documents(mixed_rows)
     labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
