@@ -36,6 +36,9 @@ head header hgroup hr html legend li main menu nav ol p pre section summary tabl
 """.split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title"
+#: Of these, elements that hold nothing but text up to their end tag or the end of the page, and those that a slash closes.
+RAW_TAGS = frozenset("script style textarea title".split())
+SLASHED_TAGS = frozenset("svg math".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset("""
@@ -50,7 +53,7 @@ AMBIGUOUS_WORDS = frozenset("header masthead side sidebar skip search tags share
 CONTENT_WORDS = frozenset("content article story entry post main body text page wrapper container layout".split())
 
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT_TAGS})\b(?:"[^"]*"|'[^']*'|[^"'>])*>.*?(?:</(?P=silent)\s*>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT_TAGS})(?=[\s/>])(?P<silent_attrs>(?:"[^"]*"|'[^']*'|[^"'>])*)>"""
     r"""|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)""",
     re.S | re.I)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -58,6 +61,32 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = re.compile(r"[.!?…。:;,\"'”»)]\W*$")
 
 
+def _ends(html: str, name: str) -> dict[int, int]:
+    """Where each element of a name that has an end tag starts, and where that tag ends. An end tag belongs to the last open one."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"""<(/?){name}(?=[\s/>])((?:"[^"]*"|'[^']*'|[^"'>])*)>""", html, re.I):
+        if not m[1]:
+            if name not in SLASHED_TAGS or not m[2].endswith("/"):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
+def _silent_end(html: str, m: re.Match, ends: dict[str, dict[int, int]]) -> int:
+    """Where an element without text ends. One that is not closed is its tag only, unless nothing but its end tag could end it."""
+    name = m["silent"].lower()
+    if name in SLASHED_TAGS and m["silent_attrs"].endswith("/"):
+        return m.end()
+    if name in RAW_TAGS:
+        end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, m.end())
+        return end.end() if end else len(html)
+    if name not in ends:
+        ends[name] = _ends(html, name)
+    return ends[name].get(m.start(), m.end())
+
+
 class Block:
     """One run of text between block tags, with what the classifier looks at."""
 
@@ -121,9 +150,10 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(text)
 
-    for m in _TOKEN.finditer(html):
+    ends: dict[str, dict[int, int]] = {}
+    while m := _TOKEN.search(html, at):
         add(html[at:m.start()])
-        at = m.end()
+        at = _silent_end(html, m, ends) if m["silent"] else m.end()
         name = m["name"]
         if name is None:
             continue

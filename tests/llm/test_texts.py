@@ -80,6 +80,20 @@ def test_unclosed_and_wrapping_elements():
     assert text("a <b x='>'>c</b> < d") == ["a c < d"]
 
 
+def test_elements_without_text_end_where_they_should():
+    def text(html):
+        return [b.text for b in htmltext.blocks(html)]
+
+    assert text("<p>a</p><video-player x=1></video-player><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert text("<title-block>t</title-block><button-group><p>b</p></button-group>") == ["t", "b"]
+    assert text('<p>a <svg class="i"/> b</p><math/><p>c</p><svg><text>no</text></svg>d') == ["a b", "c", "d"]
+    for name in ("button", "select", "object", "iframe", "video"):
+        assert text(f"<p>a</p><{name} x=1><p>b</p><{name}>no</{name}><p>c</p>") == ["a", "b", "c"], name
+        assert text(f"<p>a</p><{name}>no<{name}>no</{name.upper()} ></{name}>c") == ["a", "c"], name
+    assert text("<p>a</p><script>'<p>no'</script ><style>no<p>no") == ["a"]
+    assert text("<p>a</p><textarea><svg></textarea>b<title>no") == ["a", "b"]
+
+
 def test_cut_is_minimal():
     rng = np.random.default_rng(1)
     for _ in range(60):
