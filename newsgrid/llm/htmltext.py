@@ -40,6 +40,8 @@ SILENT_TAGS = "script|style|noscript|template|svg|math|iframe|object|canvas|audi
 RAW_TAGS = frozenset("script style textarea title".split())
 SLASHED_TAGS = frozenset("svg math".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
+#: Boilerplate elements that end, if they are not closed, where an article opens.
+REPAIRED_TAGS = frozenset("nav aside header footer form".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset("""
 nav navbar navigation menu submenu header masthead footer sidebar side aside ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored
@@ -125,9 +127,18 @@ def _role(name: str, attrs: str, within: str) -> str | None:
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Scripts, styles, comments and form fields have no text. An element that is not closed ends
-    with its parent, and a boilerplate element also where an article opens."""
+    with its parent, and a boilerplate element also where an article opens. An article inside a marked element is marked too if the page
+    has another article or main outside such elements; else it is the page's article."""
+    out, outside = _blocks(html, True)
+    return out if outside is not False else _blocks(html, False)[0]
+
+
+def _blocks(html: str, inherit: bool) -> tuple[list[Block], bool | None]:
+    """The blocks, and whether an article or main stands outside marked elements, None if there is none at all. With ``inherit``, articles inside
+    marked elements are marked, and only marked elements without an end tag end where an article opens."""
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = [("", 0, "plain")]  # name, number, state
+    outside: bool | None = None
+    stack: list[tuple[str, int, str, int]] = [("", 0, "plain", 0)]  # name, number, state, place in the page
     number, at, links, linked = 0, 0, 0, 0
     pieces: list[str] = []
     seen_body = False
@@ -151,6 +162,12 @@ def blocks(html: str) -> list[Block]:
                 linked += len(text)
 
     ends: dict[str, dict[int, int]] = {}
+
+    def closed(name: str, number: int, state: str, place: int) -> bool:
+        if name not in ends:
+            ends[name] = _ends(html, name)
+        return place in ends[name]
+
     while m := _TOKEN.search(html, at):
         add(html[at:m.start()])
         at = _silent_end(html, m, ends) if m["silent"] else m.end()
@@ -175,7 +192,7 @@ def blocks(html: str) -> list[Block]:
             flush()
             links = 0
             if name in CONTENT_TAGS:
-                open_at = next((i for i in range(1, len(stack)) if stack[i][2] == "marked" and stack[i][0] in ("nav", "aside", "header", "footer", "form")), None)
+                open_at = next((i for i in range(1, len(stack)) if stack[i][2] == "marked" and stack[i][0] in REPAIRED_TAGS and not (inherit and closed(*stack[i]))), None)
                 if open_at is not None:
                     del stack[open_at:]
             if stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
@@ -191,9 +208,11 @@ def blocks(html: str) -> list[Block]:
         role = _role(name, m["attrs"], within)
         state = role or within
         if role == "body" and within == "marked":
-            state = "body"
-        seen_body |= role == "body"
-        stack.append((name, number, state))
+            state = "marked" if inherit else "body"
+        if role == "body":
+            outside = outside or within != "marked"
+        seen_body |= state == "body"
+        stack.append((name, number, state, m.start()))
         if name == "a":
             links += 1
     add(html[at:])
@@ -202,7 +221,7 @@ def blocks(html: str) -> list[Block]:
         for b in out:
             if b.state == "plain":
                 b.state = "outside"
-    return out
+    return out, outside
 
 
 def weak_label(block: Block) -> int | None:

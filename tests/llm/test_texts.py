@@ -94,6 +94,19 @@ def test_elements_without_text_end_where_they_should():
     assert text("<p>a</p><textarea><svg></textarea>b<title>no") == ["a", "b"]
 
 
+def test_articles_inside_marked_elements():
+    def text(html):
+        page = htmltext.blocks(html)
+        return [b.text for b, keep in zip(page, htmltext.label_blocks(page, htmltext.PLAIN_WEIGHTS)) if keep]
+
+    main, card = "<article><p>The main text of the page.</p></article>", "<article><p>Another text that is a teaser or a comment.</p></article>"
+    for before, after in (("<aside class=related>", "</aside>"), ("<div id=comments>", "</div>"), ("<footer>", "</footer>"), ("<nav><div>", "</div></nav>")):
+        for page in (main + before + card + after, before + card + after + main, f"<main><p>The main text of the page.</p>{before}{card}{after}</main>"):
+            assert text(page) == ["The main text of the page."], page
+        assert text(before + card + after) == ["Another text that is a teaser or a comment."]
+    assert text("<aside><article><p>Card of a sidebar.</p></article></aside><nav><a>Menu</a>" + main) == ["The main text of the page."]
+
+
 def test_cut_is_minimal():
     rng = np.random.default_rng(1)
     for _ in range(60):
