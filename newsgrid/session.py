@@ -15,6 +15,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Folders of local sessions without a shared one, by application: the setting itself cannot be changed in a running session.
+_own_folders: dict[str, str] = {}
 
 
 def build_session(app_name: str = "newsgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,9 +37,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="spark-")
+    return _own_folders[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
