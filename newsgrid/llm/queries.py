@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming, htmltext, langid, linededup, mixing, secrets, simhash, tokencount, toxicity
+from . import decontaminate, hamming, htmltext, langid, linededup, mixing, packing, secrets, simhash, tokencount, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,8 @@ SELECT query_id, neighbour_id, distance, rank FROM ranked WHERE rank <= 10
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return hamming.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
