@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming, htmltext, langid, linededup, mixing, packing, secrets, simhash, tokencount, toxicity
+from . import decontaminate, hamming, htmltext, langid, linededup, mixing, packing, periodic, secrets, simhash, tokencount, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_best_fit_packing")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.with_repeats(table(spark, folder, "documents"))))

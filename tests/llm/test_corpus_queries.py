@@ -7,7 +7,7 @@ import __spark_entry__
 import corpus_pipeline
 from newsgrid.llm.queries import CHECKS, QUERIES
 
-NUMBERED = 11
+NUMBERED = 12
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
