@@ -149,6 +149,31 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-@query("op12_periodic_runs")
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 of a string of ASCII characters, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(length({digits})),
+  lambda k: [CAST(ascii({digits}[k + 1]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
+
+@query("op12_periodic_runs", rf"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS row_no, CAST(doc_id AS VARCHAR) AS d, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT doc_id, row_no, w, len(w) AS n, CAST({_crc32_sql('d')} AS BIGINT) AS h FROM words),
+planned AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM hashed),
+turned AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM planned),
+said AS (SELECT doc_id, row_no, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM turned),
+one AS (SELECT row_no, n, unnest(range(n)) AS i, unnest(w) AS word FROM said),
+met AS (SELECT x.row_no, y.i - x.i AS q, x.i FROM one x JOIN one y ON x.row_no = y.row_no AND x.word = y.word AND x.i < y.i AND 2 * (y.i - x.i) <= x.n),
+grouped AS (SELECT row_no, q, i, i - row_number() OVER (PARTITION BY row_no, q ORDER BY i) AS part FROM met),
+stretches AS (SELECT row_no, q, min(i) AS start, count(*) + q AS length FROM grouped GROUP BY row_no, q, part),
+runs AS (SELECT row_no, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY row_no, start, length),
+gone AS (SELECT DISTINCT row_no, unnest(range(start + period, start + length)) AS i FROM runs),
+rest AS (SELECT row_no, string_agg(word, ' ' ORDER BY i) AS kept FROM one ANTI JOIN gone USING (row_no, i) GROUP BY row_no),
+summed AS (SELECT row_no, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+  first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best FROM runs GROUP BY row_no)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM said LEFT JOIN summed USING (row_no) LEFT JOIN rest USING (row_no)
+""")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.with_repeats(table(spark, folder, "documents"))))
