@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming, htmltext, langid, linededup, mixing, packing, periodic, secrets, simhash, tokencount, toxicity
+from . import convtrie, decontaminate, hamming, htmltext, langid, linededup, mixing, packing, periodic, secrets, simhash, tokencount, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,30 @@ FROM said LEFT JOIN summed USING (row_no) LEFT JOIN rest USING (row_no)
 """)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.with_repeats(table(spark, folder, "documents"))))
+
+
+@query("op13_conversation_trie", rf"""
+WITH ordered AS (SELECT CAST(conv_id AS BIGINT) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, CAST(c AS VARCHAR) AS d FROM (SELECT DISTINCT c FROM ordered)),
+lent AS (SELECT c, CAST({_crc32_sql('d')} AS BIGINT) % 4 AS h FROM convs),
+rebuilt AS (SELECT lent.c, no, role, text FROM lent JOIN ordered o ON o.c = lent.c - lent.c % 20 AND no <= h
+  UNION ALL SELECT lent.c, no, role, text FROM lent JOIN ordered o ON o.c = lent.c AND no > h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY no) AS depth, sha256(length(role) || ':' || role || text) AS turn,
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt),
+paths AS (SELECT c, 0 AS depth, '' AS node, 0 AS words FROM lent
+  UNION ALL SELECT c, depth, sha256(string_agg(turn, '') OVER (PARTITION BY c ORDER BY depth)) AS node, words FROM turns),
+sizes AS (SELECT c, max(depth) AS d FROM paths GROUP BY c),
+nodes AS (SELECT depth, node, min(c) AS conv_id, count(*) AS n_convs, min(words) AS words FROM paths GROUP BY depth, node),
+linked AS (SELECT n.*, up.depth AS up_depth, up.node AS up_node FROM nodes n LEFT JOIN paths up ON up.c = n.conv_id AND up.depth = n.depth - 1),
+kids AS (SELECT up_depth AS depth, up_node AS node, count(*) AS n_children FROM linked WHERE up_depth IS NOT NULL GROUP BY up_depth, up_node),
+below AS (SELECT a.depth, a.node, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (k.node IS NULL) AS leaves
+  FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.node = n.node JOIN paths a ON a.c = n.conv_id AND a.depth <= n.depth GROUP BY a.depth, a.node),
+ends AS (SELECT p.depth, p.node, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) AS ids FROM paths p JOIN sizes s ON s.c = p.c AND s.d = p.depth GROUP BY p.depth, p.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM linked n LEFT JOIN nodes up ON up.depth = n.up_depth AND up.node = n.up_node LEFT JOIN kids k ON k.depth = n.depth AND k.node = n.node
+JOIN below b ON b.depth = n.depth AND b.node = n.node LEFT JOIN ends e ON e.depth = n.depth AND e.node = n.node
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return convtrie.prefix_trie(convtrie.rebuilt_paths(table(spark, folder, "conversations")))

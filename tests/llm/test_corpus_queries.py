@@ -7,14 +7,14 @@ import __spark_entry__
 import corpus_pipeline
 from newsgrid.llm.queries import CHECKS, QUERIES
 
-NUMBERED = 12
+NUMBERED = 13
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query(spark, small, name):
     engine = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "embeddings"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         engine.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     result = engine.execute(CHECKS[name])
     names = [d[0] for d in result.description]
