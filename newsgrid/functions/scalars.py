@@ -95,7 +95,7 @@ def packed_trigrams(title: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(1), n - 2), lambda i: pack(points, i))
         return F.when(n >= 3, F.array_distinct(parts)).otherwise(F.array().cast("array<bigint>"))
 
-    letters = F.filter(F.split(F.lower(title), ""), lambda ch: ch != "")
+    letters = F.regexp_extract_all(F.lower(title), F.lit("(?s)."), 0)  # by code point: pairs of code units stay together
     return let(F.transform(letters, lambda ch: F.ascii(ch).cast("long")), grams)
 
 
@@ -108,7 +108,7 @@ def set_similarity(a: Column, b: Column) -> Column:
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    return set_similarity(trigrams(a), trigrams(b))
+    return set_similarity(packed_trigrams(a), packed_trigrams(b))
 
 
 # ---- text -------------------------------------------------------------------------------

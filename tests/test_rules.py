@@ -84,3 +84,13 @@ def test_text_functions(spark):
     assert one(spark, modelio.clean_title(F.lit(' "A title" '))) == "A title"
     assert one(spark, modelio.unfence(F.lit("```json\n[1]\n```"))) == "[1]"
     assert one(spark, S.strip_null_chars(F.lit("a\u0000b"))) == "ab"
+
+
+def test_trigrams_of_wide_characters_and_long_titles(spark):
+    """Packed and plain trigrams tell the same texts apart, and long titles take time that is linear in their length."""
+    texts = ["a\U0001f600b\U0001f601", "a\U0001f600b\U0001f602", "\U0001f600\U0001f600\U0001f600\U0001f600", "x\ny\nz\n", "ÄÖÜß", "ab", "", None, "word " * 20_000]
+    df = spark.createDataFrame([(t, u) for t in texts for u in texts[:5]], "t string, u string")
+    got = df.select(S.trigram_similarity(F.col("t"), F.col("u")).alias("p"), S.set_similarity(S.trigrams(F.col("t")), S.trigrams(F.col("u"))).alias("q"), F.length("t").alias("n"))
+    short = got.filter("n IS NULL OR n < 1000").collect()
+    assert [r.p for r in short] == [r.q for r in short] and {1.0, 0.0} < {r.p for r in short}
+    assert len(got.select("p").collect()) == len(texts) * 5
