@@ -1,16 +1,17 @@
 """Vector similarity on Spark: blocked products, linked components, greedy story matching
 and clustering with the results of the article-by-article loop.
 
-Vectors have no useful join key at these thresholds, so both sides are cut into blocks of
-bounded size by a hash of the id (hot keys cannot exist) and every cell of the block grid is one
-small matrix product inside a task. Cells emit only best matches or spanning-forest edges,
-never all similar pairs.
+Article and story meet through their keywords where both have some: too few common ones cannot reach
+the score, so an equi join on keywords gives all candidates and no vectors are compared without need. Vectors alone decide where
+keywords are missing and in clustering; chunks of them meet only where the angles to their pivots allow a similar pair
+(:mod:`.vectorgrid`). Tasks emit only best matches or spanning-forest edges, never all similar pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,24 +22,20 @@ from pyspark.sql import functions as F
 from .. import config
 from ..session import cut, drop_cut
 from . import numbering
+from .vectorgrid import chunk_pairs
+from .vectorgrid import unit_rows as _unit
 
 col = F.col
 BLOCK_ROWS = 8000
 PRODUCT_ROWS = 1000
 CHUNK_ROWS = 2000
 STATE_PART = 500
+SPLIT_ROWS = 2000
+SALTS = 16
 
 
 # ---- numpy helpers used inside tasks ------------------------------------------------------
 
-def _unit(vectors) -> np.ndarray:
-    m = np.array([np.asarray(v, dtype=float) for v in vectors], dtype=float)
-    if m.size == 0:
-        return m.reshape(len(m), 0)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
 def _reaches(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs reach the threshold, computed in slices to keep the product small."""
     out = np.empty((len(a), len(b)), bool)
@@ -68,42 +65,42 @@ def _forest(adj: np.ndarray) -> Iterator[tuple[list[int], list[int]]]:
             yield rows, cols
 
 
-def _block_count(df: DataFrame, rows_per_block: int) -> int:
-    return max(1, math.ceil(df.count() / rows_per_block))
-
-
 # ---- components ---------------------------------------------------------------------------
 
-def linked_components(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS,
-                      skip_kind: str | None = None) -> DataFrame:
-    """(node, component): components of the graph that links nodes with a pair of vectors at
-    or above ``threshold``. ``rows`` is (node, kind, embedding), several vectors per node are
-    allowed; pairs inside ``skip_kind`` are not compared."""
-    rows = cut(rows.select(col("node").cast("string").alias("node"), "kind", "embedding"))
-    blocks = _block_count(rows, block_rows)
-    b = F.pmod(F.xxhash64("node", "embedding"), F.lit(blocks)).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
-        lambda o: F.struct(F.least(o, col("b")).alias("p"), F.greatest(o, col("b")).alias("q")),
-    )
-    grid = rows.withColumn("b", b).withColumn("cell", F.explode(cells)).select("node", "kind", "embedding", "b", "cell.p", "cell.q")
+def linked_edges(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): edges whose components are those of the graph that links nodes with a pair of vectors at or above ``threshold``.
+
+    ``rows`` is (node, story, free, embedding); several vectors for a node are allowed. Two stories are not compared, nor two nodes of which
+    none is free. Equal vectors of articles are one point, the others hang on it."""
+    rows = rows.select(col("node").cast("string").alias("node"), "story", "free", "embedding")
+    articles = rows.filter("NOT story AND free")
+    firsts = articles.groupBy("embedding").agg(F.min("node").alias("node"))
+    points = cut(firsts.select("node", F.lit(False).alias("story"), F.lit(True).alias("free"), "embedding").unionByName(rows.filter("story OR NOT free")))
+    # A zero vector is similar to nothing, not even to its copies.
+    copies = articles.filter(F.exists("embedding", lambda x: x != 0)).join(firsts.withColumnRenamed("node", "first"), "embedding").filter("node <> first").select(
+        col("first").alias("a"), col("node").alias("b"))
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        left, right = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
+        left, right = pdf[pdf["chunk"] == p], pdf[pdf["chunk"] == q]
         out: list[tuple[str, str]] = []
         if len(left) and len(right):
             adj = _reaches(_unit(left["embedding"]), _unit(right["embedding"]), threshold)
-            if skip_kind is not None:
-                adj &= ~np.outer((left["kind"] == skip_kind).to_numpy(), (right["kind"] == skip_kind).to_numpy())
+            adj &= ~np.logical_and.outer(left["story"].to_numpy(), right["story"].to_numpy())
+            adj &= np.logical_or.outer(left["free"].to_numpy(), right["free"].to_numpy())
             ln, rn = left["node"].to_numpy(), right["node"].to_numpy()
             for i, j in _forest(adj):
                 names = sorted({*ln[i], *rn[j]})
                 out.extend((names[0], other) for other in names[1:])
         return pd.DataFrame(out, columns=["a", "b"])
 
-    edges = grid.groupBy("p", "q").applyInPandas(links, "a string, b string").distinct()
-    return connected_components(rows.select("node").distinct(), edges)
+    return chunk_pairs(points, threshold, block_rows).groupBy("p", "q").applyInPandas(links, "a string, b string").unionByName(copies).distinct()
+
+
+def linked_components(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(node, component) of the graph of :func:`linked_edges`, for rows (node, embedding) that are all compared."""
+    nodes = rows.select(col("node").cast("string").alias("node"), F.lit(False).alias("story"), F.lit(True).alias("free"), "embedding")
+    return connected_components(nodes.select("node").distinct(), linked_edges(nodes, threshold, block_rows))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -190,36 +187,141 @@ def _window_scores(articles: pd.DataFrame, stories: pd.DataFrame) -> np.ndarray:
     return _combine(sims, kw, none)
 
 
+def _has_words(keywords: str = "keywords") -> Column:
+    return F.coalesce(F.size(keywords) > 0, F.lit(False))
+
+
+def least_hits(threshold: float) -> int:
+    """So many common keywords at least has a pair that reaches the score, if both sides have keywords and their vectors agree fully."""
+    short = (threshold - config.MATCH_EMBEDDING_WEIGHT) / config.MATCH_KEYWORD_WEIGHT
+    return max(0, math.ceil(4 * short - 1e-9))
+
+
+def keyword_candidates(articles: DataFrame, windows: DataFrame, threshold: float = config.STORY_MATCH_SCORE, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(id, story_id, hits): all pairs with keywords on both sides that share enough of them for the score, with the number of the
+    article's keywords that are the story's.
+
+    ``articles`` is (id, keywords), ``windows`` (story_id, keywords). An article's keywords are ordered by the number of stories they stand for, and the
+    most frequent ones, of which a pair could share all and still fail, are not joined on. A keyword of many articles is split over salts."""
+    least = max(1, least_hits(threshold))
+    said = articles.select("id", F.posexplode(F.slice("keywords", 1, config.MATCH_KEYWORDS)).alias("pos", "word")).filter(col("word").isNotNull())
+    meant = windows.select("story_id", F.explode(F.array_distinct("keywords")).alias("word")).filter(col("word").isNotNull())
+    stories = meant.groupBy("word").agg(F.count(F.lit(1)).alias("stories"))
+    readers = said.groupBy("word").agg(F.count(F.lit(1)).alias("readers"))
+    # The table of words is copied to a fixed number of salts, so that a frequent word's rows do not meet to learn its counts.
+    sizes = cut(stories.join(readers, "word").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    known = said.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")).join(sizes, ["word", "salt"]).drop("salt")
+    order = W.partitionBy("id").orderBy("stories", "word", "pos")
+    rare = known.withColumn("place", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(W.partitionBy("id"))).filter(col("place") <= col("of") - (least - 1))
+    parts = F.ceil(col("readers") / split_rows)
+    left = rare.withColumn("part", F.pmod(F.xxhash64("id"), parts)).select("id", "word", "part")
+    right = meant.join(sizes.filter("salt = 0").select("word", "readers"), "word").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("story_id", "word", "part")
+    pairs = left.join(right, ["word", "part"]).select("id", "story_id").distinct()
+    both = pairs.join(articles.select("id", F.slice("keywords", 1, config.MATCH_KEYWORDS).alias("said")), "id").join(windows.select("story_id", col("keywords").alias("meant")), "story_id")
+    return both.select("id", "story_id", F.size(F.filter("said", lambda k: F.array_contains("meant", k))).alias("hits")).filter(col("hits") >= least)
+
+
+def _needed(hits: Column, threshold: float) -> Column:
+    """The cosine that a pair with so many common keywords needs."""
+    return (threshold - config.MATCH_KEYWORD_WEIGHT * F.least(hits / 4.0, F.lit(1.0))) / config.MATCH_EMBEDDING_WEIGHT
+
+
 def match_snapshot(articles: DataFrame, windows: DataFrame, threshold: float = config.STORY_MATCH_SCORE,
                    block_rows: int = CHUNK_ROWS) -> DataFrame:
     """(id, story_id, score): best story of every article against the story windows as they
     stand, at or above the threshold; ties go to the lower story id.
 
-    ``articles`` is (id, embedding, keywords). Cells of the grid emit one row per article."""
+    ``articles`` is (id, embedding, keywords). Pairs with keywords on both sides come from the keyword join, the others from the
+    vector grid. Tasks emit one row for each article and story or chunk at most."""
     embedded = cut(articles.filter(col("embedding").isNotNull()).select("id", "embedding", "keywords"))
     windows = cut(windows)
-    na, ns = _block_count(embedded, block_rows), _block_count(windows, max(1, block_rows // config.RECENT_VECTORS))
+    pairs = keyword_candidates(embedded, windows, threshold, block_rows)
+    placed = pairs.join(embedded.select("id", "embedding"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    seen = windows.filter(_has_words()).select(col("story_id").alias("of"), "vectors", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("to_part"))
 
-    left = embedded.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(na))).withColumn(
-        "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ns - 1).cast("long"))))
-    right = windows.withColumn("q", F.pmod(F.xxhash64("story_id"), F.lit(ns))).withColumn(
-        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(na - 1).cast("long"))))
+    def by_words(a: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or s.empty or len(s["vectors"].iloc[0]) == 0:
+            return pd.DataFrame({"id": [], "story_id": [], "score": []})
+        sim = (_unit(a["embedding"]) @ _unit(s["vectors"].iloc[0]).T).max(axis=1)
+        score = sim * config.MATCH_EMBEDDING_WEIGHT + np.minimum(a["hits"].to_numpy() / 4.0, 1.0) * config.MATCH_KEYWORD_WEIGHT
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "story_id": a["story_id"].to_numpy(), "score": score})
+        return out[out["score"] >= threshold]
 
-    def best(a: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+    matched = placed.groupBy("story_id", "part").cogroup(seen.groupBy("of", "to_part")).applyInPandas(by_words, "id long, story_id long, score double")
+
+    points = embedded.select("id", F.lit(False).alias("story"), (~_has_words()).alias("free"), "embedding").unionByName(
+        windows.select(col("story_id").alias("id"), F.lit(True).alias("story"), (~_has_words()).alias("free"), F.explode("vectors").alias("embedding")))
+    free_articles, free_stories = (not embedded.filter(~_has_words()).isEmpty()), (not windows.filter(~_has_words()).isEmpty())
+
+    def by_vectors(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        a, s = pdf[~pdf["story"]], pdf[pdf["story"]].sort_values("id", ignore_index=True)
         if a.empty or s.empty:
             return pd.DataFrame({"id": [], "story_id": [], "score": []})
-        s = s.sort_values("story_id", ignore_index=True)
-        score = _window_scores(a, s)
+        score = _unit(a["embedding"]) @ _unit(s["embedding"]).T
+        score[~np.logical_or.outer(a["free"].to_numpy(), s["free"].to_numpy())] = -2.0
+        if p != q:  # rows of one chunk meet in its own pair
+            score[np.equal.outer(a["chunk"].to_numpy(), s["chunk"].to_numpy())] = -2.0
         j = score.argmax(axis=1)
-        out = pd.DataFrame({"id": a["id"].to_numpy(), "story_id": s["story_id"].to_numpy()[j], "score": score[np.arange(len(a)), j]})
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "story_id": s["id"].to_numpy()[j], "score": score[np.arange(len(a)), j]})
         return out[out["score"] >= threshold]
 
-    cells = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, "id long, story_id long, score double")
-    return cells.groupBy("id").agg(F.max(F.struct("score", (-col("story_id")).alias("neg"))).alias("m")).select(
+    if free_articles or free_stories:
+        if not free_stories:
+            points = points.filter("story OR free")
+        elif not free_articles:
+            points = points.filter("NOT story OR free")
+        cells = chunk_pairs(points, threshold, block_rows).groupBy("p", "q").applyInPandas(by_vectors, "id long, story_id long, score double")
+        matched = matched.unionByName(cells)
+    return matched.groupBy("id").agg(F.max(F.struct("score", (-col("story_id")).alias("neg"))).alias("m")).select(
         "id", (-col("m.neg")).alias("story_id"), col("m.score").alias("score")
     )
 
 
+def reachable_pairs(articles: DataFrame, windows: DataFrame, loose: DataFrame, threshold: float = config.STORY_MATCH_SCORE, split_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(id, story_id): the keyword candidates that the article-by-article loop could accept: the article is near enough to a vector of the story's window,
+    or to an earlier article that is reachable in it. ``loose`` are ids of articles that count as reachable in all of their candidates.
+
+    Each round compares what was reached last with the candidates of the same stories that are still open; a pair of articles is compared once for a story
+    at most, and there are as many rounds as the longest chain."""
+    pairs = keyword_candidates(articles, windows, threshold)
+    waiting = cut(pairs.withColumn("need", _needed(col("hits"), threshold) - 1e-9).join(articles.select("id", "embedding"), "id").select("id", "story_id", "need", "embedding"))
+    start = windows.filter(_has_words()).select("story_id", F.lit(None).cast("long").alias("by"), F.explode("vectors").alias("embedding"))
+    free = waiting.join(loose.select("id").distinct(), "id", "left_semi")
+    reached = [free.select("id", "story_id")]
+    front = start.unionByName(free.select("story_id", col("id").alias("by"), "embedding"))
+    waiting = waiting.join(reached[0], ["id", "story_id"], "left_anti")
+
+    def near(w: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if w.empty or f.empty:
+            return w[["id", "story_id"]].iloc[:0]
+        sim = _unit(w["embedding"]) @ _unit(f["embedding"]).T
+        earlier = f["by"].isna().to_numpy()[None, :] | (f["by"].fillna(0).to_numpy()[None, :] < w["id"].to_numpy()[:, None])
+        return w.loc[((sim >= w["need"].to_numpy()[:, None]) & earlier).any(axis=1), ["id", "story_id"]]
+
+    while True:
+        # Both sides of a story are cut into parts of bounded size; every two parts meet.
+        open_parts = waiting.groupBy("story_id").agg(F.ceil(F.count(F.lit(1)) / split_rows).alias("w_parts"))
+        front_parts = front.groupBy("story_id").agg(F.ceil(F.count(F.lit(1)) / split_rows).alias("f_parts"))
+        sizes = open_parts.join(front_parts, "story_id")
+
+        def parted(df: DataFrame, own: str, other: str, key: Column) -> DataFrame:
+            mine = F.pmod(key, col(own))
+            copies = df.join(sizes, "story_id").withColumn(own[0], mine).withColumn(other[0], F.explode(F.sequence(F.lit(0).cast("long"), col(other) - 1)))
+            return copies.drop("w_parts", "f_parts")
+
+        w = parted(waiting, "w_parts", "f_parts", F.xxhash64("id"))
+        f = parted(front, "f_parts", "w_parts", F.xxhash64("by", "embedding")).select(col("story_id").alias("of"), col("w").alias("to_w"), col("f").alias("to_f"), "by", "embedding")
+        met = w.groupBy("story_id", "w", "f").cogroup(f.groupBy("of", "to_w", "to_f")).applyInPandas(near, "id long, story_id long")
+        fresh = cut(met.distinct())
+        if fresh.isEmpty():
+            drop_cut(fresh)
+            return reduce(DataFrame.unionByName, reached)
+        reached.append(fresh)
+        front = cut(waiting.join(fresh, ["id", "story_id"], "left_semi").select("story_id", col("id").alias("by"), "embedding"))
+        waiting = cut(waiting.join(fresh, ["id", "story_id"], "left_anti"))
+
+
 # ---- greedy loops, component by component ---------------------------------------------------
 
 def _steps(rows: DataFrame, chunk_rows: int) -> DataFrame:
@@ -286,15 +388,25 @@ def match_sequential(articles: DataFrame, windows: DataFrame, threshold: float =
     """(id, story_id, score) of the article-by-article loop: every accepted article enters the
     window of its story (the oldest entry leaves above ten), so later articles see it.
 
-    An article can only reach a story through a cosine of (threshold - keyword weight) /
-    embedding weight or more. Components of that graph are independent of each other."""
+    Pairs with keywords on both sides come from the keyword join, as far as a chain of near articles leads to the story. Where keywords are
+    missing, vectors link articles and stories. Components of that graph are independent of each other."""
     reach = (threshold - config.MATCH_KEYWORD_WEIGHT) / config.MATCH_EMBEDDING_WEIGHT
     embedded = cut(articles.filter(col("embedding").isNotNull()).select("id", "embedding", "keywords"))
     windows = cut(windows)
-    nodes = embedded.select(F.concat(F.lit("a"), col("id")).alias("node"), F.lit("a").alias("kind"), "embedding").unionByName(
-        windows.select(F.concat(F.lit("s"), col("story_id")).alias("node"), F.lit("s").alias("kind"), F.explode("vectors").alias("embedding"))
-    )
-    component = linked_components(nodes, reach - 1e-9, block_rows, skip_kind="s")
+    free_stories, free_articles = (not windows.filter(~_has_words()).isEmpty()), (not embedded.filter(~_has_words()).isEmpty())
+    spark = articles.sparkSession
+    edges = spark.createDataFrame([], "a string, b string")
+    if free_stories or free_articles:
+        # A story without keywords can take any article, so any two articles may meet in its window.
+        nodes = embedded.select(F.concat(F.lit("a"), col("id")).alias("node"), F.lit(False).alias("story"), (F.lit(free_stories) | ~_has_words()).alias("free"), "embedding").unionByName(
+            windows.select(F.concat(F.lit("s"), col("story_id")).alias("node"), F.lit(True).alias("story"), (~_has_words()).alias("free"), F.explode("vectors").alias("embedding")))
+        edges = cut(linked_edges(nodes, reach - 1e-9, block_rows))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).filter(F.col("node").startswith("a"))
+    loose = ends.select(F.substring("node", 2, 30).cast("long").alias("id")).distinct()
+    pairs = reachable_pairs(embedded, windows, loose, threshold, chunk_rows)
+    edges = edges.unionByName(pairs.select(F.concat(F.lit("a"), col("id")).alias("a"), F.concat(F.lit("s"), col("story_id")).alias("b")))
+    names = embedded.select(F.concat(F.lit("a"), col("id")).alias("node")).unionByName(windows.select(F.concat(F.lit("s"), col("story_id")).alias("node")))
+    component = connected_components(names.distinct(), edges)
     state = windows.withColumn("node", F.concat(F.lit("s"), col("story_id"))).join(component, "node").select(
         "component", col("story_id").alias("owner"), "keywords", "vectors"
     )
@@ -354,8 +466,7 @@ def cluster_articles(articles: DataFrame, link: float = config.STORY_LINK_SIMILA
 
     A join needs a link, so clusters never cross the components of the link graph."""
     embedded = cut(articles.filter(col("embedding").isNotNull()).select("id", "embedding"))
-    nodes = embedded.select(col("id").cast("string").alias("node"), F.lit("a").alias("kind"), "embedding")
-    component = linked_components(nodes, link - 1e-9, block_rows)
+    component = linked_components(embedded.select(col("id").cast("string").alias("node"), "embedding"), link - 1e-9, block_rows)
     rows = embedded.withColumn("node", col("id").cast("string")).join(component, "node").drop("node")
 
     def hit(c: pd.DataFrame, s: pd.DataFrame) -> np.ndarray:
