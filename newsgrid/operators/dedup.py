@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ col = F.col
 FRONT = 4
 SALTS = 32
 SPLIT_ROWS = 2000
-SHARED_TOKENS = 4
+#: Trigrams of a key at most, and rows that share a key before it gets another trigram.
+SIGNATURE_DEPTH = 3
+GROUP_LIMIT = 64
 
 
 # ---- exact layers -----------------------------------------------------------------------
@@ -43,21 +47,52 @@ def mark_batch_url(df: DataFrame, row_id: str = "batch_seq") -> DataFrame:
 
 # ---- fuzzy titles -----------------------------------------------------------------------
 
-def prefix_tokens(rows: DataFrame, threshold: float, shared: int = SHARED_TOKENS) -> DataFrame:
-    """Rare-first prefixes of trigram sets: (rid, token, n).
+def prefix_tokens(rows: DataFrame, threshold: float, shared: int = SIGNATURE_DEPTH) -> DataFrame:
+    """Rare-first prefixes of trigram sets: (rid, n, prefix).
 
     Two sets with Jaccard above ``threshold`` share at least ``shared`` tokens among the first
-    n - ceil(threshold * n) + shared tokens of each, in any one global order. Rare tokens first
+    n - ceil(threshold * n) + shared tokens of each, in any one global order, if that many must be common at all. Rare tokens first
     keeps the groups that share a token small."""
     tokens = rows.select("rid", F.explode("grams").alias("token"))
-    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    # Counts are copied to a fixed number of salts, so that the rows of a frequent trigram do not meet to learn its count.
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
+    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     ordered = (
-        tokens.join(freq, "token")
+        tokens.withColumn("salt", salt).join(freq, ["token", "salt"])
         .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
     )
     n = F.size("t")
     length = F.least(n, (n - _at_least(n, threshold) + shared).cast("int"))
-    return ordered.select("rid", n.alias("n"), F.explode(F.slice(col("t.token"), F.lit(1), length)).alias("token"))
+    return ordered.select("rid", n.alias("n"), F.slice(col("t.token"), F.lit(1), length).alias("prefix"))
+
+
+def signatures(rows: DataFrame, threshold: float, depth: int = SIGNATURE_DEPTH, limit: int = GROUP_LIMIT) -> DataFrame:
+    """(rid, n, token): keys of which any two sets with Jaccard above ``threshold`` share one.
+
+    A key is one rare trigram as long as few rows have it; the rows of a larger group are told apart by the next trigram of their
+    prefixes, down to ``depth`` trigrams. Two similar sets share their ``depth`` first common trigrams in that order, so they meet on the way
+    down, at the latest in the last group. So the rows a row meets do not grow with the number of unrelated rows. Sets so small that fewer
+    trigrams need be common have keys of one trigram of their own, which never meet the others."""
+    few = int(depth / threshold)  # with more trigrams than this, at least depth of them are common
+    pre = cut(prefix_tokens(rows, threshold, depth))
+    place = F.posexplode("prefix").alias("pos", "gram")
+    short = pre.filter(col("n") <= few).select("rid", "n", F.explode("prefix").alias("gram")).select("rid", "n", F.xxhash64(F.lit("short"), "gram").alias("token"))
+    keys = pre.filter(_at_least(col("n"), threshold) >= depth).select("rid", "n", "prefix", place).select("rid", "n", "prefix", "pos", F.xxhash64("gram").alias("token"))
+    out = [short]
+    for level in range(depth):
+        if level == depth - 1:
+            out.append(keys.select("rid", "n", "token"))
+            break
+        keys = cut(keys)
+        crowded = keys.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(col("size") > limit)
+        marks = cut(crowded.select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+        salted = keys.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+        out.append(salted.join(marks, ["token", "salt"], "left_anti").select("rid", "n", "token"))
+        deeper = salted.join(marks, ["token", "salt"], "left_semi")
+        rest = F.slice("prefix", col("pos") + 2, F.greatest(F.size("prefix") - col("pos") - 1, F.lit(0)))
+        keys = deeper.select("rid", "n", "prefix", "token", (col("pos") + 1).alias("from"), F.posexplode(rest).alias("k", "gram")).select(
+            "rid", "n", "prefix", (col("from") + col("k")).alias("pos"), F.xxhash64("token", "gram").alias("token"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _at_least(n: Column, threshold: float) -> Column:
@@ -65,11 +100,10 @@ def _at_least(n: Column, threshold: float) -> Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
 
 
-def _pairs(members: DataFrame, few: DataFrame, sizes: DataFrame, threshold: float, few_is_lower: bool,
-           shared: int = SHARED_TOKENS) -> DataFrame:
-    """Candidate pairs (lo, hi) of rows with enough common prefix tokens: ``members`` against
+def _pairs(members: DataFrame, few: DataFrame, sizes: DataFrame, threshold: float, few_is_lower: bool) -> DataFrame:
+    """Candidate pairs (lo, hi) of rows with a common key: ``members`` against
     the rows of ``few`` on the given side. Groups larger than ``SPLIT_ROWS`` are split over
-    salts. Both sides must carry their whole prefixes, unless ``shared`` is lowered."""
+    salts."""
     parts = F.ceil(col("size") / SPLIT_ROWS)
     left = members.join(sizes, "token").withColumn("salt", F.pmod(F.xxhash64("rid"), parts))
     right = (
@@ -77,14 +111,11 @@ def _pairs(members: DataFrame, few: DataFrame, sizes: DataFrame, threshold: floa
         .select("token", "salt", col("rid").alias("rid2"), col("n").alias("n2"))
     )
     order = (col("rid2") < col("rid")) if few_is_lower else (col("rid") < col("rid2"))
-    larger = F.greatest("n", "n2")
     lo, hi = ("rid2", "rid") if few_is_lower else ("rid", "rid2")
     return (
         left.join(right, ["token", "salt"])
-        .filter(order & (F.least("n", "n2") >= _at_least(larger, threshold)))
-        .groupBy(col(lo).alias("lo"), col(hi).alias("hi"))
-        .agg(F.count(F.lit(1)).alias("c"), F.max(_at_least(larger, threshold)).alias("need"))
-        .filter(col("c") >= F.least(F.lit(shared), "need")).select("lo", "hi")
+        .filter(order & (F.least("n", "n2") >= _at_least(F.greatest("n", "n2"), threshold)))
+        .select(col(lo).alias("lo"), col(hi).alias("hi")).distinct()
     )
 
 
@@ -141,10 +172,10 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
 
     1. Titles equal apart from case collapse to their first row: whatever decides the first
        one drops the others.
-    2. In token groups of more than ``split_rows`` rows every row is compared with the first few rows.
+    2. In key groups of more than ``split_rows`` rows every row is compared with the first few rows.
        A row similar to one of them is shadowed; all others are leaders. A huge group of near
        copies leaves a handful of leaders.
-    3. Leaders alone are compared with all lower rows of their token groups, so they know
+    3. Leaders alone are compared with all lower rows of their key groups, so they know
        all that can remove them, and :func:`settle` decides them.
     4. Newly kept leaders are compared with the rows still open. Rows that stay open (their
        shadow was itself dropped) go through the next round.
@@ -153,7 +184,7 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
     short = base.filter(col("low").isNull() | (F.length("low") < 3)).select("rid")
     firsts = base.filter(F.length("low") >= 3).groupBy("low").agg(F.min("rid").alias("rid"))
     rows = cut(firsts.select("rid", S.packed_trigrams(col("low")).alias("grams")))
-    tokens = cut(prefix_tokens(rows, threshold))
+    tokens = cut(signatures(rows, threshold, limit=min(GROUP_LIMIT, split_rows)))
     kept = short
     while True:
         sizes = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(col("size") > 1))
@@ -161,7 +192,7 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
         shadows = None
         if not hot.isEmpty():
             crowd = tokens.join(hot.select("token"), "token", "left_semi")
-            shadows = cut(_verify(_pairs(crowd, _front(crowd, front), hot, threshold, True, 1), rows, threshold))
+            shadows = cut(_verify(_pairs(crowd, _front(crowd, front), hot, threshold, True), rows, threshold))
         nodes, leaders = rows.select("rid", F.lit(True).alias("complete")), tokens
         if shadows is not None:
             shadowed = shadows.select(col("hi").alias("rid")).distinct()

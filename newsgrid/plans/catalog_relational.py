@@ -88,6 +88,13 @@ def _(v: Views):
     return dedup.fuzzy_survivors(v.articles, "id")
 
 
+# Every group of more than four rows goes the way of the hot ones.
+@query("joi_05_fuzzy_titles_hot", f"""{with_views('articles', recursive=True)}, {_greedy_check('articles')}
+SELECT low.id FROM fin JOIN low USING (k)""")
+def _(v: Views):
+    return dedup.fuzzy_survivors(v.articles, "id", split_rows=4)
+
+
 def _match_input(v: Views):
     windows = similarity.story_windows(_story_states(v), v.embedded("stored"), as_of())
     articles = v.embedded("incoming").join(v.keywords, "id").select("id", "embedding", F.coalesce("api_keywords", F.array().cast("array<string>")).alias("keywords"))

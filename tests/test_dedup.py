@@ -83,3 +83,40 @@ def test_chain_layers(spark):
         "title string, url string, source_domain string, t string")).withColumn("published_at", F.col("t").cast("timestamp"))
     got = {r.batch_seq: r.rule for r in dedup.deduplicate(batch, stored, as_of()).collect()}
     assert got == {1: None, 2: "dedup_newsdata_flag", 3: "dedup_batch_url", 4: "dedup_exact", 5: "dedup_fuzzy", 6: None}
+
+
+def similar_pairs(rows, threshold=0.7):
+    sets = [(i, grams(t)) for i, t in rows if t and len(t) >= 3]
+    return {(a, b) for k, (a, g) in enumerate(sets) for b, h in sets[k + 1:] if len(g & h) / len(g | h) > threshold}
+
+
+def gram_rows(spark, rows):
+    from newsgrid.functions import scalars as S
+
+    return spark.createDataFrame(rows, "rid long, title string").filter("length(title) >= 3").select("rid", S.packed_trigrams(F.col("title")).alias("grams"))
+
+
+@pytest.mark.parametrize("depth,limit", [(1, 64), (2, 3), (3, 1), (3, 8)])
+def test_similar_titles_share_a_key(spark, depth, limit):
+    rows = [*[r for r in near_copies(5, 120, 5) if r[1]], (2_000_000, "abc"), (2_000_001, "abcd"), (2_000_002, "abc"), (2_000_003, "aaaa"), (2_000_004, "aaaaa")]
+    keys = {}
+    for r in dedup.signatures(gram_rows(spark, rows), 0.7, depth, limit).collect():
+        keys.setdefault(r.rid, set()).add(r.token)
+    pairs = similar_pairs([(i, t.lower()) for i, t in rows])
+    lower = {r.rid for r in gram_rows(spark, rows).collect()}
+    plain = {(a, b) for a, b in similar_pairs([(i, t) for i, t in rows if t == t.lower()]) if a in lower and b in lower}
+    assert plain and plain <= pairs and all(keys[a] & keys[b] for a, b in plain)
+
+
+def test_candidates_do_not_grow_with_unrelated_titles(spark):
+    """Twice as many unrelated titles over the same small alphabet: pairs per title stay about the same."""
+    rng = random.Random(9)
+
+    def candidates(n):
+        rows = gram_rows(spark, [(i, " ".join("".join(rng.choices("etaoin", k=5)) for _ in range(8))) for i in range(n)])
+        keys = dedup.signatures(rows, 0.7, limit=16)
+        sizes = keys.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        return dedup._pairs(keys, keys, sizes, 0.7, False).count() / n
+
+    one, two = candidates(1500), candidates(3000)
+    assert two < 1.5 * one, (one, two)
