@@ -2,12 +2,12 @@
 
 Each stage is a DataFrame step over the state tables below ``root``. Results of the expensive stages are
 written once (:func:`newsgrid.session.cut`), so later stages never recompute them and lost
-executors only repeat the running stage. State tables are appended or replaced by partition.
+executors only repeat the running stage. State tables change together, in one snapshot at the end of a run
+(:mod:`newsgrid.sources.snapshots`).
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,6 +21,7 @@ from ..functions import scalars as S
 from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, textjobs
 from ..session import cut
 from ..sources import landed, tables
+from ..sources.snapshots import Commit, Store
 
 col = F.col
 Model = Callable[[list[str]], list]
@@ -63,12 +64,12 @@ class Run:
 
 
 def _table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    return tables.read_table(spark, os.path.join(root, name), schema)
+    """A state table as of the newest snapshot."""
+    return Store(spark, root).read(name, schema)
 
 
-def _next_run_id(spark: SparkSession, root: str) -> int:
-    path = os.path.join(root, "runs")
-    runs = tables.read_table(spark, path, T.StructType([T.StructField("id", T.LongType())]))
+def _next_run_id(state: Commit) -> int:
+    runs = state.read("runs", T.StructType([T.StructField("id", T.LongType())]))
     return (runs.agg(F.max("id")).first()[0] or 0) + 1
 
 
@@ -77,29 +78,34 @@ def run_day(spark: SparkSession, pages: dict[str, DataFrame], root: str, as_of:
     """Run one day and log it; a failure is logged and raised again.
 
     ``pages`` maps a source to its landed page table, ``scraped`` is (url, html) of fetched web
-    pages, ``lookups`` is (url, pos, title, text) of title lookups."""
-    run_id = _next_run_id(spark, root)
-    started = as_of
+    pages, ``lookups`` is (url, pos, title, text) of title lookups. All tables of the state change together, in one snapshot at
+    the end; a run that fails or is killed changes none of them (a failure adds its row to the log of runs)."""
+    state = Store(spark, root).begin()
+    run_id = _next_run_id(state)
     try:
-        run = _run(spark, pages, root, as_of, models, scraped, lookups, max_articles)
+        run = _run(spark, pages, state, as_of, models, scraped, lookups, max_articles)
+        state.append(_run_log(spark, run_id, as_of, as_of, run.counters, None), "runs")
+        row = metrics.daily_metrics(state.read("articles", STORED_ARTICLE), state.read("rejection_log", REJECTION_LOG), state.read("runs", run_log_schema(spark)), F.to_date(as_of))
+        state.upsert(row, "daily_metrics", ["date"], "date")
+        state.finish()
     except Exception as error:
-        _log_run(spark, root, run_id, started, as_of, {}, str(error))
+        failed = Store(spark, root).begin()
+        failed.append(_run_log(spark, run_id, as_of, as_of, {}, str(error)), "runs")
+        failed.finish()
         raise
-    _log_run(spark, root, run_id, started, as_of, run.counters, None)
-    day = F.to_date(as_of)
-    runs = spark.read.parquet(os.path.join(root, "runs"))
-    row = metrics.daily_metrics(
-        _table(spark, root, "articles", STORED_ARTICLE), _table(spark, root, "rejection_log", REJECTION_LOG), runs, day)
-    tables.upsert(row, os.path.join(root, "daily_metrics"), ["date"], "date")
     return run
 
 
-def _log_run(spark: SparkSession, root: str, run_id: int, started: Column, ended: Column, counters: dict, error: str | None) -> None:
-    row = spark.range(1).select(*tables.run_row(run_id, started, ended, counters, error))
-    tables.append(row, os.path.join(root, "runs"))
+def _run_log(spark: SparkSession, run_id: int, started: Column, ended: Column, counters: dict, error: str | None) -> DataFrame:
+    return spark.range(1).select(*tables.run_row(run_id, started, ended, counters, error))
 
 
-def _log_rejections(parts: list[DataFrame], root: str, as_of: Column) -> None:
+def run_log_schema(spark: SparkSession) -> T.StructType:
+    now = F.lit(None).cast("timestamp")
+    return _run_log(spark, 0, now, now, {}, None).schema
+
+
+def _log_rejections(parts: list[DataFrame], state: Commit, as_of: Column) -> None:
     """All rejections of a run as one partition of the log, named by the time of the run: a run that is repeated replaces its own."""
     shaped = []
     for rows in parts:
@@ -108,10 +114,10 @@ def _log_rejections(parts: list[DataFrame], root: str, as_of: Column) -> None:
         full = full.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else full
         shaped.append(tables.clean_strings(full.select(*[col(f.name).cast(f.dataType) for f in REJECTION_LOG.fields])))
     log = reduce(DataFrame.unionByName, shaped).withColumn("run", F.date_format(as_of, "yyyyMMddHHmmss"))
-    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(os.path.join(root, "rejection_log"))
+    state.replace(log, "rejection_log", "run")
 
 
-def _run(spark, pages, root, as_of, models, scraped, lookups, max_articles) -> Run:
+def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_articles) -> Run:
     run = Run()
     count = run.counters
 
@@ -122,7 +128,7 @@ def _run(spark, pages, root, as_of, models, scraped, lookups, max_articles) -> R
         batch = batch.filter(col("batch_seq") <= max_articles)
     ruled = cut(filters.with_rule(batch, as_of))
     passed = ruled.filter("rule IS NULL").drop("rule")
-    stored = _table(spark, root, "articles", STORED_ARTICLE)
+    stored = state.read("articles", STORED_ARTICLE)
     judged = cut(dedup.deduplicate(passed, stored, as_of))
     unique = judged.filter("rule IS NULL").drop("rule")
     count["articles_fetched"] = ruled.count()
@@ -155,7 +161,7 @@ def _run(spark, pages, root, as_of, models, scraped, lookups, max_articles) -> R
     fresh = cut(fresh.join(vectors, "id", "left"))
 
     # -- stories
-    old = _table(spark, root, "stories", STORY)
+    old = state.read("stories", STORY)
     windows = similarity.story_windows(old, stored, as_of)
     keyed = fresh.select("id", "embedding", col("api_keywords").alias("keywords"))
     matched = cut(similarity.match_sequential(keyed, windows).select("id", "story_id"))
@@ -191,17 +197,16 @@ def _run(spark, pages, root, as_of, models, scraped, lookups, max_articles) -> R
     # -- state
     _log_rejections([
         filters.rejections(ruled.filter("rule IS NOT NULL")), filters.rejections(judged.filter("rule IS NOT NULL")), tables.tier_rejections(classified),
-    ], root, as_of)
-    path = os.path.join(root, "articles")
+    ], state, as_of)
     late = cut(tables.update_columns(stored.join(summaries, "id", "left_semi"), summaries, "id", ["summary"]).select(*STORED_ARTICLE.names))
-    tables.append(_stored_shape(tables.update_columns(fresh, summaries, "id", ["summary"])), path, "day")
+    state.append(_stored_shape(tables.update_columns(fresh, summaries, "id", ["summary"])), "articles", "day")
     if not late.isEmpty():
-        tables.upsert(late, path, ["id"], "day")
+        state.upsert(late, "articles", ["id"], "day")
     if not ranked.isEmpty():
-        tables.upsert(ranked, os.path.join(root, "stories"), ["id"], "day")
+        state.upsert(ranked, "stories", ["id"], "day")
     if count["articles_stored"]:
         run.brief = cut(brief.brief_row(chosen, F.to_date(as_of)).select(*BRIEF.names))
-        tables.upsert(run.brief, os.path.join(root, "briefs"), ["brief_date", "user_id"], "brief_date")
+        state.upsert(run.brief, "briefs", ["brief_date", "user_id"], "brief_date")
         count["brief_id"] = int(run.brief.select(F.date_format("brief_date", "yyyyMMdd")).first()[0])
     return run
 

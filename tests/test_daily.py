@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from newsgrid.plans import catalog_scans, daily
+from newsgrid.sources.snapshots import Store
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,18 +44,18 @@ def test_counters_reconcile(spark, runs):
         c = run.counters
         assert c["articles_fetched"] == c["articles_filtered"] + c["articles_deduped"] + c["articles_classified"]
         assert c["articles_stored"] <= c["articles_classified"]
-    log = spark.read.parquet(root + "/rejection_log")
+    log = Store(spark, root).read("rejection_log")
     rejected = sum(r.counters["articles_filtered"] + r.counters["articles_deduped"] for r in (first, second))
     assert log.filter("rejection_stage = 'filter'").count() == rejected
 
 
 def test_state_is_unique(spark, runs):
     root, first, second = runs
-    articles = spark.read.parquet(root + "/articles")
+    articles = Store(spark, root).read("articles")
     n = articles.count()
     assert n == first.counters["articles_stored"] + second.counters["articles_stored"]
     assert articles.select("id").distinct().count() == articles.select("url").distinct().count() == n
-    stories = spark.read.parquet(root + "/stories")
+    stories = Store(spark, root).read("stories")
     assert stories.select("id").distinct().count() == stories.count() == first.counters["stories_created"] + second.counters["stories_created"]
     orphans = articles.filter("story_id IS NOT NULL").join(stories.select(F.col("id").alias("story_id")), "story_id", "left_anti")
     assert orphans.count() == 0
@@ -62,9 +63,9 @@ def test_state_is_unique(spark, runs):
 
 def test_one_brief_and_one_metrics_row_per_day(spark, runs):
     root, _, second = runs
-    briefs = spark.read.parquet(root + "/briefs").collect()
+    briefs = Store(spark, root).read("briefs").collect()
     assert len(briefs) == 1 and 0 < len(briefs[0].article_ids) <= 14
-    row = spark.read.parquet(root + "/daily_metrics").collect()
+    row = Store(spark, root).read("daily_metrics").collect()
     assert len(row) == 1 and row[0].total_fetched > second.counters["articles_fetched"]
 
 
@@ -72,7 +73,7 @@ def test_failure_is_logged(spark, tmp_path):
     root = str(tmp_path / "state")
     with pytest.raises(Exception):
         daily.run_day(spark, {}, root, F.lit("2024-01-15").cast("timestamp"), MODELS)
-    row = spark.read.parquet(root + "/runs").first()
+    row = Store(spark, root).read("runs").first()
     assert (row.id, row.status) == (1, "failed") and row.error_message
 
 
@@ -80,6 +81,33 @@ def test_a_repeated_run_replaces_its_rejections(spark, tmp_path):
     rows = spark.createDataFrame([(f"https://a.com/{i}", "t", "language", "filter") for i in range(5)], "url string, title string, rejection_rule string, rejection_stage string")
     first, second = F.lit("2024-01-15").cast("timestamp"), F.lit("2024-01-15 12:00:00").cast("timestamp")
     for as_of in (first, first, second):
-        daily._log_rejections([rows, rows.limit(2)], str(tmp_path), as_of)
+        commit = Store(spark, str(tmp_path)).begin()
+        daily._log_rejections([rows, rows.limit(2)], commit, as_of)
+        commit.finish()
     log = daily._table(spark, str(tmp_path), "rejection_log", daily.REJECTION_LOG)
     assert log.count() == 14 and log.select("created_at").distinct().count() == 2
+
+
+def test_a_run_that_dies_between_two_writes_changes_nothing(spark, views, tmp_path, monkeypatch):
+    """The brief fails after articles and stories are written; the repeated run leaves what a run without the failure leaves."""
+    root, clean = str(tmp_path / "state"), str(tmp_path / "clean")
+    pages = {n: p.filter("page_id % 4 = 1") for n, p in catalog_scans.source_pages(views).items()}
+    as_of = F.lit("2024-01-15").cast("timestamp")
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(daily.brief, "brief_row", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            daily.run_day(spark, pages, root, as_of, MODELS)
+    assert set(Store(spark, root).current()[1]) == {"runs"}
+    assert daily._table(spark, root, "articles", daily.STORED_ARTICLE).count() == 0
+    assert [r.status for r in Store(spark, root).read("runs").collect()] == ["failed"]
+    daily.run_day(spark, pages, root, as_of, MODELS)
+    daily.run_day(spark, pages, clean, as_of, MODELS)
+    for name in ("articles", "stories", "briefs", "rejection_log", "daily_metrics"):
+        # The metrics of a day also count its failed runs.
+        one, two = (sorted(map(str, Store(spark, r).read(name).drop("llm_errors").collect())) for r in (root, clean))
+        assert one == two and one, name
+    assert sorted(r.status for r in Store(spark, root).read("runs").collect()) == ["failed", "success"]
