@@ -12,6 +12,9 @@ from ..functions import vectors as V
 from . import numbering
 
 col = F.col
+#: Registers of a sketch of distinct values as a power of two, and three times its relative standard error, 1.04 / sqrt(registers).
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
 
 
 def source_counts(articles: DataFrame) -> DataFrame:
@@ -20,6 +23,18 @@ def source_counts(articles: DataFrame) -> DataFrame:
     )
 
 
+def source_sketches(articles: DataFrame, *keys: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """(story_id, day, keys..., sources): one sketch of the distinct sources for each story and day. Sketches are small whatever the number of
+    articles, can be stored, and days that are known need not be read again."""
+    return articles.filter(col("story_id").isNotNull()).groupBy("story_id", "day", *keys).agg(F.hll_sketch_agg("source_name", bits).alias("sources"))
+
+
+def source_estimates(sketches: DataFrame) -> DataFrame:
+    """(story_id, source_estimate): the sketches of all days merged. The relative standard error is SKETCH_ERROR / 3; a story whose sources are
+    all null has none."""
+    return sketches.groupBy("story_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sources")).alias("source_estimate"))
+
+
 def majority(articles: DataFrame, value: str, where: Column | None = None) -> DataFrame:
     """Most frequent non-null value per story, ties to the smaller value. Counts are reduced
     map-side, so only (story, value) pairs meet."""

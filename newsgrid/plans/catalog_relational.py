@@ -267,6 +267,14 @@ def _(v: Views):
     return stories.source_counts(v.articles)
 
 
+@query("agg_05_source_estimate", f"""{ART} SELECT story_id, count(DISTINCT source_name) AS source_count, true AS within_bound FROM articles WHERE story_id IS NOT NULL GROUP BY story_id""")
+def _(v: Views):
+    days = stories.source_sketches(v.articles.withColumn("day", F.to_date("published_at")))
+    near = stories.source_estimates(days).join(stories.source_counts(v.articles), "story_id")
+    error = F.abs(col("source_estimate") - col("source_count"))
+    return near.select("story_id", "source_count", (error <= F.greatest(F.lit(1.0), stories.SKETCH_ERROR * col("source_count"))).alias("within_bound"))
+
+
 @query("agg_06_majority", f"""{ART}, g AS (SELECT story_id, main_genre, count(*) AS n FROM articles WHERE story_id IS NOT NULL AND main_genre IS NOT NULL GROUP BY 1, 2),
 c AS (SELECT story_id, llm_category, count(*) AS n FROM articles WHERE story_id IS NOT NULL AND filter_status = 'accepted' GROUP BY 1, 2)
 SELECT story_id, g.main_genre, c.llm_category FROM (SELECT story_id, main_genre, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, main_genre) AS rn FROM g) g
@@ -610,10 +618,8 @@ b AS (SELECT id, 1 AS part, row_number() OVER (ORDER BY id DESC) - 1 AS pos FROM
 u AS (SELECT id, arg_min(part, part * 1000000000 + pos) AS part, arg_min(pos, part * 1000000000 + pos) AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b) q GROUP BY id)
 SELECT id, part::BIGINT AS part, pos FROM u""")
 def _(v: Views):
-    # one unique number that sorts by age, then id; ranges of an hour
-    age = (F.lit(4102444800) - F.unix_timestamp("published_at")) * 10_000_000 + col("id")
-    first = numbering.dense_number(v.articles.filter("llm_tier = 'A'").select("id", age.alias("age")), "age", "no", width=36_000_000_000)
-    first = first.select("id", (col("no") - 1).alias("pos"))
+    newest = [col("published_at").desc(), col("id")]
+    first = numbering.ordered_number(v.articles.filter("llm_tier = 'A'").select("id", "published_at"), newest, "no").select("id", (col("no") - 1).alias("pos"))
     back = v.articles.filter("llm_category = 'policy'").select("id", (-col("id")).alias("neg"))
     second = numbering.dense_number(back, "neg", "no").select("id", (col("no") - 1).alias("pos"))
     return brief.ordered_union(first, second)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,12 +23,13 @@ STREAM_PAGES = 9_000_000_000_000  # page numbers that leave this room in a long
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file. Pages are numbered from 0 in the order of the first number in the file name, then of the
-    whole path, so that every file has a number of its own. Only the table of paths is ordered in one place."""
+    whole path, so that every file has a number of its own. The paths are numbered from the file listing, range by range;
+    no file is read for it."""
     files = spark.read.text(path, wholetext=True).select(col("_metadata.file_path").alias("path"), col("value").alias("raw"))
+    listed = spark.read.format("binaryFile").load(path).select(col("_metadata.file_path").alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
     number = F.regexp_replace(F.regexp_extract(name, r"(\d+)", 1), "^0+", "")
-    order = W.orderBy(F.length(number), number, "path")
-    numbers = files.select("path").withColumn("page_id", (F.row_number().over(order) - 1).cast("long"))
+    numbers = numbering.ordered_number(listed, [F.length(number), number, col("path")], "no").select("path", (col("no") - 1).alias("page_id"))
     return files.join(numbers, "path").select("page_id", "raw")
 
 

@@ -80,3 +80,25 @@ def test_timeline_equals_loop(spark, pin):
     pins = None if pin is None else spark.createDataFrame([(1, pin)], "story_id long, pinned_id long")
     got = [r.id for r in timeline.select_timeline(df, pins).orderBy("pos").collect()]
     assert got == timeline_loop(rows, pin)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ordered_number_equals_a_global_sort(spark, parts):
+    """Composite order with ties on the first key; no window over all rows."""
+    from newsgrid.operators import numbering
+
+    rows = [(i * 10**8, (i * 7919) % 13) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, t long").repartition(parts)
+    got = numbering.ordered_number(df, [F.col("t").desc(), F.col("id")], "no")
+    want = {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert {r.id: r.no for r in got.collect()} == want
+    assert numbering.ordered_number(df.limit(0), [F.col("id")], "no").collect() == []
+
+
+def test_source_sketches_merge_over_days(spark):
+    """Sketches of days merged give about the exact count, also where days share sources and where there are many."""
+    from newsgrid.operators import stories
+
+    df = spark.range(60_000).selectExpr("id % 3 AS story_id", "date_add(DATE '2024-01-01', CAST(id % 5 AS INT)) AS day", "IF(id % 3 = 2, NULL, concat('s', IF(id % 3 = 0, id % 21, id))) AS source_name")
+    got = {r.story_id: r.source_estimate for r in stories.source_estimates(stories.source_sketches(df)).collect()}
+    assert got[0] == 7 and abs(got[1] - 20_000) <= stories.SKETCH_ERROR * 20_000 and got[2] == 0
