@@ -100,8 +100,8 @@ hits AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM kinds WHERE len(wh
 found AS (SELECT doc_id, source, row_no, k, kind, whole[i] AS hit, vals[i] AS val,
   CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
   FROM hits WHERE length(vals[i]) >= least),
-owned AS (SELECT val, count(DISTINCT source) AS owners FROM found GROUP BY val),
-judged AS (SELECT found.*, kind || ':' || s || ':' || (s + length(hit)) AS span, owners >= {secrets.COPIED_OWNERS} OR regexp_matches(found.val, '{secrets.PLACEHOLDER}') AS copied,
+owned AS (SELECT val, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM found GROUP BY val),
+judged AS (SELECT found.*, kind || ':' || s || ':' || (s + length(hit)) AS span, owners >= {secrets.COPIED_OWNERS} OR repositories >= {secrets.COPIED_REPOSITORIES} OR regexp_matches(found.val, '{secrets.PLACEHOLDER}') AS copied,
   len(list_distinct(string_split(found.val, ''))) >= {secrets.RANDOM_CHARS} AS random FROM found JOIN owned ON found.val = owned.val),
 counted AS (SELECT row_no, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
   coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < {secrets.BASE}), '') AS base, string_agg(span, ',' ORDER BY s, k) AS spans,
