@@ -43,6 +43,7 @@ CLASSIFY_BATCH = 5
 EMBED_BATCH = 100
 ENRICH_BATCH = 5
 EMBED_CHARS = 2000
+SUMMARY_BATCH = 100  # summaries of a story in one request
 CHAT_CURRENT_CHARS = 2500
 CHAT_SHARED_CHARS = 3500
 CHAT_HISTORY = 10

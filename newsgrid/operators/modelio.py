@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .. import config, rules, schemas
 from ..functions import scalars as S
+from ..session import cut, drop_cut
 from . import filters, numbering
 
 col = F.col
+SALTS = 16
 SERVER_ERROR = "llm_server_error"  # stands for the answer of a request that failed
 
 
@@ -191,15 +194,30 @@ def title_from_summary(summary: Column) -> Column:
     return F.substring(F.regexp_replace(first, r"^[•\-*]\s*", ""), 1, 500)
 
 
-def two_level_summary(articles: DataFrame, model: Callable[[list[str]], list]) -> DataFrame:
-    """(story_id, summary, title): articles (story_id, id, text) are summarised one by one,
-    then their summaries per story; a story of one article keeps that summary. The second
-    request holds one story, the model input it exists to build."""
+def two_level_summary(articles: DataFrame, model: Callable[[list[str]], list], size: int = config.SUMMARY_BATCH) -> DataFrame:
+    """(story_id, summary, title): articles (story_id, id, text) are summarised one by one, then their summaries by story, in id order; a story
+    of one article keeps that summary. Rows without a story take no part.
+
+    A request holds ``size`` summaries at most. The summaries of a larger story are summarised in batches, and those again, until one is
+    left, so a story that holds a third of all articles is spread over as many rows as any other articles; a batch of one keeps its text."""
     single = score_batches(articles, model, "text", "id", "string")
-    joined = articles.select("id", "story_id").join(single, "id")
-    stories = joined.groupBy("story_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("id", "output"))).alias("l")
-    ).select("story_id", "n", F.array_join("l.output", "\n\n").alias("text"))
-    many = score_batches(stories.filter(col("n") > 1), model, "text", "story_id", "string")
-    done = stories.join(many, "story_id", "left").withColumn("summary", F.when(col("n") == 1, col("text")).otherwise(col("output")))
-    return done.select("story_id", "summary", title_from_summary(col("summary")).alias("title"))
+    rows = cut(articles.filter(col("story_id").isNotNull()).select("id", "story_id").join(single, "id").select("story_id", "id", col("output").alias("text")))
+    finished = []
+    while True:
+        placed = cut(numbering.ordered_number(rows.select("story_id", "id"), [col("story_id"), col("id")], "no"))
+        # The start of a story is copied to a fixed number of salts, so that the rows of a large one do not meet to learn it.
+        starts = placed.groupBy("story_id").agg(F.min("no").alias("start"), F.count(F.lit(1)).alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        batched = placed.withColumn("salt", F.pmod("no", F.lit(SALTS)).cast("int")).join(starts, ["story_id", "salt"]).select(
+            "story_id", "id", "no", "n", F.floor((col("no") - col("start")) / size).alias("batch"))
+        groups = cut(rows.join(batched, ["story_id", "id"]).groupBy("story_id", "n", "batch").agg(
+            F.count(F.lit(1)).alias("here"), F.min("no").alias("id"), F.sort_array(F.collect_list(F.struct("no", "text"))).alias("l"),
+        ).select("story_id", "n", "id", "here", F.array_join("l.text", "\n\n").alias("text")))
+        many = score_batches(groups.filter(col("here") > 1), model, "text", "id", "string")
+        said = cut(groups.join(many, "id", "left").select("story_id", "n", "id", F.when(col("here") == 1, col("text")).otherwise(col("output")).alias("text")))
+        drop_cut(placed)
+        drop_cut(groups)
+        finished.append(said.filter(col("n") <= size).select("story_id", col("text").alias("summary")))
+        rows = said.filter(col("n") > size).select("story_id", "id", "text")
+        if rows.isEmpty():
+            done = reduce(DataFrame.unionByName, finished)
+            return done.select("story_id", "summary", title_from_summary(col("summary")).alias("title"))

@@ -143,3 +143,38 @@ def test_unreadable_source_gives_no_rows(spark):
 
     got = landed.tolerant(spark, {"webzio": broken}, schemas.ARTICLE)
     assert got["webzio"].count() == 0 and got["webzio"].schema == schemas.ARTICLE
+
+
+def test_summaries_of_a_large_story_go_through_a_tree(spark):
+    """No request holds more than the batch size; the result equals the same tree made by a loop."""
+    size = 4
+
+    def model(texts):
+        out = []
+        for t in texts:
+            parts = (t or "").split("\n\n")
+            if len(parts) > size:
+                raise ValueError("a request is too large")
+            out.append(f"<{len(parts)}:{parts[0][:9]}.{parts[-1][-9:]}>")
+        return out
+
+    stories = {1: range(100, 190), 2: range(0, 4), 3: [500], 4: range(600, 605), 5: range(700, 717)}
+    rows = [(s, i, f"text {i}") for s, ids in stories.items() for i in ids] + [(None, 999, "nobody")]
+
+    def tree(texts):
+        while len(texts) > 1:
+            groups = [texts[k:k + size] for k in range(0, len(texts), size)]
+            texts = [g[0] if len(g) == 1 else model(["\n\n".join(g)])[0] for g in groups]
+        return texts[0]
+
+    df = spark.createDataFrame(rows, "story_id long, id long, text string").repartition(6)
+    got = {r.story_id: r.summary for r in modelio.two_level_summary(df, model, size).collect()}
+    assert got == {s: tree([model([f"text {i}"])[0] for i in ids]) for s, ids in stories.items()}
+    assert modelio.two_level_summary(df.limit(0), model, size).collect() == []
+
+
+def test_a_story_of_many_articles_is_spread(spark):
+    df = spark.range(20_000).selectExpr("IF(id < 15000, 1, id) AS story_id", "id", "concat('t', id) AS text")
+    made = modelio.two_level_summary(df, lambda texts: [str(max(len(t.split("\n\n")) for t in [x])) for x in texts])
+    rows = {r.story_id: r.summary for r in made.collect()}
+    assert len(rows) == 5001 and rows[1] == "2"  # 150 batches of 100, then two, then one
