@@ -1,11 +1,14 @@
 """Queries of scans, sources and sinks (SRC, SNK)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config, schemas
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import dedup, filters, metrics, modelio, numbering, similarity
+from ..session import scratch_dir
 from ..sources import feeds, landed, tables
 from . import check_sql as C
 from .registry import query
@@ -307,6 +310,33 @@ def _(v: Views):
     return every.groupBy("source_api").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("src_11_read_failure", f"""SELECT source_api, count(*) AS n, 'rows' AS kind FROM ({_ALL_SOURCES}) u WHERE source_api <> 'newsdata' GROUP BY source_api
+UNION ALL SELECT 'newsdata', 1, 'error'""")
+def _(v: Views):
+    made = _unified(v)
+
+    def failing(rows):
+        """Plans without a fault and breaks in a task, after other rows have been read."""
+        return rows.withColumn("url", F.when(col("seq") < 0, col("url")).otherwise(F.raise_error(F.lit("page lost")).cast("string")))
+
+    loaders = {name: (lambda f=frame, n=name: failing(f) if n == "newsdata" else f) for name, frame in made.items()}
+    rows, errors = landed.isolated(v.spark, loaders, made["worldnews"].schema)
+    counted = union_all(list(rows.values())).groupBy("source_api").agg(F.count(F.lit(1)).alias("n"), F.lit("rows").alias("kind"))
+    return counted.unionByName(errors.groupBy("source_api").agg(F.count(F.lit(1)).alias("n"), F.lit("error").alias("kind")))
+
+
+@query("src_01_landed_files", f"SELECT source_api, url, title FROM ({_ALL_SOURCES}) u")
+def _(v: Views):
+    """Pages of all sources written as files, one for each page, and read back."""
+    parts = []
+    for name, pages in source_pages(v).items():
+        folder = f"{scratch_dir(v.spark)}/newsgrid-pages-{uuid.uuid4().hex}/{name}"
+        pages.select("raw").write.option("maxRecordsPerFile", 1).text(folder)
+        found, _ = landed.read_tolerant(v.spark, name, folder)
+        parts.append(landed.NORMALISERS[name](found, as_of()).select("source_api", "url", "title"))
+    return union_all(parts)
+
+
 @query("src_12_by_id_and_story", f"""{ART}, ids AS (SELECT doc_id AS id FROM labels WHERE quality = 1)
 SELECT 'ids' AS asked, id, title FROM articles WHERE id IN (SELECT id FROM ids) UNION ALL SELECT 'story' AS asked, id, title FROM articles WHERE story_id = 7""")
 def _(v: Views):

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .. import config, schemas
 from ..functions import scalars as S
 from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, textjobs
-from ..session import cut
+from ..session import cut, cut_counted
 from ..sources import landed, tables
 from ..sources.snapshots import Commit, Store
 
@@ -44,6 +44,7 @@ STORY = T.StructType([T.StructField(n, t) for n, t in (
     ("source_count", T.LongType()), ("representative_article_id", T.LongType()), ("day", T.DateType()))])
 BRIEF = T.StructType([T.StructField(n, t) for n, t in (
     ("article_ids", T.ArrayType(T.LongType())), ("story_ids", T.ArrayType(T.LongType())), ("user_id", T.LongType()), ("brief_date", T.DateType()))])
+SOURCE_ERRORS = "source_api string, place string, error string, created_at timestamp, run string"
 REJECTION_LOG = T.StructType([*schemas.REJECTION.fields, T.StructField("day", T.DateType())])
 
 
@@ -59,8 +60,11 @@ class Models:
 
 @dataclass
 class Run:
+    """Counters, the brief, and what of the sources could not be read (source_api, place, error)."""
+
     counters: dict[str, int] = field(default_factory=dict)
     brief: DataFrame | None = None
+    source_errors: DataFrame | None = None
 
 
 def _table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
@@ -73,11 +77,12 @@ def _next_run_id(state: Commit) -> int:
     return (runs.agg(F.max("id")).first()[0] or 0) + 1
 
 
-def run_day(spark: SparkSession, pages: dict[str, DataFrame], root: str, as_of: Column, models: Models,
+def run_day(spark: SparkSession, pages: dict[str, DataFrame | str], root: str, as_of: Column, models: Models,
             scraped: DataFrame | None = None, lookups: DataFrame | None = None, max_articles: int | None = None) -> Run:
     """Run one day and log it; a failure is logged and raised again.
 
-    ``pages`` maps a source to its landed page table, ``scraped`` is (url, html) of fetched web
+    ``pages`` maps a source to its landed page table or to the folder of its landed files. A source that cannot be read gives no rows, a
+    file that cannot be read gives none of its own; both are logged in ``source_errors`` and the run goes on. ``scraped`` is (url, html) of fetched web
     pages, ``lookups`` is (url, pos, title, text) of title lookups. All tables of the state change together, in one snapshot at
     the end; a run that fails or is killed changes none of them (a failure adds its row to the log of runs)."""
     state = Store(spark, root).begin()
@@ -117,23 +122,37 @@ def _log_rejections(parts: list[DataFrame], state: Commit, as_of: Column) -> Non
     state.replace(log, "rejection_log", "run")
 
 
+def _ingest(spark: SparkSession, pages: dict[str, DataFrame | str], as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(batch, errors): the records of all sources that can be read, and the faults of the others."""
+    faults, tables_ = [], {}
+    for name, given in pages.items():
+        if isinstance(given, str):
+            given, errors = landed.read_tolerant(spark, name, given)
+            faults.append(errors)
+        tables_[name] = given
+    loaders = {name: (lambda n=name, p=frame: _first_urls(landed.NORMALISERS[n](p, as_of))) for name, frame in tables_.items()}
+    rows, errors = landed.isolated(spark, loaders, _normal_schema())
+    return landed.concat_sources(rows, store=False), reduce(DataFrame.unionByName, faults, errors)
+
+
 def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_articles) -> Run:
     run = Run()
     count = run.counters
 
     # -- ingest, rules, duplicates
-    loaders = {name: (lambda n=name, p=frame: _first_urls(landed.NORMALISERS[n](p, as_of))) for name, frame in pages.items()}
-    batch = landed.concat_sources(landed.tolerant(spark, loaders, _normal_schema()))
+    batch, errors = _ingest(spark, pages, as_of)
+    run.source_errors = cut(errors)
+    state.replace(run.source_errors.withColumns({"created_at": as_of, "run": F.date_format(as_of, "yyyyMMddHHmmss")}), "source_errors", "run")
     if max_articles is not None:
         batch = batch.filter(col("batch_seq") <= max_articles)
-    ruled = cut(filters.with_rule(batch, as_of))
+    ruled, seen = cut_counted(
+        filters.with_rule(batch, as_of), articles_fetched=F.count(F.lit(1)), articles_filtered=F.count_if(col("rule").isNotNull()))
+    count.update(seen)
     passed = ruled.filter("rule IS NULL").drop("rule")
     stored = state.read("articles", STORED_ARTICLE)
-    judged = cut(dedup.deduplicate(passed, stored, as_of))
+    judged, seen = cut_counted(dedup.deduplicate(passed, stored, as_of), articles_deduped=F.count_if(col("rule").isNotNull()))
+    count.update(seen)
     unique = judged.filter("rule IS NULL").drop("rule")
-    count["articles_fetched"] = ruled.count()
-    count["articles_filtered"] = ruled.filter("rule IS NOT NULL").count()
-    count["articles_deduped"] = judged.filter("rule IS NOT NULL").count()
 
     # -- classification
     batched = cut(numbering.batch_number(unique, "batch_seq", config.CLASSIFY_BATCH))
@@ -141,18 +160,19 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     answers = modelio.score_batches(
         requests, models.classify, "request", "batch_id", "string", fallback=modelio.SERVER_ERROR, readable=modelio.is_json)
     responses = cut(requests.select("batch_id", "n").join(answers.withColumnRenamed("output", "response"), "batch_id"))
-    classified = cut(modelio.merge_results(batched, modelio.parse_classification(responses)).drop("batch_id", "pos"))
-    count["articles_classified"] = classified.count()
+    classified, seen = cut_counted(
+        modelio.merge_results(batched, modelio.parse_classification(responses)).drop("batch_id", "pos"), articles_classified=F.count(F.lit(1)))
+    count.update(seen)
 
     # -- new articles
     accepted = tables.clean_strings(classified.filter("filter_status = 'accepted'"))
     fresh = tables.new_articles(accepted, stored)
-    fresh = cut(fresh.withColumns({
+    fresh, seen = cut_counted(fresh.withColumns({
         "main_genre": S.region(col("api_country"), col("source_domain")), "homepage_eligible": F.lit(True),
         "llm_scored_at": as_of, "created_at": as_of, "day": F.to_date(as_of), "full_text": F.lit(None).cast("string"),
         "scrape_status": F.lit("pending"), "summary": F.lit(None).cast("string"), "importance_score": F.lit(None).cast("double"),
-    }))
-    count["articles_stored"] = fresh.count()
+    }), articles_stored=F.count(F.lit(1)))
+    count.update(seen)
 
     # -- texts and vectors
     fresh = cut(_enriched(fresh, stored, as_of, scraped, lookups))
@@ -167,19 +187,20 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     matched = cut(similarity.match_sequential(keyed, windows).select("id", "story_id"))
     clusters = cut(similarity.cluster_articles(fresh.join(matched, "id", "left_anti").select("id", "embedding")))
     born, assigned = tables.new_stories(clusters, fresh, old, as_of)
-    born = cut(born)
+    born, seen = cut_counted(born, stories_created=F.count(F.lit(1)))
+    count.update(seen)
     assigned = clusters.join(born.select("seed_id", col("id").alias("story_id")), "seed_id").select("id", "story_id")
     members = cut(matched.unionByName(assigned))
     fresh = fresh.join(members, "id", "left")
     evicted = cut(dedup.evictions(fresh))
     fresh = cut(fresh.join(evicted.select("id", F.lit(True).alias("_out")), "id", "left").withColumn(
         "story_id", F.when(col("_out").isNull(), col("story_id"))).drop("_out"))
-    count["stories_matched"] = matched.select("story_id").distinct().count()
-    count["stories_created"] = born.count()
+    joined, seen = cut_counted(matched.select(col("story_id").alias("id")).distinct(), stories_matched=F.count(F.lit(1)))
+    count.update(seen)
 
     everything = stored.select(*[c for c in STORED_ARTICLE.names]).unionByName(_stored_shape(fresh))
     grown = _grow_stories(old, born, fresh, matched, evicted, everything, as_of)
-    affected = members.select(col("story_id").alias("id")).distinct()
+    affected = joined.unionByName(born.select("id"))
     grown = cut(stories.refresh_metadata(grown, everything, affected, as_of))
     scores = stories.score_stories(grown, everything, as_of).select("id", "importance_score", "representative_article_id")
     ranked = cut(tables.update_columns(grown, scores, "id", ["importance_score", "representative_article_id"]).select(*STORY.names))
@@ -190,9 +211,10 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     picks = feed.summary_picks(everything, as_of)
     wanted = brief.ordered_union(chosen, picks)
     texts = modelio.summary_requests(everything, wanted)
-    summaries = cut(modelio.score_batches(texts, models.summarise, "request", "id", "string", size=config.CLASSIFY_BATCH)
-                    .filter(F.coalesce("output", F.lit("")) != "").select("id", S.strip_null_chars(col("output")).alias("summary")))
-    count["articles_summarized"] = summaries.count()
+    summaries, seen = cut_counted(
+        modelio.score_batches(texts, models.summarise, "request", "id", "string", size=config.CLASSIFY_BATCH)
+        .filter(F.coalesce("output", F.lit("")) != "").select("id", S.strip_null_chars(col("output")).alias("summary")), articles_summarized=F.count(F.lit(1)))
+    count.update(seen)
 
     # -- state
     _log_rejections([

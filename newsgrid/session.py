@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, and aggregates over the rows taken while they are written, so counting them needs no pass of its own.
+
+    The aggregates stand right below the write, where Spark adds up each task once, also when tasks are repeated."""
+    seen = Observation()
+    stored = cut(df.observe(seen, *[c.alias(n) for n, c in counters.items()]))
+    return stored, {n: int(v or 0) for n, v in seen.get.items()}
+
+
 def drop_cut(df: DataFrame | None) -> None:
     """Delete the table behind a frame returned by :func:`cut`, when it is no longer read."""
     if df is None:

@@ -15,9 +15,11 @@ from pyspark.sql import types as T
 from .. import config, schemas
 from ..functions import scalars as S
 from ..operators import filters, numbering
+from ..session import cut
 
 col = F.col
 POSITIONS = 1_000_000  # room for the records of one page in a sequence number
+SOURCE_ERROR = "source_api string, place string, error string"
 STREAM_PAGES = 9_000_000_000_000  # page numbers that leave this room in a long
 
 
@@ -25,12 +27,48 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file. Pages are numbered from 0 in the order of the first number in the file name, then of the
     whole path, so that every file has a number of its own. The paths are numbered from the file listing, range by range;
     no file is read for it."""
-    files = spark.read.text(path, wholetext=True).select(col("_metadata.file_path").alias("path"), col("value").alias("raw"))
+    return _files(spark, path).join(_numbered_files(spark, path), "path").select("page_id", "raw")
+
+
+def _files(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(path, raw): the text of every file."""
+    return spark.read.options(**options).text(path, wholetext=True).select(col("_metadata.file_path").alias("path"), col("value").alias("raw"))
+
+
+def _numbered_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page_id) from the file listing."""
     listed = spark.read.format("binaryFile").load(path).select(col("_metadata.file_path").alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
     number = F.regexp_replace(F.regexp_extract(name, r"(\d+)", 1), "^0+", "")
-    numbers = numbering.ordered_number(listed, [F.length(number), number, col("path")], "no").select("path", (col("no") - 1).alias("page_id"))
-    return files.join(numbers, "path").select("page_id", "raw")
+    return numbering.ordered_number(listed, [F.length(number), number, col("path")], "no").select("path", (col("no") - 1).alias("page_id"))
+
+
+def read_tolerant(spark: SparkSession, source: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors) of a folder of files in which some may be truncated, unreadable, gone since they were listed, or not JSON
+    with the source's list. Pages are those of :func:`read_landed`, with the same numbers, but for the files that cannot be read. Errors
+    (source_api, place, error) has a row for each file that gives no records because of a fault; a folder that cannot be listed is one error.
+    Files of no bytes are not listed by Spark: they have no number and are no error.
+
+    A file that fails inside a task is left out by the scan, so what is missing against the listing are the files with faults. Both
+    come from one stored reading: what the errors say is what the pages lack."""
+    try:
+        readable = _files(spark, path, ignoreCorruptFiles="true", ignoreMissingFiles="true")
+        files = cut(_numbered_files(spark, path).join(readable, "path", "left"))
+    except Exception as error:  # whatever keeps the folder from being read must not stop the other sources
+        return spark.createDataFrame([], "page_id long, raw string"), _error_rows(spark, [(source, path, _reason(error))])
+    schema = schemas.PAGES[source]
+    found = F.from_json("raw", schema)[schema.fields[0].name]
+    fault = F.when(col("raw").isNull(), F.lit("unreadable")).when(found.isNull(), F.lit("no list of records"))
+    errors = files.select(F.lit(source).alias("source_api"), col("path").alias("place"), fault.alias("error")).filter("error IS NOT NULL")
+    return files.filter("raw IS NOT NULL").select("page_id", "raw"), errors
+
+
+def _reason(error: Exception) -> str:
+    return (str(error).strip().splitlines() or [""])[0] or type(error).__name__
+
+
+def _error_rows(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, SOURCE_ERROR)
 
 
 def _parsed(pages: DataFrame, source: str) -> DataFrame:
@@ -168,14 +206,14 @@ def first_per_url(articles: DataFrame) -> DataFrame:
     return marked.drop("_row")
 
 
-def concat_sources(by_source: dict[str, DataFrame], order: tuple[str, ...] = config.SOURCES) -> DataFrame:
+def concat_sources(by_source: dict[str, DataFrame], order: tuple[str, ...] = config.SOURCES, store: bool = True) -> DataFrame:
     """All sources in their fixed priority order with a dense ``batch_seq``; the order decides
-    which copy of an article survives."""
+    which copy of an article survives. The rows are read twice, so they are stored first unless they already are."""
     parts = [by_source[s].withColumn("source_rank", F.lit(i)) for i, s in enumerate(order) if s in by_source]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return numbering.dense_number(every, "seq", "batch_seq", ["source_rank"], width=100 * POSITIONS, store=True)
+    return numbering.dense_number(every, "seq", "batch_seq", ["source_rank"], width=100 * POSITIONS, store=store)
 
 
 def tolerant(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], schema: T.StructType) -> dict[str, DataFrame]:
@@ -192,6 +230,19 @@ def tolerant(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], s
     return out
 
 
+def isolated(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], schema: T.StructType) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(rows by source, errors): each loader is run to the end and stored on its own, so a source that fails while its rows are
+    read stops no other. It contributes no rows, not some of them, and one row of errors (source_api, place null, error)."""
+    out, errors = {}, []
+    for name, load in loaders.items():
+        try:
+            out[name] = cut(load())
+        except Exception as error:  # any failing source must not stop the others
+            errors.append((name, None, _reason(error)))
+            out[name] = spark.createDataFrame([], schema)
+    return out, _error_rows(spark, errors)
+
+
 def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """Per source: raw records, normalised rows, duplicate urls, rejected by score or priority, corrupt pages."""
     parts = []

@@ -49,6 +49,25 @@ def test_counters_reconcile(spark, runs):
     assert log.filter("rejection_stage = 'filter'").count() == rejected
 
 
+def test_faults_of_sources_are_logged_and_the_run_goes_on(spark, views, tmp_path):
+    """One source comes from files of which one is no page, one fails while it is read, one has no folder; the others are as without them."""
+    pages = catalog_scans.source_pages(views)
+    folder, as_of = tmp_path / "worldnews", F.lit("2024-01-15").cast("timestamp")
+    folder.mkdir()
+    for r in pages["worldnews"].collect():
+        (folder / f"page-{r.page_id}.json").write_text(r.raw)
+    (folder / "page-999.json").write_text("no json")
+    lost = pages["newsdata"].withColumn("raw", F.when(F.col("page_id") < 0, F.col("raw")).otherwise(F.raise_error(F.lit("lost")).cast("string")))
+    given = {"worldnews": str(folder), "newsdata": lost, "webzio": str(tmp_path / "none"), "thenewsapi": pages["thenewsapi"]}
+    root, clean = str(tmp_path / "state"), str(tmp_path / "clean")
+    run = daily.run_day(spark, given, root, as_of, MODELS)
+    whole = daily.run_day(spark, {n: pages[n] for n in ("worldnews", "thenewsapi")}, clean, as_of, MODELS)
+    assert run.counters == whole.counters and run.counters["articles_stored"] > 0
+    logged = Store(spark, root).read("source_errors").collect()
+    assert sorted((r.source_api, (r.place or "").rsplit("/", 1)[-1]) for r in logged) == [("newsdata", ""), ("webzio", "none"), ("worldnews", "page-999.json")]
+    assert Store(spark, clean).read("source_errors", daily.SOURCE_ERRORS).count() == 0
+
+
 def test_state_is_unique(spark, runs):
     root, first, second = runs
     articles = Store(spark, root).read("articles")

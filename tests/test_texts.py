@@ -1,6 +1,8 @@
 """Page text extraction, bylines, responses, feeds, landed files."""
 
+import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from newsgrid import schemas
 from newsgrid.functions import scalars as S
 from newsgrid.operators import modelio, textjobs
 from newsgrid.plans.views import as_of
+from newsgrid.session import cut_counted
 from newsgrid.sources import feeds, landed
 from newsgrid.streaming import ingest
 
@@ -178,3 +181,44 @@ def test_a_story_of_many_articles_is_spread(spark):
     made = modelio.two_level_summary(df, lambda texts: [str(max(len(t.split("\n\n")) for t in [x])) for x in texts])
     rows = {r.story_id: r.summary for r in made.collect()}
     assert len(rows) == 5001 and rows[1] == "2"  # 150 batches of 100, then two, then one
+
+
+def _page_files(folder):
+    """Two good pages, one cut off in its compressed bytes, one without the list, one that is not JSON, an empty one."""
+    page = lambda i: json.dumps({"news": [{"url": f"https://a.com/{i}", "title": f"Title {i}", "text": "t" * 30}]}).encode()
+    (folder / "page-1.json").write_bytes(page(1))
+    (folder / "page-2.json.gz").write_bytes(gzip.compress(page(2) + random.Random(1).randbytes(5000))[:-2000])
+    (folder / "page-3.json").write_bytes(b'{"items": []}')
+    (folder / "page-4.json").write_bytes(b"no json")
+    (folder / "page-5.json").write_bytes(b"")
+    (folder / "page-6.json").write_bytes(page(6))
+
+
+def test_files_with_faults_become_errors(spark, tmp_path):
+    _page_files(tmp_path)
+    with pytest.raises(Exception):
+        landed.read_landed(spark, str(tmp_path)).collect()
+    pages, errors = landed.read_tolerant(spark, "worldnews", str(tmp_path))
+    rows = landed.worldnews(pages, as_of()).collect()
+    assert sorted((r.url, r.seq // landed.POSITIONS) for r in rows) == [("https://a.com/1", 0), ("https://a.com/6", 4)]
+    got = {r.place.rsplit("/", 1)[1]: (r.source_api, r.error) for r in errors.collect()}
+    none = ("worldnews", "no list of records")
+    assert got == {"page-2.json.gz": ("worldnews", "unreadable"), "page-3.json": none, "page-4.json": none}
+    pages, errors = landed.read_tolerant(spark, "webzio", str(tmp_path / "missing"))
+    assert pages.count() == 0 and [(r.source_api, r.place) for r in errors.collect()] == [("webzio", str(tmp_path / "missing"))]
+
+
+def test_a_source_that_fails_while_it_is_read_stops_no_other(spark):
+    good = spark.range(3).select(col("id").alias("seq"))
+    bad = good.select(F.when(col("seq") < 2, col("seq")).otherwise(F.raise_error(F.lit("lost"))).alias("seq"))
+    rows, errors = landed.isolated(spark, {"one": lambda: good, "two": lambda: bad, "three": lambda: good.select("none")}, good.schema)
+    assert {n: f.count() for n, f in rows.items()} == {"one": 3, "two": 0, "three": 0}
+    assert sorted((r.source_api, r.place) for r in errors.collect()) == [("three", None), ("two", None)]
+
+
+def test_rows_are_counted_while_they_are_written(spark):
+    for n in (0, 7):
+        rows, seen = cut_counted(spark.range(n), rows=F.count(F.lit(1)), even=F.count_if(col("id") % 2 == 0))
+        assert seen == {"rows": n, "even": (n + 1) // 2} and rows.count() == n
+    none, seen = cut_counted(spark.createDataFrame([], "id long").filter("id > 3"), rows=F.count(F.lit(1)))
+    assert seen == {"rows": 0} and none.columns == ["id"]
