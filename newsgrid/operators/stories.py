@@ -156,9 +156,13 @@ def importance(as_of: Column) -> Column:
 
 def score_stories(stories: DataFrame, articles: DataFrame, as_of: Column) -> DataFrame:
     """Active stories with ``importance_score`` and ``representative_article_id``."""
+    return scored(stories, article_signals(articles, as_of), as_of)
+
+
+def scored(stories: DataFrame, signals: DataFrame, as_of: Column) -> DataFrame:
+    """Active stories with the scores that follow from the signals of their articles."""
     active = stories.filter(col("status") == "active").drop("importance_score", "representative_article_id")
-    signals = article_signals(articles, as_of).withColumnRenamed("story_id", "id")
-    return active.join(signals, "id", "left").withColumns({
+    return active.join(signals.withColumnRenamed("story_id", "id"), "id", "left").withColumns({
         "importance_score": importance(as_of),
         "representative_article_id": -col("rep.neg"),
     }).drop("best_priority", "domains", "recent", "avg_desc", "scrape_rate", "rep")

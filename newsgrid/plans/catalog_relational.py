@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, textjobs, timeline
+from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, storystate, textjobs, timeline
+from ..session import cut
 from ..sources import feeds, landed, tables
 from . import check_sql as C
 from .catalog_scans import PAGES, _SOURCES, _backfill, _BACKFILL, _ALL_SOURCES, _WHOLE_SOURCES, source_pages
@@ -349,9 +350,23 @@ def _(v: Views):
     return v.stories.filter("status = 'active'").drop("importance_score").join(signals, "id").select("id", stories.importance(as_of()).alias("importance_score"))
 
 
-@query("agg_12_score_active_stories", f"""{with_views('stories')}, {_importance_sql()}
+_SCORED = f"""{with_views('stories')}, {_importance_sql()}
 SELECT sc.id, {C.r('sc.importance_score')} AS importance_score, r.id AS representative_article_id FROM (SELECT id, CASE WHEN id IN (SELECT story_id FROM sig) THEN importance_score END AS importance_score FROM sc) sc
-LEFT JOIN (SELECT story_id, id, row_number() OVER (PARTITION BY story_id ORDER BY rs DESC, id) AS rn FROM rep) r ON r.story_id = sc.id AND r.rn = 1""")
+LEFT JOIN (SELECT story_id, id, row_number() OVER (PARTITION BY story_id ORDER BY rs DESC, id) AS rn FROM rep) r ON r.story_id = sc.id AND r.rn = 1"""
+
+
+@query("agg_12_score_from_state", _SCORED)
+def _(v: Views):
+    """Three runs at three times, each with its share of the articles and the state of the runs before."""
+    known = v.spark.createDataFrame([], storystate.SCHEMA)
+    articles = v.articles.withColumn("embedding", F.lit(None).cast("array<double>"))
+    for part, hours in enumerate((12, 5, 0)):
+        clock = as_of() - F.expr(f"INTERVAL {hours} HOURS")
+        known = cut(storystate.merge(storystate.aged(known, clock), storystate.parts(articles.filter(col("id") % 3 == part), clock)))
+    return storystate.score_stories(v.stories, known, as_of()).select("id", "importance_score", "representative_article_id")
+
+
+@query("agg_12_score_active_stories", _SCORED)
 def _(v: Views):
     return stories.score_stories(v.stories, v.articles, as_of()).select("id", "importance_score", "representative_article_id")
 

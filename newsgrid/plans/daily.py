@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .. import config, schemas
 from ..functions import scalars as S
-from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, textjobs
+from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, storystate, textjobs
 from ..session import cut, cut_counted
 from ..sources import landed, tables
 from ..sources.snapshots import Commit, Store
@@ -44,6 +44,7 @@ STORY = T.StructType([T.StructField(n, t) for n, t in (
     ("source_count", T.LongType()), ("representative_article_id", T.LongType()), ("day", T.DateType()))])
 BRIEF = T.StructType([T.StructField(n, t) for n, t in (
     ("article_ids", T.ArrayType(T.LongType())), ("story_ids", T.ArrayType(T.LongType())), ("user_id", T.LongType()), ("brief_date", T.DateType()))])
+STATE_BUCKETS = 64  # folders of the story state, by story
 SOURCE_ERRORS = "source_api string, place string, error string, created_at timestamp, run string"
 REJECTION_LOG = T.StructType([*schemas.REJECTION.fields, T.StructField("day", T.DateType())])
 
@@ -202,7 +203,8 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     grown = _grow_stories(old, born, fresh, matched, evicted, everything, as_of)
     affected = joined.unionByName(born.select("id"))
     grown = cut(stories.refresh_metadata(grown, everything, affected, as_of))
-    scores = stories.score_stories(grown, everything, as_of).select("id", "importance_score", "representative_article_id")
+    known = cut(storystate.merge(storystate.aged(_story_state(state, stored, as_of), as_of), storystate.parts(fresh, as_of)))
+    scores = storystate.score_stories(grown, known, as_of).select("id", "importance_score", "representative_article_id")
     ranked = cut(tables.update_columns(grown, scores, "id", ["importance_score", "representative_article_id"]).select(*STORY.names))
 
     # -- brief and summaries
@@ -224,6 +226,7 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     state.append(_stored_shape(tables.update_columns(fresh, summaries, "id", ["summary"])), "articles", "day")
     if not late.isEmpty():
         state.upsert(late, "articles", ["id"], "day")
+    state.replace(known.withColumn("bucket", F.pmod("story_id", F.lit(STATE_BUCKETS))), "story_state", "bucket")
     if not ranked.isEmpty():
         state.upsert(ranked, "stories", ["id"], "day")
     if count["articles_stored"]:
@@ -233,6 +236,13 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     return run
 
 
+def _story_state(state: Commit, stored: DataFrame, as_of: Column) -> DataFrame:
+    """What earlier runs know of their stories; from the articles themselves where no run has kept it yet."""
+    if "story_state" in state.tables:
+        return state.read("story_state", storystate.SCHEMA)
+    return storystate.parts(stored, as_of)
+
+
 def _normal_schema() -> T.StructType:
     return T.StructType([T.StructField("seq", T.LongType()), *schemas.ARTICLE.fields])
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from newsgrid.operators import stories, storystate
 from newsgrid.plans import catalog_scans, daily
 from newsgrid.sources.snapshots import Store
 
@@ -68,6 +69,14 @@ def test_faults_of_sources_are_logged_and_the_run_goes_on(spark, views, tmp_path
     assert Store(spark, clean).read("source_errors", daily.SOURCE_ERRORS).count() == 0
 
 
+def test_story_state_equals_all_articles(spark, runs):
+    root, as_of = runs[0], F.lit("2024-01-15 12:00:00").cast("timestamp")
+    articles, known = Store(spark, root).read("articles"), Store(spark, root).read("story_state").drop("bucket")
+    found = storystate.signals(known, as_of)
+    expected = stories.article_signals(articles, as_of).select(found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and expected.count()
+
+
 def test_state_is_unique(spark, runs):
     root, first, second = runs
     articles = Store(spark, root).read("articles")
