@@ -28,8 +28,10 @@ HEAD_LEVELS = 8
 #: Blocks that one task orders: a source is ordered in ranges of its random keys.
 RANGE_BLOCKS = 4096
 SEED = 20240115
-#: Totals above this are split by the normal approximation, since exact draws need smaller numbers.
-EXACT_BELOW = 10**9
+#: The random generator's own draws end at this total; above it :func:`hypergeometric` lists the chances. Both follow the same law.
+GENERATOR_BELOW = 10**9
+#: Deviations on each side of the mode that are listed. What lies beyond has less chance than a double can tell from zero.
+LISTED_DEVIATIONS = 12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -88,6 +90,28 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` from ``good`` and ``bad`` are good, for totals of any size.
+
+    The chances around the mode follow from the ratios of neighbours, so nothing of the size of the total is computed, and one
+    uniform number picks among them. The list grows with the square root of the total: 6 million numbers at 10^12."""
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    total = good + bad
+    if total < GENERATOR_BELOW:
+        return int(rng.hypergeometric(good, bad, draws))
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    share = good / total
+    reach = int(LISTED_DEVIATIONS * np.sqrt(draws * share * (1 - share) * (total - draws) / (total - 1))) + 50
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.int64)
+    step = np.log((good - k) / (k + 1) * ((draws - k) / (bad - draws + k + 1)))  # from k to k + 1
+    logs = np.concatenate([[0.0], np.cumsum(step)])
+    chances = np.cumsum(np.exp(logs - logs[mode - first]))
+    return first + int(np.searchsorted(chances, rng.random() * chances[-1], side="right"))
+
+
 def split_quota(quota: np.ndarray, left: int, key: tuple[int, ...]) -> np.ndarray:
     """How many of each source's draws go left, when ``left`` of all do: a multivariate-hypergeometric
     draw that depends on ``key`` alone."""
@@ -95,16 +119,14 @@ def split_quota(quota: np.ndarray, left: int, key: tuple[int, ...]) -> np.ndarra
     rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([SEED, *key])))
     if left in (0, total):
         return quota * (left == total)
-    if total < EXACT_BELOW:
+    if total < GENERATOR_BELOW:
         return rng.multivariate_hypergeometric(quota, left, method="marginals")
     out = np.zeros(len(quota), np.int64)
     rest, need = total, left
     for i, q in enumerate(quota.tolist()):  # one source after the other, from what is left
-        if rest == 0 or need == 0:
+        if need == 0:
             break
-        mean = need * q / rest
-        deviation = np.sqrt(max(0.0, mean * (1 - q / rest) * (rest - need) / max(1, rest - 1)))
-        out[i] = int(np.clip(round(mean + deviation * rng.standard_normal()), max(0, need - (rest - q)), min(q, need)))
+        out[i] = hypergeometric(rng, q, rest - q, need)
         rest, need = rest - q, need - int(out[i])
     return out
 
@@ -206,10 +228,11 @@ def mix_blocks(rows: DataFrame, goal: DataFrame, block_words: int = BLOCK_WORDS,
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
         block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, text, source; other columns are not read).
+    """(doc_id, size, source_size, target, taken, first_shard, last_shard) for every row of ``docs`` (doc_id, text, source; other columns are not read).
 
     ``taken`` counts the words of the row's blocks in the mix, repeats included; it never exceeds ``most`` times the size, as each
-    pass takes a block once. Null and empty texts have size and taken 0. The null source is a source of its own, ordered last. Repeated
+    pass takes a block once. The shards are the lowest and the highest output shard that hold a block of the row, null where none
+    does. Null and empty texts have size and taken 0. The null source is a source of its own, ordered last. Repeated
     rows and missing ids take part like others. An empty table gives no rows.
     """
     sized = cut(sizes(docs))
@@ -219,6 +242,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     copies = W.partitionBy("doc_id", "source_no", "size").orderBy("source_no")
     rows = cut(named.select("doc_id", "source_no", "size", F.row_number().over(copies).alias("copy")))
     drop_cut(sized)
-    taken = mix_blocks(rows, goal, block_words, most, shard_blocks).groupBy(*KEY).agg(F.sum("words").alias("taken"))
+    taken = mix_blocks(rows, goal, block_words, most, shard_blocks).groupBy(*KEY).agg(
+        F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     return rows.join(taken, KEY, "left").join(goal, "source_no").select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")

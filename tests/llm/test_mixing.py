@@ -1,5 +1,6 @@
 """Targets against a plain water filling, and what the splitting tree promises."""
 
+import math
 import re
 
 import numpy as np
@@ -87,3 +88,52 @@ def test_splits_are_hypergeometric():
     assert np.allclose(draws.var(axis=0), left * share * (1 - share) * 750 / 999, rtol=0.3)
     huge = mixing.split_quota(quota * 10**7, left * 10**7, (1,))
     assert huge.sum() == left * 10**7 and (huge <= quota * 10**7).all()
+
+
+@pytest.mark.parametrize("good, bad, draws", [(300, 700, 250), (5, 995, 500), (900, 3, 200), (40, 60, 99)])
+def test_listed_chances_are_the_exact_ones(monkeypatch, good, bad, draws):
+    """With the generator switched off, small draws have the chances of exact whole-number arithmetic."""
+    monkeypatch.setattr(mixing, "GENERATOR_BELOW", 0)
+    rng = np.random.default_rng(3)
+    n = 4000
+    seen = np.bincount([mixing.hypergeometric(rng, good, bad, draws) for _ in range(n)], minlength=good + 1)
+    chance = np.array([math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) if k <= draws else 0 for k in range(good + 1)])
+    assert seen[chance == 0].sum() == 0
+    assert np.abs(np.cumsum(seen) / n - np.cumsum(chance)).max() < 1.95 / np.sqrt(n)  # Kolmogorov's limit at one in a thousand
+
+
+def test_huge_splits_keep_mean_and_spread():
+    good, bad, draws = 3 * 10**11, 7 * 10**11, 4 * 10**11
+    got = np.array([mixing.hypergeometric(np.random.default_rng(i), good, bad, draws) for i in range(60)], float)
+    total = good + bad
+    mean, deviation = draws * good / total, np.sqrt(draws * 0.3 * 0.7 * (total - draws) / (total - 1))
+    assert abs(got.mean() - mean) < 4 * deviation / np.sqrt(60) and 0.6 < got.std() / deviation < 1.4
+
+
+def test_shards_of_documents_follow_the_tree(spark, documents):
+    """The lowest and highest shard of each document against a plain walk down the tree."""
+    rng = np.random.default_rng(5)
+    docs = documents([(i, " ".join("w" * int(n)), "en", s) for i, (n, s) in enumerate(zip(rng.integers(1, 400, 60), rng.choice(["a", "b", "c"], 60).tolist()))])
+    sized = mixing.sizes(docs)
+    goal = mixing.targets(sized)
+    rows = sized.join(goal.select("source", "source_no"), "source").selectExpr("doc_id", "source_no", "size", "1 AS copy")
+    drawn = mixing.draw(rows, goal, 16).collect()
+    quota = np.bincount([r.source_no for r in drawn]).astype(np.int64)
+    shards = -(-int(quota.sum()) // 8)
+    where = {}
+
+    def walk(low, high, quota, start):
+        if high - low == 1:
+            where.update({(s, p): low for s, (a, n) in enumerate(zip(start, quota)) for p in range(a, a + n)})
+            return
+        middle = (low + high) // 2
+        left = mixing.split_quota(quota, int(quota.sum()) * (middle - low) // (high - low), (low, high))
+        walk(low, middle, left, start)
+        walk(middle, high, quota - left, start + left)
+
+    walk(0, shards, quota, np.zeros(len(quota), np.int64))
+    plain = {}
+    for r in drawn:
+        plain.setdefault(r.doc_id, []).append(where[r.source_no, r.position])
+    got = {r.doc_id: (r.first_shard, r.last_shard) for r in mixing.mix(docs, block_words=16, shard_blocks=8).collect() if r.taken}
+    assert got == {i: (min(p), max(p)) for i, p in plain.items()} and shards > 50
