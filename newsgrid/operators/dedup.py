@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scalars as S
 from ..session import cut, drop_cut
-from . import numbering
+from . import keyfilter, numbering
 
 col = F.col
 FRONT = 4
@@ -19,6 +19,7 @@ SPLIT_ROWS = 2000
 #: Trigrams of a key at most, and rows that share a key before it gets another trigram.
 SIGNATURE_DEPTH = 3
 GROUP_LIMIT = 64
+HASH_KEY = ["kind", "hash"]
 
 
 # ---- exact layers -----------------------------------------------------------------------
@@ -33,11 +34,28 @@ def hash_pairs(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def stored_matches(batch: DataFrame, stored: DataFrame, as_of: Column, row_id: str,
-                   days: int = config.DEDUP_LOOKBACK_DAYS) -> DataFrame:
-    """Ids of batch rows that equal a recent stored row in url, domain+title or title."""
-    recent = stored.filter(col("published_at") > as_of - F.expr(f"INTERVAL {days} DAYS"))
-    known = hash_pairs(recent).distinct()
-    return hash_pairs(batch, row_id).join(known, ["kind", "hash"], "left_semi").select(row_id).distinct()
+                   days: int = config.DEDUP_LOOKBACK_DAYS, filters: DataFrame | None = None) -> DataFrame:
+    """Ids of batch rows that equal a recent stored row in url, domain+title or title.
+
+    ``filters`` (:func:`hash_filters` of all stored rows) leaves only those hashes of the batch that may be stored. The history then meets these few,
+    which Spark broadcasts if they are small enough, and only what equals one of them is shuffled."""
+    since = as_of - F.expr(f"INTERVAL {days} DAYS")
+    pairs = hash_pairs(batch, row_id)
+    if filters is not None:
+        pairs = cut(keyfilter.suspects(pairs, filters.filter(col("day") >= F.to_date(since)), HASH_KEY))
+    recent = stored.filter(col("published_at") > since)
+    known = stored_suspects(recent, pairs) if filters is not None else hash_pairs(recent).distinct()
+    return pairs.join(known, HASH_KEY, "left_semi").select(row_id).distinct()
+
+
+def stored_suspects(recent: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(kind, hash) of the stored rows that are among ``pairs``."""
+    return hash_pairs(recent).join(pairs.select(*HASH_KEY).distinct(), HASH_KEY, "left_semi").distinct()
+
+
+def hash_filters(filters: DataFrame, articles: DataFrame) -> DataFrame:
+    """Filters of the published days that ``articles`` touches, with the articles' hashes added."""
+    return keyfilter.added(filters, hash_pairs(articles.withColumn("day", F.to_date("published_at")), "day"), HASH_KEY)
 
 
 def mark_batch_url(df: DataFrame, row_id: str = "batch_seq") -> DataFrame:
@@ -216,7 +234,7 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
 # ---- the chain --------------------------------------------------------------------------
 
 def deduplicate(batch: DataFrame, stored: DataFrame, as_of: Column, row_id: str = "batch_seq",
-                split_rows: int = SPLIT_ROWS) -> DataFrame:
+                split_rows: int = SPLIT_ROWS, filters: DataFrame | None = None) -> DataFrame:
     """Adds ``rule`` (null for unique rows). Each layer sees only survivors of the earlier
     ones: source flag, batch url, exact match with stored rows, fuzzy titles."""
     light = cut(batch.select(
@@ -226,7 +244,7 @@ def deduplicate(batch: DataFrame, stored: DataFrame, as_of: Column, row_id: str
     live = light.filter(~col("flagged"))
     marked = mark_batch_url(live, row_id)
     live = cut(marked.filter("first_of_url").drop("first_of_url"))
-    exact = cut(stored_matches(live, stored, as_of, row_id))
+    exact = cut(stored_matches(live, stored, as_of, row_id, filters=filters))
     live = live.join(exact, row_id, "left_anti")
     alive = fuzzy_survivors(live, row_id, split_rows=split_rows)
     rules = (

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .. import config, schemas
 from ..functions import scalars as S
-from ..operators import brief, dedup, feed, filters, metrics, modelio, numbering, similarity, stories, storystate, textjobs
+from ..operators import brief, dedup, feed, filters, keyfilter, metrics, modelio, numbering, similarity, stories, storystate, textjobs
 from ..session import cut, cut_counted
 from ..sources import landed, tables
 from ..sources.snapshots import Commit, Store
@@ -151,7 +151,8 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     count.update(seen)
     passed = ruled.filter("rule IS NULL").drop("rule")
     stored = state.read("articles", STORED_ARTICLE)
-    judged, seen = cut_counted(dedup.deduplicate(passed, stored, as_of), articles_deduped=F.count_if(col("rule").isNotNull()))
+    known_hashes = _known_hashes(state, stored)
+    judged, seen = cut_counted(dedup.deduplicate(passed, stored, as_of, filters=known_hashes), articles_deduped=F.count_if(col("rule").isNotNull()))
     count.update(seen)
     unique = judged.filter("rule IS NULL").drop("rule")
 
@@ -226,6 +227,10 @@ def _run(spark, pages, state: Commit, as_of, models, scraped, lookups, max_artic
     state.append(_stored_shape(tables.update_columns(fresh, summaries, "id", ["summary"])), "articles", "day")
     if not late.isEmpty():
         state.upsert(late, "articles", ["id"], "day")
+    if "hash_filters" in state.tables:
+        state.replace(dedup.hash_filters(known_hashes, fresh), "hash_filters", "day")
+    else:
+        state.replace(dedup.hash_filters(known_hashes.sparkSession.createDataFrame([], keyfilter.SCHEMA), _stored_shape(fresh).unionByName(stored)), "hash_filters", "day")
     state.replace(known.withColumn("bucket", F.pmod("story_id", F.lit(STATE_BUCKETS))), "story_state", "bucket")
     if not ranked.isEmpty():
         state.upsert(ranked, "stories", ["id"], "day")
@@ -243,6 +248,14 @@ def _story_state(state: Commit, stored: DataFrame, as_of: Column) -> DataFrame:
     return storystate.parts(stored, as_of)
 
 
+def _known_hashes(state: Commit, stored: DataFrame) -> DataFrame:
+    """The filters of stored hashes; from the articles themselves where no run has kept them yet."""
+    none = stored.sparkSession.createDataFrame([], keyfilter.SCHEMA)
+    if "hash_filters" in state.tables:
+        return state.read("hash_filters", none.schema)
+    return cut(dedup.hash_filters(none, stored))
+
+
 def _normal_schema() -> T.StructType:
     return T.StructType([T.StructField("seq", T.LongType()), *schemas.ARTICLE.fields])
 

@@ -54,8 +54,10 @@ def clean_strings(df: DataFrame) -> DataFrame:
 def new_articles(accepted: DataFrame, stored: DataFrame, seq: str = "batch_seq") -> DataFrame:
     """Accepted rows whose url is new, the first of each url in batch order, with ids that
     continue after the stored ones."""
-    first = numbering.mark_first(accepted, ["url"], [], seq, "_first", store=True).filter("_first").drop("_first")
-    fresh = first.join(stored.select("url"), "url", "left_anti")
+    first = cut(numbering.mark_first(accepted, ["url"], [], seq, "_first", store=True).filter("_first").drop("_first"))
+    # The history meets the urls of the batch, so only the rows that equal one of them are shuffled if Spark can broadcast those.
+    known = stored.select("url").join(first.select("url"), "url", "left_semi").distinct()
+    fresh = first.join(known, "url", "left_anti")
     numbered = numbering.dense_number(fresh, seq, "_no", store=True)
     return numbered.withColumn("id", last_id(stored) + col("_no")).drop("_no")
 
