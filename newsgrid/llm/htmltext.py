@@ -11,6 +11,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -46,7 +47,7 @@ CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset("""
 nav navbar navigation menu submenu header masthead footer sidebar side aside ad ads adv advert adverts advertisement adsense banner promo promotion sponsor sponsored
 cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond discussion related recommended
-share sharing social subscribe subscription newsletter signup signin login search breadcrumb breadcrumbs pagination pager widget toolbar tags tagcloud
+share sharing social subscribe subscription teaser teasers newsletter signup signin login search breadcrumb breadcrumbs pagination pager widget toolbar tags tagcloud
 copyright legal disclaimer skip complementary contentinfo
 """.split())
 
@@ -54,10 +55,16 @@ copyright legal disclaimer skip complementary contentinfo
 AMBIGUOUS_WORDS = frozenset("header masthead side sidebar skip search tags share sharing social legal notice notices banner widget submenu menu nav discussion".split())
 CONTENT_WORDS = frozenset("content article story entry post main body text page wrapper container layout".split())
 
+#: Of a class or id, words after one of these say what the element has beside it, not what it is.
+BESIDE_WORDS = frozenset("has with no without".split())
+
+# A quote opens a value only right after the equals sign; any other value ends at white space or the end of the tag.
+_ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT_TAGS})(?=[\s/>])(?P<silent_attrs>(?:"[^"]*"|'[^']*'|[^"'>])*)>"""
-    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT_TAGS})(?=[\s/>])(?P<silent_attrs>{_ATTRS})>"""
+    rf"""|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>{_ATTRS})>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)""",
     re.S | re.I)
+_SLASH_OF_VALUE = re.compile(r"""=\s*[^\s"'>][^\s>]*/$""")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = re.compile(r"[.!?…。:;,\"'”»)]\W*$")
@@ -67,7 +74,7 @@ def _ends(html: str, name: str) -> dict[int, int]:
     """Where each element of a name that has an end tag starts, and where that tag ends. An end tag belongs to the last open one."""
     out: dict[int, int] = {}
     opened: list[int] = []
-    for m in re.finditer(rf"""<(/?){name}(?=[\s/>])((?:"[^"]*"|'[^']*'|[^"'>])*)>""", html, re.I):
+    for m in re.finditer(rf"""<(/?){name}(?=[\s/>])({_ATTRS})>""", html, re.I):
         if not m[1]:
             if name not in SLASHED_TAGS or not m[2].endswith("/"):
                 opened.append(m.start())
@@ -92,10 +99,14 @@ def _silent_end(html: str, m: re.Match, ends: dict[str, dict[int, int]]) -> int:
 class Block:
     """One run of text between block tags, with what the classifier looks at."""
 
-    __slots__ = ("text", "tag", "parent", "state", "linked")
+    __slots__ = ("text", "tag", "parent", "state", "linked", "body", "marks")
+
+    def __init__(self, text: str, tag: str, parent: int, state: str, linked: int, body: int = 0, marks: tuple[int, ...] = ()):
+        self.text, self.tag, self.parent, self.state, self.linked, self.body, self.marks = text, tag, parent, state, linked, body, marks
 
-    def __init__(self, text: str, tag: str, parent: int, state: str, linked: int):
-        self.text, self.tag, self.parent, self.state, self.linked = text, tag, parent, state, linked
+    def runs(self) -> bool:
+        """Whether it looks like running text: ten words or more, few of them in links."""
+        return self.text.count(" ") >= 9 and self.linked <= 0.25 * len(self.text)
 
     def traits(self) -> tuple[str, ...]:
         words = self.text.count(" ") + 1
@@ -112,7 +123,11 @@ class Block:
 def _role(name: str, attrs: str, within: str) -> str | None:
     """What an element says about its content: 'marked' as boilerplate, 'body' of the article, or nothing."""
     if attrs and name not in ("body", "html", "main"):
-        words = {w.lower() for m in _MARKS.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
+        words: set[str] = set()
+        for m in _MARKS.finditer(attrs):
+            for token in (m[1] or m[2] or m[3] or "").split():
+                own = [w.lower() for w in _WORD.findall(token)]
+                words.update(own[:next((i for i, w in enumerate(own) if w in BESIDE_WORDS), len(own))])
         found = words & BOILERPLATE_WORDS
         if found and (words & CONTENT_WORDS or within == "body" and found <= {"header", "masthead"}):
             found -= AMBIGUOUS_WORDS
@@ -125,17 +140,88 @@ def _role(name: str, attrs: str, within: str) -> str | None:
     return None
 
 
+@dataclass
+class Parsed:
+    """The blocks of a page and what stands in it: whether an article or main is outside marked elements (None: there is none at all), the elements
+    that open a body as (name, the body around it), and of the marked elements those that are plain forms or hold a page heading."""
+
+    blocks: list[Block]
+    outside: bool | None
+    bodies: dict[int, tuple[str, int]]
+    plain_forms: set[int]
+    headed: set[int]
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Scripts, styles, comments and form fields have no text. An element that is not closed ends
     with its parent, and a boilerplate element also where an article opens. An article inside a marked element is marked too if the page
-    has another article or main outside such elements; else it is the page's article."""
-    out, outside = _blocks(html, True)
-    return out if outside is not False else _blocks(html, False)[0]
-
-
-def _blocks(html: str, inherit: bool) -> tuple[list[Block], bool | None]:
-    """The blocks, and whether an article or main stands outside marked elements, None if there is none at all. With ``inherit``, articles inside
-    marked elements are marked, and only marked elements without an end tag end where an article opens."""
+    has another article or main outside such elements; else it is the page's article. A marked element around the page loses its mark, and of
+    several articles, short ones full of links and those beside the main element are outside."""
+    page = _blocks(html, True)
+    if page.outside is False:
+        page = _blocks(html, False)
+    if page.outside is None and (wrappers := _wrappers(page)):
+        page = _blocks(html, True, wrappers)
+    _settle_bodies(page)
+    return page.blocks
+
+
+def _wrappers(page: Parsed) -> frozenset[int]:
+    """Marked elements that stand around the page's text: forms without a marking name and elements with a page heading that hold more than half of the running
+    text, when next to nothing stands outside marked elements."""
+    running = sum(len(b.text) for b in page.blocks if b.runs())
+    plain = sum(len(b.text) for b in page.blocks if b.state == "plain")
+    held: dict[int, int] = {}
+    for b in page.blocks:
+        if b.runs():
+            for e in b.marks:
+                held[e] = held.get(e, 0) + len(b.text)
+    return frozenset(e for e, n in held.items() if e in page.plain_forms | page.headed and 2 * n > running and plain <= 0.1 * n)
+
+
+def _settle_bodies(page: Parsed) -> None:
+    """Decide between several articles. Beside a main element only a longer article counts; of sibling articles, those with less than a quarter of the
+    longest one's text are teasers if a fifth of it is links or nothing holds them."""
+    if not page.bodies:
+        return
+    size, linked = dict.fromkeys(page.bodies, 0), dict.fromkeys(page.bodies, 0)
+    for b in page.blocks:
+        if b.body and b.state == "body":
+            size[b.body] += len(b.text)
+            linked[b.body] += b.linked
+    for e in sorted(page.bodies, reverse=True):  # inner elements have higher numbers
+        around = page.bodies[e][1]
+        if around:
+            size[around] += size[e]
+            linked[around] += linked[e]
+    siblings: dict[int, list[int]] = {}
+    for e, (_, around) in page.bodies.items():
+        siblings.setdefault(around, []).append(e)
+    out: set[int] = set()
+    for around, own in siblings.items():
+        longest = max(size[e] for e in own)
+        mains = [size[e] for e in own if page.bodies[e][0] == "main"]
+        for e in own:
+            if page.bodies[e][0] == "main":
+                continue
+            short = 4 * size[e] < longest and (not around or 5 * linked[e] >= size[e])
+            if short or mains and size[e] <= max(mains):
+                out.add(e)
+    for e in sorted(page.bodies):
+        if page.bodies[e][1] in out:
+            out.add(e)
+    for b in page.blocks:
+        if b.body in out and b.state == "body":
+            b.state = "outside"
+
+
+def _blocks(html: str, inherit: bool, wrappers: frozenset[int] = frozenset()) -> Parsed:
+    """Parse a page. With ``inherit``, articles inside marked elements are marked, and only marked elements without an end tag end where an
+    article opens. The elements with the numbers of ``wrappers`` have no mark."""
+    bodies: dict[int, tuple[str, int]] = {}
+    plain_forms: set[int] = set()
+    headed: set[int] = set()
+    inside: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, ())}  # the body and the marks around each open element
     out: list[Block] = []
     outside: bool | None = None
     stack: list[tuple[str, int, str, int]] = [("", 0, "plain", 0)]  # name, number, state, place in the page
@@ -150,7 +236,9 @@ def _blocks(html: str, inherit: bool) -> tuple[list[Block], bool | None]:
             if text:
                 holder = next((s for s in reversed(stack) if s[0] in BLOCK_TAGS), stack[0])
                 place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] is holder), 0)
-                out.append(Block(text, holder[0] or "other", stack[max(0, place - 1)][1], holder[2], min(linked, len(text))))
+                out.append(Block(text, holder[0] or "other", stack[max(0, place - 1)][1], holder[2], min(linked, len(text)), *inside[holder[1]]))
+                if holder[0] == "h1":
+                    headed.update(inside[holder[1]][1])
             pieces.clear()
         linked = 0
 
@@ -201,17 +289,27 @@ def _blocks(html: str, inherit: bool) -> tuple[list[Block], bool | None]:
                 held = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCK_TAGS), 0)
                 if held and stack[held][0] == "p":
                     del stack[held:]
-        if name in VOID_TAGS or m["attrs"].endswith("/"):
+        if name in VOID_TAGS or m["attrs"].endswith("/") and not _SLASH_OF_VALUE.search(m["attrs"]) and not closed(name, 0, "", m.start()):
             continue
         number += 1
         within = stack[-1][2]
         role = _role(name, m["attrs"], within)
+        if role == "marked" and number in wrappers:
+            role = None
+        if role == "marked" and name == "form" and _role("div", m["attrs"], within) is None:
+            plain_forms.add(number)
         state = role or within
         if role == "body" and within == "marked":
             state = "marked" if inherit else "body"
         if role == "body":
             outside = outside or within != "marked"
         seen_body |= state == "body"
+        body, marks = inside[stack[-1][1]]
+        if role == "body" and state == "body":
+            bodies[number] = name, body
+            body = number
+        # Only the outermost marks are kept: a wrapper is one of them, and deep nests stay small.
+        inside[number] = body, (*marks, number) if role == "marked" and len(marks) < 4 else marks
         stack.append((name, number, state, m.start()))
         if name == "a":
             links += 1
@@ -221,7 +319,7 @@ def _blocks(html: str, inherit: bool) -> tuple[list[Block], bool | None]:
         for b in out:
             if b.state == "plain":
                 b.state = "outside"
-    return out, outside
+    return Parsed(out, outside, bodies, plain_forms, headed)
 
 
 def weak_label(block: Block) -> int | None:
@@ -231,38 +329,82 @@ def weak_label(block: Block) -> int | None:
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are content. ``gain[i]`` is how much cheaper content is than boilerplate for node i, below zero if dearer; an edge costs its
-    weight if its ends differ. The source's capacity is a positive gain, the sink's a negative one; shortest augmenting
-    paths are saturated until none is left, and content is what the source still reaches."""
+    weight if its ends differ. Content is what the source still reaches when the flow is largest.
+
+    A node whose gain exceeds all its edges has its label in every cheapest labelling; it is fixed, and its edges become gains of its neighbours, until
+    no such node is left. The rest goes through the flow, a connected part at a time."""
     n = len(gain)
+    gain = list(gain)
     room: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in edges:
         room[a][b] = room[a].get(b, 0.0) + w
         room[b][a] = room[b].get(a, 0.0) + w
-    supply, demand = [max(0.0, g) for g in gain], [max(0.0, -g) for g in gain]
+    tied = [sum(r.values()) for r in room]
+    label: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        i = queue.popleft()
+        if label[i] is not None or abs(gain[i]) <= tied[i] + 1e-9:
+            continue
+        label[i] = gain[i] > 0
+        for j, w in room[i].items():
+            if label[j] is None:
+                gain[j] += w if label[i] else -w
+                tied[j] -= w
+                del room[j][i]
+                queue.append(j)
+    for start in range(n):
+        if label[start] is None:
+            part, seen = [start], {start}
+            for i in part:
+                for j in room[i]:
+                    if j not in seen and label[j] is None:
+                        seen.add(j)
+                        part.append(j)
+            reached = _largest_flow(part, gain, room)
+            for i in part:
+                label[i] = i in reached
+    return [bool(x) for x in label]
+
+
+def _largest_flow(part: list[int], gain: list[float], room: list[dict[int, float]]) -> dict[int, int]:
+    """Saturate the flow of one part by level graphs and blocking flows; returns what the source reaches at the end, with its level. The source's
+    capacity is a positive gain, the sink's a negative one. ``room`` is used up."""
+    supply, demand = {i: max(0.0, gain[i]) for i in part}, {i: max(0.0, -gain[i]) for i in part}
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if supply[i] > 1e-9}
-        queue, end = deque(came), -1
+        level = {i: 0 for i in part if supply[i] > 1e-9}
+        sources, queue, open_end = list(level), deque(level), False
         while queue:
             i = queue.popleft()
-            if demand[i] > 1e-9:
-                end = i
-                break
+            open_end = open_end or demand[i] > 1e-9
             for j, w in room[i].items():
-                if w > 1e-9 and j not in came:
-                    came[j] = i
+                if w > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path, flow = [end], demand[end]
-        while came[path[-1]] >= 0:
-            flow = min(flow, room[came[path[-1]]][path[-1]])
-            path.append(came[path[-1]])
-        flow = min(flow, supply[path[-1]])
-        supply[path[-1]] -= flow
-        demand[end] -= flow
-        for j, i in zip(path, path[1:]):
-            room[i][j] -= flow
-            room[j][i] += flow
+        if not open_end:
+            return level
+        arcs = {i: list(room[i]) for i in level}
+        for s in sources:
+            path = [s]
+            while path and supply[s] > 1e-9:
+                i = path[-1]
+                if demand[i] > 1e-9:
+                    flow = min(supply[s], demand[i], *(room[a][b] for a, b in zip(path, path[1:])))
+                    supply[s] -= flow
+                    demand[i] -= flow
+                    for a, b in zip(path, path[1:]):
+                        room[a][b] -= flow
+                        room[b][a] += flow
+                    path = [s]
+                    continue
+                while arcs[i] and not (room[i][arcs[i][-1]] > 1e-9 and level.get(arcs[i][-1]) == level[i] + 1):
+                    arcs[i].pop()
+                if arcs[i]:
+                    path.append(arcs[i][-1])
+                else:
+                    path.pop()
+                    if path:
+                        arcs[path[-1]].pop()
 
 
 def label_blocks(page: list[Block], weights: dict[str, float]) -> list[bool]:

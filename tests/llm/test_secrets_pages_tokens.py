@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -107,6 +108,55 @@ def test_articles_inside_marked_elements():
     assert text("<aside><article><p>Card of a sidebar.</p></article></aside><nav><a>Menu</a>" + main) == ["The main text of the page."]
 
 
+def kept(html):
+    page = htmltext.blocks(html)
+    return [b.text for b, keep in zip(page, htmltext.label_blocks(page, htmltext.PLAIN_WEIGHTS)) if keep]
+
+
+LONG = "The council met on Monday and after a long debate agreed to repair the old bridge over the river."
+
+
+def test_quotes_and_slashes_of_attributes():
+    assert [b.text for b in htmltext.blocks("<p data-x=it's>Hello</p><p>it's fine</p><p>more</p>")] == ["Hello", "it's fine", "more"]
+    assert [b.text for b in htmltext.blocks("""<p a = "x>y" b='>' "c>one</p><p d=">two</p>""")] == ["one", "two"]
+    assert kept(f"<div>{LONG}</div><article data-u=/x/><p>Story {LONG}</p></article><p>Also {LONG}</p>") == [f"Story {LONG}"]
+    assert kept(f"<div class=ad /><article><p>{LONG}</p></article>") == [LONG]
+    assert [b.text for b in htmltext.blocks("<p " + "a='1' b=\"2\" " * 5000)] == []
+
+
+def test_wrappers_are_no_boilerplate():
+    inner = f"<h1>Bridge</h1><p>{LONG}</p><p>{LONG}</p><aside><p>Read also {LONG}</p></aside>"
+    for before, after in (("<form id=aspnetForm>", "</form>"), ("<div class=has-sidebar>", "</div>"), ("<div class='post-with-comments'>", "</div>"),
+                          ("<body><div class='page no-sidebar'>", "</div></body>"), ("<div class=widget><form>", "</form></div>")):
+        assert kept(before + inner + after)[-2:] == [LONG, LONG], before
+        assert not any("Read also" in t for t in kept(before + inner + after))
+    comments = f"<div id=comments><p>First {LONG}</p><p>Second {LONG}</p></div>"
+    assert kept(f"<p>{LONG}</p>{comments}") == [LONG]
+    assert kept(f"<article><p>{LONG}</p></article><form><p>Subscribe {LONG}</p></form>") == [LONG]
+
+
+def test_teasers_beside_the_article():
+    story = f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article>"
+    assert kept(story + "<article class=teaser><p>Another text of the site that you may like to read</p></article>") == [LONG] * 3
+    assert kept(story + "<article><p><a href=x>Another text</a></p></article>") == [LONG] * 3
+    assert kept(f"<main><p>{LONG}</p></main><article><p>A short teaser of another page.</p></article>") == [LONG]
+    assert kept(f"<main>{story}<article><a href=x>More of this</a> today</article></main>") == [LONG] * 3
+    assert kept(story + story) == [LONG] * 6  # articles alike all stay
+    assert kept(f"<main>{story}<article><p>An entry of ten words without any link in it, right.</p></article></main>")[:3] == [LONG] * 3
+
+
+def test_long_pages_are_cut_in_linear_time():
+    rng = np.random.default_rng(3)
+    n = 100_000
+    began = time.monotonic()
+    for gain in (rng.normal(0, 2, n), rng.normal(0, 0.3, n), np.where(np.arange(n) % 40 < 20, 0.05, -0.05)):
+        edges = [(i, i + 1, 0.8) for i in range(n - 1)] + [(i, i + 3, 0.4) for i in range(0, n - 3, 2)]
+        assert len(htmltext.min_cut(gain.tolist(), edges)) == n
+    page = htmltext.blocks("".join(f"<div><p>{'word ' * int(k)}</p><li><a>link</a></li></div>" for k in rng.integers(1, 30, n // 2)))
+    assert len(htmltext.label_blocks(page, htmltext.PLAIN_WEIGHTS)) == n
+    assert time.monotonic() - began < 120
+
+
 def test_cut_is_minimal():
     rng = np.random.default_rng(1)
     for _ in range(60):
