@@ -51,6 +51,8 @@ _SPACED = re.compile(rb"\b(?:[A-Za-z][ .*_-]){3,}[A-Za-z]\b")
 _SHOUT = re.compile(rb"\b[A-Z]{3,}\b")
 _LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
 _BLANK = b" \t\n\x0b\x0c\r"
+_BLANKS = re.compile(rb"[ \t\n\x0b\x0c\r]")
+_APART = re.compile(rb"[^0-9A-Za-z\x80-\xff@$!|+*_-]+")
 
 
 def _lower(text: bytes) -> bytes:
@@ -62,16 +64,6 @@ def split_words(text: bytes) -> list[bytes]:
     return _lower(text).translate(_WORDS).split()
 
 
-def _around(text: bytes, start: int, end: int) -> tuple[int, int]:
-    """Bounds of the run without white space that holds [start, end), 40 bytes to each side at most."""
-    low, high = start, end
-    while low > 0 and start - low < 40 and text[low - 1] not in _BLANK:
-        low -= 1
-    while high < len(text) and high - end < 40 and text[high] not in _BLANK:
-        high += 1
-    return low, high
-
-
 def _plain(piece: bytes) -> bytes:
     """A disguised word as letters only."""
     return _LETTERS.sub(b"", _lower(piece).translate(_LEET))
@@ -79,13 +71,22 @@ def _plain(piece: bytes) -> bytes:
 
 def _disguised(text: bytes, lexicon: frozenset[bytes]) -> tuple[int, int]:
     """Disguised spellings in a text, and how many of them are words of the lexicon."""
-    pieces, last = [], 0
+    def hit(piece: bytes) -> bool:
+        return _plain(piece) in lexicon or _LETTERS.sub(b"", _lower(piece)) in lexicon
+
+    pieces, last = [], 0  # whole runs without white space; last is the end of the run seen before
     for m in _MIXED.finditer(text):
         if m.start() >= last:
-            low, last = _around(text, m.start(), m.end())
+            low = m.start()
+            while low > last and text[low - 1] not in _BLANK:
+                low -= 1
+            blank = _BLANKS.search(text, m.end())
+            last = blank.start() if blank else len(text)
             pieces.append(text[low:last])
-    pieces += [m[0] for m in _SPACED.finditer(text)]
-    return len(pieces), sum(_plain(p) in lexicon or _LETTERS.sub(b"", _lower(p)) in lexicon for p in pieces)
+    spaced = [m[0] for m in _SPACED.finditer(text)]
+    # In a run, disguised words may also stand apart by signs that stand for no letter.
+    parted = [sum(hit(w) for w in _APART.split(p) if _MIXED.search(w)) for p in pieces]
+    return len(pieces) + len(spaced), sum(n or hit(p) for n, p in zip(parted, pieces)) + sum(map(hit, spaced))
 
 
 def feature_rows(column: pa.Array, learned: frozenset[bytes]) -> np.ndarray:

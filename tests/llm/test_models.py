@@ -153,7 +153,8 @@ def test_features():
 
 def test_disguised_words_side_by_side_and_accented_capitals():
     lexicon = frozenset(w.encode() for w in toxicity.INSULTS)
-    for text, pieces, hidden in [("well-known id1ot", 2, 1), ("you id1ot m0ron", 2, 2), ("id1ot, m0ron l0ser cl0wn.", 4, 4), ("IMB\u00c9C1LE", 1, 1), ("a1b2c3d4", 1, 0)]:
+    for text, pieces, hidden in [("well-known id1ot", 2, 1), ("you id1ot m0ron", 2, 2), ("id1ot, m0ron l0ser cl0wn.", 4, 4), ("IMB\u00c9C1LE", 1, 1), ("a1b2c3d4", 1, 0),
+                                 ("you/id1ot", 1, 1), ("id1ot,m0ron", 1, 2), ("x" * 200 + "/id1ot." + "y-z" * 100, 1, 1), ("well-known/idiot", 1, 0)]:
         assert toxicity._disguised(text.encode(), lexicon) == (pieces, hidden), text
     at = toxicity.NAMES.index
     rows = toxicity.feature_rows(pa.array(["BL\u00d6DMANN", "IMB\u00c9CILE", "ESTÚPIDO \u00c9l", "TÚ idiota", "I\u0130 idiot"]), frozenset())
