@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from newsgrid.operators import stories, storystate
+from newsgrid.operators import dedup, keyfilter, stories, storystate
 from newsgrid.plans import catalog_scans, daily
 from newsgrid.sources.snapshots import Store
 
@@ -77,6 +77,14 @@ def test_story_state_equals_all_articles(spark, runs):
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and expected.count()
 
 
+def test_filters_hold_all_stored_hashes(spark, runs):
+    store = Store(spark, runs[0])
+    pairs = dedup.hash_pairs(store.read("articles").filter("published_at IS NOT NULL"), "id")
+    missed = pairs.join(keyfilter.suspects(pairs, store.read("hash_filters"), dedup.HASH_KEY), ["id", *dedup.HASH_KEY], "left_anti")
+    assert missed.count() == 0 and pairs.count() > 0
+    assert store.read("hash_filters").agg(F.sum("keys")).first()[0] == pairs.count()
+
+
 def test_state_is_unique(spark, runs):
     root, first, second = runs
     articles = Store(spark, root).read("articles")
