@@ -47,17 +47,18 @@ def dense_number(df: DataFrame, id_col: str, out: str, major: list[str] | None =
     )
 
 
-def ordered_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """Number rows 1..n by any composite ``order``, which must tell all rows apart.
+def ordered_number(df: DataFrame, order: list[Column], out: str, key: list[str] | None = None) -> DataFrame:
+    """Number rows 1..n by any composite ``order``, which must tell all rows apart; within each ``key`` (not null), if one is given.
 
     Rows are dealt out in ranges of that order and written with the number of their range; only the table of ranges is summed in one
-    place, and rows are numbered range by range. ``df`` should be narrow: it is written once."""
-    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    within = W.partitionBy("_part").orderBy(*order)
-    return dealt.join(before, "_part").withColumn(out, (F.col("_before") + F.row_number().over(within)).cast("long")).drop("_part", "_before")
+    place, and rows are numbered range by range, also those of a key that fills many ranges. ``df`` should be narrow: it is written once."""
+    key = key or []
+    dealt = cut(df.repartitionByRange(*[F.col(k) for k in key], *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*key, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    within = W.partitionBy(*key, "_part").orderBy(*order)
+    return dealt.join(before, [*key, "_part"]).withColumn(out, (F.col("_before") + F.row_number().over(within)).cast("long")).drop("_part", "_before")
 
 
 def batch_number(df: DataFrame, id_col: str, size: int, out: str = "batch_id",

@@ -15,6 +15,8 @@ col = F.col
 #: Registers of a sketch of distinct values as a power of two, and three times its relative standard error, 1.04 / sqrt(registers).
 SKETCH_BITS = 12
 SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+#: Places of keywords from one article of a story to the next.
+PLACES = 100
 
 
 def source_counts(articles: DataFrame) -> DataFrame:
@@ -53,23 +55,27 @@ def story_keywords(articles: DataFrame, limit: int = 20) -> DataFrame:
     Three to five: the union in order of importance. From six on: keywords that occur at
     least twice, most frequent first.
 
-    The six most important articles per story tell the size class and serve the small
-    stories; lists never hold more. Larger stories are counted per (story, keyword)."""
+    The place of a keyword is the number of its article times PLACES plus its position there, so what stands beyond the first PLACES keywords of an
+    article comes among those of the next ones; at equal places the earlier article goes first. Articles are numbered in ranges of their order. The six
+    most important ones per story tell the size class and serve the small stories; lists never hold more. Larger stories are counted per (story, keyword)."""
     none = F.array().cast("array<string>")
     low = -F.coalesce("importance_score", F.lit(0.0))
     rows = articles.filter(col("story_id").isNotNull()).select(
         "story_id", "id", F.coalesce("api_keywords", none).alias("kws"), low.alias("low"),
         col("importance_score").isNull().alias("missing"))
-    first = numbering.top_per_key(rows, ["story_id"], [col("missing"), col("low"), col("id")], 6)
+    rows = numbering.ordered_number(rows, [col("missing"), col("low"), col("id")], "rank", ["story_id"])
+    first = rows.filter(col("rank") <= 6)
     lists = first.groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("rank", "low", "kws"))).alias("l"))
     best = F.array_min(F.transform("l", lambda x: F.struct(x["low"], x["rank"], x["kws"])))
     n = F.size("l")
-    small = F.when(n <= 2, best["kws"]).otherwise(F.array_distinct(F.flatten("l.kws")))
+    placed = F.sort_array(F.flatten(F.transform("l", lambda x: F.transform(x["kws"], lambda kw, pos: F.struct(
+        _place(x["rank"], pos).alias("place"), x["rank"].alias("rank"), kw.alias("kw"))))))
+    small = F.when(n <= 2, best["kws"]).otherwise(F.array_distinct(F.transform(placed, lambda x: x["kw"])))
     lists = lists.select("story_id", (n > 5).alias("large"), F.when(n <= 5, F.slice(small, 1, limit)).alias("small"))
 
     counts = (
-        rows.select("story_id", F.struct("missing", "low", "id").alias("ord"), F.posexplode("kws").alias("pos", "kw"))
-        .groupBy("story_id", "kw").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "pos")).alias("first"))
+        rows.select("story_id", "rank", F.posexplode("kws").alias("pos", "kw"))
+        .groupBy("story_id", "kw").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(_place(col("rank"), col("pos")).alias("place"), "rank")).alias("first"))
         .filter(col("c") >= 2)
     )
     top = numbering.top_per_key(counts, ["story_id"], [col("c").desc(), col("first")], limit)
@@ -79,6 +85,10 @@ def story_keywords(articles: DataFrame, limit: int = 20) -> DataFrame:
         "story_id", F.when(col("large"), F.coalesce("frequent", none)).otherwise(col("small")).alias("keyword_set"))
 
 
+def _place(rank: Column, pos: Column) -> Column:
+    return rank * PLACES + pos + 1
+
+
 def group_centroids(articles: DataFrame, key: str = "story_id") -> DataFrame:
     """Mean vector and number of vectors per group."""
     rows = articles.filter(col(key).isNotNull() & col("embedding").isNotNull())
