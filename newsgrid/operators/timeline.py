@@ -123,6 +123,12 @@ def _titled(text: Column) -> Column:
     return F.concat(col("title"), before, S.short_date(col("published_at")), after, text)
 
 
+def current_articles(articles: DataFrame) -> DataFrame:
+    """(story_id, article_id): the newest article of every story, of several of that time the smallest id."""
+    newest = F.when(col("published_at").isNotNull(), F.struct("published_at", -col("id")))
+    return articles.filter(col("story_id").isNotNull()).groupBy("story_id").agg(F.max_by("id", newest).alias("article_id"))
+
+
 def chat_context(timeline: DataFrame, current: DataFrame, articles: DataFrame,
                  current_chars: int = config.CHAT_CURRENT_CHARS, shared_chars: int = config.CHAT_SHARED_CHARS) -> DataFrame:
     """(story_id, article_id, context): text of the current article, then the other timeline

@@ -156,7 +156,7 @@ tails AS (SELECT o.story_id, string_agg('CONTEXT — Timeline Article ' || o.no
 SELECT cur.story_id, cur.article_id, concat_ws(chr(10) || chr(10), 'CONTEXT — Current Article (what the user is reading): "' || a.title || '" (' || strftime(a.published_at, '%b %-d, %Y') || ')' || chr(10) || substr({_TEXT}, 1, 2500), t.tail) AS context
 FROM cur JOIN articles a ON a.id = cur.article_id LEFT JOIN tails t ON t.story_id = cur.story_id""")
 def _(v: Views):
-    current = v.articles.filter("story_id IS NOT NULL").groupBy("story_id").agg(F.max_by("id", "published_at").alias("article_id"))
+    current = timeline.current_articles(v.articles)
     pins = current.select("story_id", col("article_id").alias("pinned_id"))
     line = timeline.select_timeline(timeline.daily_candidates(v.embedded(), as_of()), pins)
     return timeline.chat_context(line, current, v.articles)

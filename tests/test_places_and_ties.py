@@ -1,10 +1,10 @@
-"""Keywords beyond the hundredth of a title."""
+"""Keywords beyond the hundredth of a title and articles of the same minute."""
 
 import random
 
 from pyspark.sql import functions as F
 
-from newsgrid.operators import numbering, stories
+from newsgrid.operators import numbering, stories, timeline
 
 
 def keyword_loop(rows, limit=20):
@@ -47,3 +47,11 @@ def test_numbers_of_a_key_that_fills_many_ranges(spark):
         for no, r in enumerate(sorted((r for r in rows if r.k == k), key=lambda r: (r.x, r.id)), 1):
             want[k, r.id] = no
     assert got == want
+
+
+def test_current_article_of_equal_times_is_the_smallest_id(spark):
+    rows = [(1, 7, "2024-01-14 10:00:00"), (1, 49372, "2024-01-14 10:00:00"), (2, 49373, "2024-01-14 10:00:00"), (2, 8, "2024-01-14 10:00:00"),
+            (2, 5, "2024-01-14 09:59:00"), (3, 4, None), (None, 1, "2024-01-14 10:00:00")]
+    df = spark.createDataFrame(rows, "story_id long, id long, t string").withColumn("published_at", F.col("t").cast("timestamp"))
+    for parts in (1, 4):
+        assert {tuple(r) for r in timeline.current_articles(df.repartition(parts)).collect()} == {(1, 7), (2, 8), (3, None)}
