@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scalars as S
 from ..session import cut, drop_cut
-from . import keyfilter, numbering
+from . import keyfilter, numbering, titlegrid
 
 col = F.col
 FRONT = 4
@@ -19,6 +19,8 @@ SPLIT_ROWS = 2000
 #: Trigrams of a key at most, and rows that share a key before it gets another trigram.
 SIGNATURE_DEPTH = 3
 GROUP_LIMIT = 64
+#: Keys of two trigrams a row on average above which rows meet in a grid instead.
+KEYS_PER_ROW = 64
 HASH_KEY = ["kind", "hash"]
 
 
@@ -75,8 +77,8 @@ def prefix_tokens(rows: DataFrame, threshold: float, shared: int = SIGNATURE_DEP
     # Counts are copied to a fixed number of salts, so that the rows of a frequent trigram do not meet to learn its count.
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ordered = (
-        tokens.withColumn("salt", salt).join(freq, ["token", "salt"])
+    ordered = (  # the copies are more than their size on disk tells, so they must not be broadcast
+        tokens.withColumn("salt", salt).join(freq.hint("merge"), ["token", "salt"])
         .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
     )
     n = F.size("t")
@@ -84,7 +86,7 @@ def prefix_tokens(rows: DataFrame, threshold: float, shared: int = SIGNATURE_DEP
     return ordered.select("rid", n.alias("n"), F.slice(col("t.token"), F.lit(1), length).alias("prefix"))
 
 
-def signatures(rows: DataFrame, threshold: float, depth: int = SIGNATURE_DEPTH, limit: int = GROUP_LIMIT) -> DataFrame:
+def signatures(rows: DataFrame, threshold: float, depth: int = SIGNATURE_DEPTH, limit: int = GROUP_LIMIT, prefixes: DataFrame | None = None) -> DataFrame:
     """(rid, n, token): keys of which any two sets with Jaccard above ``threshold`` share one.
 
     A key is one rare trigram as long as few rows have it; the rows of a larger group are told apart by the next trigram of their
@@ -92,7 +94,7 @@ def signatures(rows: DataFrame, threshold: float, depth: int = SIGNATURE_DEPTH,
     down, at the latest in the last group. So the rows a row meets do not grow with the number of unrelated rows. Sets so small that fewer
     trigrams need be common have keys of one trigram of their own, which never meet the others."""
     few = int(depth / threshold)  # with more trigrams than this, at least depth of them are common
-    pre = cut(prefix_tokens(rows, threshold, depth))
+    pre = cut(prefix_tokens(rows, threshold, depth)) if prefixes is None else prefixes
     place = F.posexplode("prefix").alias("pos", "gram")
     short = pre.filter(col("n") <= few).select("rid", "n", F.explode("prefix").alias("gram")).select("rid", "n", F.xxhash64(F.lit("short"), "gram").alias("token"))
     keys = pre.filter(_at_least(col("n"), threshold) >= depth).select("rid", "n", "prefix", place).select("rid", "n", "prefix", "pos", F.xxhash64("gram").alias("token"))
@@ -105,6 +107,7 @@ def signatures(rows: DataFrame, threshold: float, depth: int = SIGNATURE_DEPTH,
         crowded = keys.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(col("size") > limit)
         marks = cut(crowded.select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
         salted = keys.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+        marks = marks.hint("merge")
         out.append(salted.join(marks, ["token", "salt"], "left_anti").select("rid", "n", "token"))
         deeper = salted.join(marks, ["token", "salt"], "left_semi")
         rest = F.slice("prefix", col("pos") + 2, F.greatest(F.size("prefix") - col("pos") - 1, F.lit(0)))
@@ -113,6 +116,14 @@ def signatures(rows: DataFrame, threshold: float, depth: int = SIGNATURE_DEPTH,
     return reduce(DataFrame.unionByName, out)
 
 
+def dense(prefixes: DataFrame, limit: int) -> bool:
+    """Would the rows get more than KEYS_PER_ROW keys of two trigrams, because most trigrams of their prefixes are crowded?"""
+    places = prefixes.select(F.size("prefix").alias("m"), F.posexplode("prefix").alias("pos", "gram"))
+    count = F.count(F.lit(1))
+    keys = places.groupBy("gram").agg(F.when(count > limit, F.sum(col("m") - col("pos") - 1)).otherwise(0).alias("keys")).agg(F.sum("keys")).first()[0]
+    return (keys or 0) > KEYS_PER_ROW * prefixes.count()
+
+
 def _at_least(n: Column, threshold: float) -> Column:
     """Smallest overlap that a set of size n can have with a similar one."""
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
@@ -139,8 +150,8 @@ def _pairs(members: DataFrame, few: DataFrame, sizes: DataFrame, threshold: floa
 
 def _verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return (
-        pairs.join(rows.select(col("rid").alias("lo"), col("grams").alias("g1")), "lo")
-        .join(rows.select(col("rid").alias("hi"), col("grams").alias("g2")), "hi")
+        pairs.join(rows.select(col("rid").alias("lo"), col("grams").alias("g1")).hint("merge"), "lo")
+        .join(rows.select(col("rid").alias("hi"), col("grams").alias("g2")).hint("merge"), "hi")
         .filter(S.set_similarity(col("g1"), col("g2")) > threshold)
         .select("lo", "hi")
     )
@@ -186,7 +197,8 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
                     threshold: float = config.TITLE_DUP_SIMILARITY, front: int = FRONT,
                     split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Ids that survive the rule "an earlier survivor with trigram similarity above the
-    threshold removes the later row". Exact for any size and skew, without all pairs:
+    threshold removes the later row". Exact for any size and skew. Where most trigrams are crowded, the keys of a row would
+    multiply, and the rows meet in a grid of blocks (:mod:`.titlegrid`); else, without all pairs:
 
     1. Titles equal apart from case collapse to their first row: whatever decides the first
        one drops the others.
@@ -202,7 +214,11 @@ def fuzzy_survivors(titles: DataFrame, row_id: str = "batch_seq", title: str = "
     short = base.filter(col("low").isNull() | (F.length("low") < 3)).select("rid")
     firsts = base.filter(F.length("low") >= 3).groupBy("low").agg(F.min("rid").alias("rid"))
     rows = cut(firsts.select("rid", S.packed_trigrams(col("low")).alias("grams")))
-    tokens = cut(signatures(rows, threshold, limit=min(GROUP_LIMIT, split_rows)))
+    limit = min(GROUP_LIMIT, split_rows)
+    prefixes = cut(prefix_tokens(rows, threshold))
+    if dense(prefixes, limit):
+        return short.unionByName(titlegrid.survivors(rows, threshold)).select(col("rid").alias(row_id))
+    tokens = cut(signatures(rows, threshold, limit=limit, prefixes=prefixes))
     kept = short
     while True:
         sizes = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(col("size") > 1))
