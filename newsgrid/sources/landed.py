@@ -244,23 +244,26 @@ def isolated(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], s
 
 
 def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """Per source: raw records, normalised rows, duplicate urls, rejected by score or priority, corrupt pages."""
+    """Per source: raw records, normalised rows, duplicate urls, rejected by score or priority, corrupt pages.
+
+    Pages are counted while they are parsed, and rows by url hash, so nothing but hashes and counts is shuffled and nothing is stored."""
     parts = []
     for name, frame in pages.items():
-        r = records(frame, name)
         gate = (
-            filters.low_relevance(col("r.relevance_score")) if name == "thenewsapi"
-            else filters.low_authority(col("r.source_priority")) if name == "newsdata" else F.lit(False)
+            (lambda r: filters.low_relevance(r["relevance_score"])) if name == "thenewsapi"
+            else (lambda r: filters.low_authority(r["source_priority"])) if name == "newsdata" else (lambda r: F.lit(False))
         )
-        parts.append(r.select(F.lit(name).alias("source_api"), F.lit("raw").alias("kind"), gate.alias("flag")))
-        unique = first_per_url(NORMALISERS[name](frame, as_of))
-        parts.append(unique.select("source_api", F.lit("row").alias("kind"), col("first_of_url").alias("flag")))
-        parts.append(corrupt_pages(frame, name).select("source_api", F.lit("corrupt").alias("kind"), F.lit(True).alias("flag")))
+        found = col("found")
+        parts.append(_parsed(frame, name).select(
+            F.lit(name).alias("source_api"), F.greatest(F.size(found), F.lit(0)).cast("long").alias("raw"),
+            F.greatest(F.size(F.filter(found, gate)), F.lit(0)).cast("long").alias("rejected"), found.isNull().cast("long").alias("corrupt"),
+            F.lit(0).cast("long").alias("urls"), F.lit(0).cast("long").alias("rows")).filter("raw > 0 OR corrupt > 0"))
+        urls = NORMALISERS[name](frame, as_of).groupBy("source_api", "normalized_url_hash").agg(F.count(F.lit(1)).alias("rows"))
+        none = [F.lit(0).cast("long").alias(n) for n in ("raw", "rejected", "corrupt")]
+        parts.append(urls.select("source_api", *none, F.lit(1).cast("long").alias("urls"), "rows"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    raw, row, flag = col("kind") == "raw", col("kind") == "row", col("flag")
     return every.groupBy("source_api").agg(
-        F.count_if(raw).alias("raw_count"), F.count_if(row & flag).alias("normalized_count"),
-        F.count_if(row & ~flag).alias("duplicate_urls"), F.count_if(raw & flag).alias("rejected_count"),
-        F.count_if(col("kind") == "corrupt").alias("corrupt_pages"))
+        F.sum("raw").alias("raw_count"), F.sum("urls").alias("normalized_count"), (F.sum("rows") - F.sum("urls")).alias("duplicate_urls"),
+        F.sum("rejected").alias("rejected_count"), F.sum("corrupt").alias("corrupt_pages"))
