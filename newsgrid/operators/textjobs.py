@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .. import config, rules
 from ..functions import scalars as S
 
 col = F.col
+#: Pages are parsed in slices of about this many bytes, so a task's objects follow its longest page, not its batch.
+SLICE_BYTES = 2 << 20
 _BLOCKS = {"h2", "h3", "h4", "h5", "h6", "p", "blockquote"}
 _CONTAINERS = {"article", "main"}
 _HIDDEN = {"script", "style", "noscript", "template"}
@@ -89,17 +93,27 @@ def _page_blocks(html: str | None) -> tuple[str, list[tuple[str, str]]]:
     return " ".join("".join(parser.byline).split()), [(t, x) for t, x in blocks if x]
 
 
+def _slices(batch: pa.RecordBatch, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that each slice holds about ``limit`` bytes of html, one page at least."""
+    size = pc.fill_null(pc.binary_length(batch.column("html")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(size) - size) // (limit or SLICE_BYTES), prepend=-1)).tolist()
+    for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(begin, end - begin)
+
+
 def _pages_with_blocks(pages: DataFrame, id_col: str) -> DataFrame:
     """(page_id, byline, blocks): one row per page, the blocks as an array of text in document order."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            parsed = [_page_blocks(html) for html in pdf["html"]]
-            yield pd.DataFrame({
-                id_col: pdf[id_col], "byline": [byline for byline, _ in parsed], "tags": [[t for t, _ in blocks] for _, blocks in parsed],
-                "texts": [[x for _, x in blocks] for _, blocks in parsed]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                parsed = [_page_blocks(html.as_py()) for html in part.column("html")]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(id_col), pa.array([byline for byline, _ in parsed], pa.string()),
+                    pa.array([[t for t, _ in blocks] for _, blocks in parsed], pa.list_(pa.string())),
+                    pa.array([[x for _, x in blocks] for _, blocks in parsed], pa.list_(pa.string()))], [id_col, "byline", "tags", "texts"])
 
-    raw = pages.select(id_col, "html").mapInPandas(run, f"{id_col} long, byline string, tags array<string>, texts array<string>")
+    raw = pages.select(id_col, "html").mapInArrow(run, f"{id_col} long, byline string, tags array<string>, texts array<string>")
     marked = F.zip_with("tags", "texts", lambda tag, text: F.struct(
         tag.alias("tag"), F.concat(F.when(tag.startswith("h"), rules.HEADING_MARK).otherwise(""), S.repair_text(text)).alias("block")))
     return raw.select(id_col, "byline", marked.alias("blocks"))

@@ -1,10 +1,11 @@
-"""Fetch statistics without stored rows."""
+"""Fetch statistics without stored rows, pages in slices."""
 
 import json
 
+import pyarrow as pa
 import pytest
 
-from newsgrid.operators import numbering
+from newsgrid.operators import numbering, textjobs
 from newsgrid.plans.views import as_of
 from newsgrid.sources import landed
 
@@ -15,3 +16,10 @@ def test_fetch_stats_store_no_rows(spark, monkeypatch):
     pages = spark.createDataFrame([(0, json.dumps({"news": news})), (1, "{broken"), (2, json.dumps({"news": [{"title": "no url"}]}))], "page_id long, raw string")
     got = landed.fetch_stats({"worldnews": pages}, as_of()).collect()
     assert [tuple(r) for r in got] == [("worldnews", 6, 3, 2, 0, 1)]
+
+
+def test_pages_come_in_slices(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"html": ["a" * 6, None, "b" * 6, "c" * 30, "", "d"]})
+    parts = [p.column("html").to_pylist() for p in textjobs._slices(batch, 10)]
+    assert sum(parts, []) == batch.column("html").to_pylist()
+    assert len(parts) > 2 and all(len(p) == 1 or sum(len(x or "") for x in p[:-1]) <= 10 for p in parts)
