@@ -173,7 +173,8 @@ def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     state = nodes.select("rid", "complete", F.lit("open").alias("state"))
     open_count, previous = None, None
     while True:
-        below = edges.join(state.select(col("rid").alias("lo"), col("state").alias("lo_state")), "lo")
+        # Edges of few hubs and states of few values are many times their size on disk, so neither side may be broadcast.
+        below = edges.join(state.select(col("rid").alias("lo"), col("state").alias("lo_state")).hint("merge"), "lo")
         seen = below.groupBy(col("hi").alias("rid")).agg(
             F.bool_or(col("lo_state") == "kept").alias("hit"),
             F.bool_or(col("lo_state") == "open").alias("wait"),

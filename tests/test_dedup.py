@@ -1,6 +1,7 @@
 """Fuzzy and exact duplicates against the plain loop."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,25 @@ def test_candidates_do_not_grow_with_unrelated_titles(spark):
 
     one, two = candidates(1500), candidates(3000)
     assert two < 1.5 * one, (one, two)
+
+
+def test_what_looks_small_on_disk_is_not_broadcast(spark, monkeypatch):
+    """Copies to all salts, sets of frequent trigrams and edges of a hub take many times their file size in the driver."""
+    from newsgrid.session import cut
+
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(dedup, "cut", lambda df: cut(planned(df)))
+    rows = cut(gram_rows(spark, [r for r in near_copies(5, 120, 5) if r[1]]))
+    planned(dedup.signatures(rows, 0.7, limit=3))
+    edges = cut(rows.filter("rid > 0").select(F.lit(0).cast("long").alias("lo"), F.col("rid").alias("hi")))
+    planned(dedup._verify(edges, rows, 0.7))
+    states = {r.rid: r.state for r in dedup.settle(rows.select("rid", F.lit(True).alias("complete")), edges).collect()}
+    assert states.pop(0) == "kept" and set(states.values()) == {"dropped"}
+    joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin) \[(\w+)#", "\n".join(plans))
+    assert {"token", "lo", "hi"} <= {key for _, key in joins}
+    assert not [key for kind, key in joins if kind == "BroadcastHashJoin" and key != "rid"]
