@@ -21,6 +21,8 @@ col = F.col
 POSITIONS = 1_000_000  # room for the records of one page in a sequence number
 SOURCE_ERROR = "source_api string, place string, error string"
 STREAM_PAGES = 9_000_000_000_000  # page numbers that leave this room in a long
+#: By default the JSON reader takes a page with one text over 20 million characters for a broken one.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +59,7 @@ def read_tolerant(spark: SparkSession, source: str, path: str) -> tuple[DataFram
     except Exception as error:  # whatever keeps the folder from being read must not stop the other sources
         return spark.createDataFrame([], "page_id long, raw string"), _error_rows(spark, [(source, path, _reason(error))])
     schema = schemas.PAGES[source]
-    found = F.from_json("raw", schema)[schema.fields[0].name]
+    found = F.from_json("raw", schema, ANY_LENGTH)[schema.fields[0].name]
     fault = F.when(col("raw").isNull(), F.lit("unreadable")).when(found.isNull(), F.lit("no list of records"))
     errors = files.select(F.lit(source).alias("source_api"), col("path").alias("place"), fault.alias("error")).filter("error IS NOT NULL")
     return files.filter("raw IS NOT NULL").select("page_id", "raw"), errors
@@ -73,7 +75,7 @@ def _error_rows(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFr
 
 def _parsed(pages: DataFrame, source: str) -> DataFrame:
     schema = schemas.PAGES[source]
-    page = F.from_json("raw", schema)
+    page = F.from_json("raw", schema, ANY_LENGTH)
     return pages.select("page_id", "raw", page[schema.fields[0].name].alias("found"))
 
 

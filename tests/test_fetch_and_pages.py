@@ -1,4 +1,4 @@
-"""Fetch statistics without stored rows, pages in slices."""
+"""Fetch statistics without stored rows, pages with long texts, pages in slices."""
 
 import json
 
@@ -18,6 +18,13 @@ def test_fetch_stats_store_no_rows(spark, monkeypatch):
     assert [tuple(r) for r in got] == [("worldnews", 6, 3, 2, 0, 1)]
 
 
+def test_a_page_with_a_text_over_20_million_characters_is_whole(spark):
+    body = """concat('{"news":[{"url":"https://a.com/1","title":"T","text":"', repeat('x', cast(21000000 + id as int)), '"},{"url":"https://a.com/2","title":"U"}]}')"""
+    pages = spark.range(1).selectExpr("id AS page_id", f"{body} AS raw")
+    assert [tuple(r) for r in landed.fetch_stats({"worldnews": pages}, as_of()).collect()] == [("worldnews", 2, 2, 0, 0, 0)]
+    assert landed.worldnews(pages, as_of()).select("url").count() == 2 and landed.corrupt_pages(pages, "worldnews").isEmpty()
+
+
 def test_pages_come_in_slices(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"html": ["a" * 6, None, "b" * 6, "c" * 30, "", "d"]})
     parts = [p.column("html").to_pylist() for p in textjobs._slices(batch, 10)]
