@@ -9,7 +9,7 @@ from ..operators import brief, dedup, feed, filters, keyfilter, metrics, modelio
 from ..session import cut
 from ..sources import feeds, landed, tables
 from . import check_sql as C
-from .catalog_scans import PAGES, _SOURCES, _backfill, _BACKFILL, _ALL_SOURCES, _WHOLE_SOURCES, source_pages
+from .catalog_scans import PAGE, PAGES, _SOURCES, _backfill, _BACKFILL, _ALL_SOURCES, _WHOLE_SOURCES, source_pages
 from .registry import query
 from .views import Views, as_of, union_all, with_views
 
@@ -439,12 +439,13 @@ raw AS (SELECT s.source_api, count(*) AS raw_count, count(*) FILTER (WHERE (s.so
 SELECT raw.source_api, raw_count, count(*) FILTER (WHERE rn = 1) AS normalized_count, count(*) FILTER (WHERE rn > 1) AS duplicate_urls, rejected_count,
  (SELECT count(DISTINCT doc_id // 100) FROM documents WHERE doc_id // 100 % 2 = 0) AS corrupt_pages FROM raw LEFT JOIN u ON u.source_api = raw.source_api GROUP BY ALL""")
 def _(v: Views):
-    """Every other page comes a second time, broken off before its end."""
+    """Every other page comes a second time, broken off before its end. Documents are dealt out by page once for all sources, and a page serves both its rows."""
     def with_broken(p):
-        broken = p.filter("page_id % 2 = 0").select((col("page_id") + 1_000_000).alias("page_id"), F.expr("substr(raw, 1, length(raw) - 1)").alias("raw"))
-        return p.select("page_id", "raw").unionByName(broken)
+        twice = p.select("page_id", "raw", F.explode(F.when(col("page_id") % 2 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("broken"))
+        return twice.select(F.expr("IF(broken, page_id + 1000000, page_id)").alias("page_id"), F.expr("IF(broken, substr(raw, 1, length(raw) - 1), raw)").alias("raw"))
 
-    return landed.fetch_stats({name: with_broken(pages(v)) for name, pages in PAGES.items()}, as_of())
+    dealt = v.documents.repartition(F.floor(col("doc_id") / PAGE))
+    return landed.fetch_stats({name: with_broken(pages(v, dealt)) for name, pages in PAGES.items()}, as_of())
 
 
 @query("agg_17_status_counts", f"{ART} SELECT scrape_status, count(*) AS n FROM articles GROUP BY 1")

@@ -259,7 +259,7 @@ def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
         parts.append(_parsed(frame, name).select(
             F.lit(name).alias("source_api"), F.greatest(F.size(found), F.lit(0)).cast("long").alias("raw"),
             F.greatest(F.size(F.filter(found, gate)), F.lit(0)).cast("long").alias("rejected"), found.isNull().cast("long").alias("corrupt"),
-            F.lit(0).cast("long").alias("urls"), F.lit(0).cast("long").alias("rows")).filter("raw > 0 OR corrupt > 0"))
+            F.lit(0).cast("long").alias("urls"), F.lit(0).cast("long").alias("rows")))
         urls = NORMALISERS[name](frame, as_of).groupBy("source_api", "normalized_url_hash").agg(F.count(F.lit(1)).alias("rows"))
         none = [F.lit(0).cast("long").alias(n) for n in ("raw", "rejected", "corrupt")]
         parts.append(urls.select("source_api", *none, F.lit(1).cast("long").alias("urls"), "rows"))
@@ -268,4 +268,4 @@ def fetch_stats(pages: dict[str, DataFrame], as_of: Column) -> DataFrame:
         every = every.unionByName(p)
     return every.groupBy("source_api").agg(
         F.sum("raw").alias("raw_count"), F.sum("urls").alias("normalized_count"), (F.sum("rows") - F.sum("urls")).alias("duplicate_urls"),
-        F.sum("rejected").alias("rejected_count"), F.sum("corrupt").alias("corrupt_pages"))
+        F.sum("rejected").alias("rejected_count"), F.sum("corrupt").alias("corrupt_pages")).filter("raw_count > 0 OR corrupt_pages > 0")

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from newsgrid.operators import numbering, textjobs
+from newsgrid.plans.catalog import QUERIES
 from newsgrid.plans.views import as_of
 from newsgrid.sources import landed
 
@@ -18,6 +19,16 @@ def test_fetch_stats_store_no_rows(spark, monkeypatch):
     assert [tuple(r) for r in got] == [("worldnews", 6, 3, 2, 0, 1)]
 
 
+def test_documents_of_fetch_stats_are_dealt_out_before_pages_are_made(spark, small):
+    plan = QUERIES["agg_16_fetch_stats"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "Exchange hashpartitioning(_groupingexpression" not in plan
+
+
+def test_a_source_of_empty_pages_has_no_statistics(spark):
+    pages = spark.createDataFrame([(0, '{"news":[]}')], "page_id long, raw string")
+    assert landed.fetch_stats({"worldnews": pages}, as_of()).isEmpty()
+
+
 def test_a_page_with_a_text_over_20_million_characters_is_whole(spark):
     body = """concat('{"news":[{"url":"https://a.com/1","title":"T","text":"', repeat('x', cast(21000000 + id as int)), '"},{"url":"https://a.com/2","title":"U"}]}')"""
     pages = spark.range(1).selectExpr("id AS page_id", f"{body} AS raw")
